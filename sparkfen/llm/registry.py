@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkfen.llm import quality
+from sparkfen.llm import decontaminate, language_id, licenses, mixing, near_dup, pii, quality, token_counts, token_store, url_filter
 from sparkfen.session import table
 
 
@@ -15,19 +15,76 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"))
 
 
+#: The rules of the query over pages.
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
+def tokenizer_path(name: str) -> str:
+    """The file of a public tokenizer, from the installed collection."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page."""
+    return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents."""
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents."""
+    return language_id.digest(table(spark, sf_dir, "documents"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences named in all documents."""
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents through token files and back."""
+    return token_store.digest(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near duplicates among all documents, by two-word shingles."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in all documents."""
+    return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents."""
+    return token_counts.digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries by name."""
-    return {"op1_quality_rules": op1_quality_rules}
+    made = (op1_quality_rules, op2_url_filter, op3_pii, op4_mixing, op5_language_id, op6_license_scan, op7_token_store, op8_near_dup, op9_decontamination, op10_token_counts)
+    return {f.__name__: f for f in made}
 
 
 OP1_SQL = r"""
 with t as (select doc_id, coalesce(text, '') as text from documents),
-w as (select doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w, list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as l from t),
-g as (select doc_id, text, w, l, case when len(w) >= 5 then list_transform(range(1, len(w) - 3), i -> list_aggregate(w[i:i+4], 'string_agg', ' ')) else [] end as g from w),
+w as (select doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from t),
+g as (select doc_id, text, w, l, case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i+4], 'string_agg', ' ')) else [] end as g from w),
 p as (select doc_id, unnest(g) as gram, unnest(range(1, len(g) + 1)) as pos from g),
 r as (select doc_id, pos from (select doc_id, pos, count(*) over (partition by doc_id, gram) as n from p) where n > 1),
 c as (select doc_id, count(distinct pos + o) as n from r, (select unnest(range(0, 5)) as o) group by doc_id),
-m as (select g.doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0)::bigint as word_chars,
+m as (select g.doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
   (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, len(l)::bigint as n_lines, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines,
   coalesce(c.n, 0)::bigint as n_repeat_words, (length(text) - length(replace(text, '!', '')))::bigint as n_marks from g left join c on c.doc_id = g.doc_id),
 b as (select *, ((case when n_words < 10 then 1 else 0 end) + (case when 100 * n_repeat_words > 20 * n_words then 2 else 0 end) + (case when 10 * n_symbols > 5 * n_words then 4 else 0 end)
@@ -36,6 +93,61 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 
+
+OP2_SQL = r"""
+with u as (select page_id, coalesce(regexp_extract(url, '(?s)://([^/?#]*)', 1), '') as h, coalesce(regexp_extract(url, '(?s)://[^/?#]*([^?#]*)', 1), '') as path from pages),
+l as (select page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, path from u),
+r(verdict, rhost, rpath) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+f as (select page_id, rhost || rpath as rule, verdict, row_number() over (partition by page_id order by len(string_split(rhost, '.')) desc, length(rpath) desc, verdict) as k
+  from l join r on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath))
+select l.page_id, host, path, f.rule, coalesce(f.verdict, 'allow') as verdict from l left join f on f.page_id = l.page_id and f.k = 1
+"""
+
+OP6_SQL = r"""
+with known(id, s) as (values __KNOWN__),
+s as (select doc_id, unnest(list_zip(x, range(1, len(x) + 1))) as z from (select doc_id, regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?])[\x20\x09-\x0D]', '\1' || chr(10), 'g'), chr(10)) as x from documents)),
+m as (select doc_id, struct_extract(z, 2) as pos, id from s join known on trim(regexp_replace(lower(struct_extract(z, 1)), '[^a-z0-9]+', ' ', 'g')) = s),
+g as (select doc_id, count(*)::bigint as n, string_agg(id, ',' order by pos) as ids, list(id order by pos) as l from m group by doc_id),
+r(k, license, fits) as (values __RULES__),
+h as (select doc_id, license, min(k) as k from g join r on regexp_matches(chr(10) || array_to_string(l, chr(10)) || chr(10), fits) group by doc_id, license),
+j as (select doc_id, string_agg(license, ',' order by k) as licenses from h group by doc_id)
+select d.doc_id, coalesce(g.n, 0)::bigint as n_license_sentences, coalesce(g.ids, '') as sentence_ids, coalesce(j.licenses, '') as licenses, j.licenses is not null as licensed
+from documents d left join g on g.doc_id = d.doc_id left join j on j.doc_id = d.doc_id
+"""
+
+OP8_SQL = r"""
+with recursive t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) = 1 then [w[1]] else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as g from t),
+n as (select doc_id, count(*)::bigint as n from s group by doc_id),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as both_n from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+e as materialized (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * both_n >= 80 * (x.n + y.n - both_n)),
+u as (select a as src, b as dst from e union select b, a from e),
+r(doc_id, root) as (select doc_id, doc_id from t union select u.dst, r.root from r join u on u.src = r.doc_id),
+k as (select doc_id, min(root) as component_id from r group by doc_id)
+select t.doc_id, coalesce(n.n, 0)::bigint as n_shingles, k.component_id, t.doc_id = k.component_id as kept from t left join n using (doc_id) join k using (doc_id)
+"""
+
+OP9_SQL = r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') as w from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') as w from benchmark),
+i as (select distinct item_id, least(len(w), 10) as n, unnest(list_transform(range(1, greatest(len(w) - 10, 0) + 2), lambda k: array_to_string(w[k:k + 9], ' '))) as g from b where len(w) > 0),
+x as (select doc_id, n, unnest(range(1, len(w) - n + 2)) as pos, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k + n - 1], ' '))) as g from d, (select distinct n from i) where len(w) >= n),
+m as (select distinct doc_id, x.n, pos, item_id from x join i on i.n = x.n and i.g = x.g),
+h as (select doc_id, count(distinct p)::bigint as n_hit from (select doc_id, unnest(range(pos, pos + n)) as p from m) group by doc_id),
+q as (select doc_id, count(distinct item_id)::bigint as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from m group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join h using (doc_id) left join q using (doc_id)
+"""
+
+
+def _op6_sql() -> str:
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    known = ", ".join(f"({quote(k)}, {quote(licenses.plain(v))})" for k, v in licenses.SENTENCES.items())
+    fits = lambda r: r"\n" + r"\n(?:[^\n]*\n)*".join(s.replace(".", r"\.") for s in r.sentences) + r"\n"
+    rules = ", ".join(f"({k}, {quote(r.license)}, {quote(fits(r))})" for k, r in enumerate(licenses.RULES))
+    return OP6_SQL.replace("__KNOWN__", known).replace("__RULES__", rules)
+
+
 def oracle_sql() -> dict[str, str]:
     """The SQL of those that have it."""
-    return {"op1_quality_rules": OP1_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op2_url_filter": OP2_SQL, "op6_license_scan": _op6_sql(), "op8_near_dup": OP8_SQL, "op9_decontamination": OP9_SQL}
