@@ -1,12 +1,61 @@
-"""A corpus through five stages: quality rules, near duplicates, benchmark passages, mixing, token files."""
+"""A corpus through five stages: quality rules, near duplicates, benchmark passages, mixing, token files.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a frame; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from sparkfen.llm import decontaminate, mixing, near_dup, quality, registry, token_store
+from sparkfen.session import scratch_path, table
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the quality policy rejects."""
+    return quality.keep_good(docs)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the smallest doc_id."""
+    return near_dup.keep_one(docs)
+
+
+def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without benchmark passages of ten words, and without documents that consist of them by half."""
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many copies of each document as the mix of sources takes."""
+    return mixing.apply_mix(docs)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The index of the token files: a row for each document and copy, in the order of the ids."""
+    return token_store.digest(docs, registry.tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", keep_good),
+    ("near duplicates", keep_one_of_each),
+    ("benchmark passages", cut_benchmark),
+    ("mixing", mix_sources),
+    ("token files", write_tokens),
+]
+
+#: Tokenizing and MinHash have no SQL; tests/llm holds the pipeline against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """The stages applied to documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents, each written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k + 1 == len(STAGES):
+            return out
+        path = scratch_path(spark, f"stage{k}")
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
