@@ -1 +1,164 @@
-"""Queries."""
+"""Queries on similarity graphs and component metadata."""
+
+from pyspark.sql import functions as F
+
+from sparkfen.operators import clusters, enrichment as e, measures as m, similarity as s
+from sparkfen.operators.graph import connected_components, symmetric
+from sparkfen.plans.catalog import query
+from sparkfen.plans.timeline import rounded
+
+PAIRS = "with n as (select sample_id, count(*) as n from shingles group by 1), p as (select a.sample_id as a, b.sample_id as b, count(*) as bo from shingles a join shingles b on a.hash = b.hash and a.sample_id < b.sample_id group by 1, 2), j as (select a, b, bo as \"both\", bo::double / (x.n + y.n - bo) as jaccard, bo / sqrt(x.n::double * y.n) as cosine from p join n x on x.sample_id = a join n y on y.sample_id = b) "
+EDGES = PAIRS + ", e as materialized (select a, b, jaccard from j where jaccard >= 0.5), u as (select a as src, b as dst from e union select b, a from e), r(node, root) as (select distinct src, src from u union select u.dst, r.root from r join u on u.src = r.node), k as (select node, min(root) as component from r group by 1) "
+
+
+def _pairs(b):
+    return s.similar_pairs(b.shingles, 0.5)
+
+
+def _members(b):
+    return connected_components(_pairs(b), "a", "b")
+
+
+@query("pairwise_jaccard", PAIRS + "select a, b, j.\"both\", round(jaccard, 9) as jaccard, round(cosine, 9) as cosine from j where jaccard >= 0.5", "shingles")
+def pairwise_jaccard(b):
+    """J10, O06, F13, H07, H08, S26."""
+    return rounded(_pairs(b))
+
+
+@query("identical_sets", "select q.a, q.b from (select min(a) as a, b from (select a.sample_id as a, b.sample_id as b from (select sample_id, list(hash order by hash) as h from shingles group by 1) a join (select sample_id, list(hash order by hash) as h from shingles group by 1) b on a.h = b.h and a.sample_id < b.sample_id) group by b) q", "shingles")
+def identical_sets(b):
+    """J10 at 1, S14."""
+    return s.identical_groups(b.shingles)
+
+
+@query("similarity_search", "with q as (select hash from shingles where sample_id = 1), n as (select sample_id, count(*) as n, count(q.hash) as bo from shingles s left join q on q.hash = s.hash group by 1) select sample_id, bo as \"both\", round(bo::double / (n + (select count(*) from q) - bo), 9) as jaccard, round(bo::double / n, 9) as containment from n where bo::double / (n + (select count(*) from q) - bo) >= 0.01", "shingles")
+def similarity_search(b):
+    """J11, L09."""
+    return rounded(s.search(b.shingles.filter("sample_id = 1"), b.shingles, 0.01))
+
+
+@query("degree_distribution", EDGES + ", d as (select src, count(*) as degree from u group by 1) select degree, count(*) as n from d group by 1 recursive:", "shingles")
+def degree_distribution(b):
+    """G02, G03, G08, A21."""
+    return clusters.degrees(_pairs(b).select(F.col("a").alias("src"), F.col("b").alias("dst"))).groupBy("degree").agg(F.count("*").alias("n"))
+
+
+@query("symmetric_edges", EDGES + " select src, dst from u recursive:", "shingles")
+def symmetric_edges(b):
+    """G02, O07."""
+    return symmetric(_pairs(b), "a", "b")
+
+
+@query("components", EDGES + " select node, component from k recursive:", "shingles")
+def components(b):
+    """G01, J17."""
+    return _members(b)
+
+
+@query("representatives", EDGES + " select component, count(*) as size, min(node) as representative, row_number() over (order by count(*) desc, component)::int as size_rank from k group by 1 recursive:", "shingles")
+def representatives(b):
+    """G04, D22, A21, W04."""
+    return clusters.sizes(_members(b))
+
+
+@query("expanded_similarity", EDGES + """, top as (select component from k group by 1 order by count(*) desc, component limit 5), m as (select k.* from k semi join top using (component)), pp as (select x.component as c1, y.component as c2, 1.0::double / (1 + y.component - x.component) as v from top x join top y on x.component < y.component)
+select least(x.node, y.node) as a, greatest(x.node, y.node) as b, round(v, 9) as v from pp join m x on x.component = c1 join m y on y.component = c2 union all select x.node, y.node, 1.0::double from m x join m y on x.component = y.component and x.node < y.node recursive:""", "shingles")
+def expanded_similarity(b):
+    """P20: values of representatives, made up here, for all members of the five largest components."""
+    k = _members(b)
+    top = k.groupBy("component").count().orderBy(F.desc("count"), "component").limit(5).select("component")
+    x, y = top.withColumnRenamed("component", "a"), top.withColumnRenamed("component", "b")
+    pairs = x.join(y, F.col("a") < F.col("b")).withColumn("v", 1.0 / (1 + F.col("b") - F.col("a")))
+    return rounded(clusters.expanded(pairs, k.join(top, "component", "left_semi")))
+
+
+@query("modularity", EDGES + ", f as (select e.*, x.component as c1, y.component as c2 from e join k x on x.node = a join k y on y.node = b), d as (select c, sum(w) as d from (select c1 as c, jaccard as w from f union all select c2, jaccard from f) group by 1) select round(sum(jaccard) filter (c1 = c2) / sum(jaccard) - (select sum(d * d) from d) / (4 * sum(jaccard) * sum(jaccard)), 9) as modularity from f recursive:", "shingles")
+def modularity(b):
+    """The value of the partition into components."""
+    edges = _pairs(b).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("jaccard").alias("w"))
+    return rounded(clusters.modularity(edges, _members(b)))
+
+
+@query("louvain")
+def louvain(b):
+    """G05."""
+    return clusters.louvain(_pairs(b).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("jaccard").alias("w")))
+
+
+@query("upgma")
+def upgma(b):
+    """Linkage of the vectors of each label by cosine distance."""
+    v = b.t("embeddings").select("label", "vec_id", "embedding")
+    x, y = v.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("ea")), v.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("eb"))
+    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda i, j: i.cast("double") * j), F.lit(0.0), lambda t, i: t + i)
+    pairs = x.join(y, "label").filter("a < b").select("label", "a", "b", (1 - dot(F.col("ea"), F.col("eb")) / F.sqrt(dot(F.col("ea"), F.col("ea")) * dot(F.col("eb"), F.col("eb")))).alias("d"))
+    return clusters.average_linkage(pairs, "label", [0.05, 0.2, 0.5, 0.9])
+
+
+@query("matrix_values", PAIRS + ", t as (select count(distinct sample_id) as n from shingles), v as (select count(*) as listed, count(*) filter (abs(jaccard - 1) < 1e-10) as ones from j where jaccard >= 0.5) select n * (n - 1) // 2 - listed as zeros, ones, listed - ones as others from v, t", "shingles")
+def matrix_values(b):
+    """Pairs below the threshold count as zeros."""
+    n = b.shingles.select("sample_id").distinct().count()
+    return e.value_distribution(_pairs(b).select(F.col("jaccard").alias("v")), n)
+
+
+MODE = "c as (select component_id, {f} as v, count(*) as c from groups where {f} is not null group by 1, 2), o as (select component_id, max(c) as n_mode, sum(c)::bigint as n, arg_min(v, (-c, v)) as value from c group by 1)"
+
+
+@query("component_modes", "with " + MODE.format(f="source") + " select component_id, value, n_mode, n, round(n_mode / n, 9) as mode_frequency from o", "groups")
+def component_modes(b):
+    """A12, T16."""
+    return rounded(m.modes(b.groups, "component_id", "source"))
+
+
+@query("component_entropy", "with c as (select component_id, source, count(*) as c from groups group by 1, 2), t as (select component_id, sum(c) as n from c group by 1) select component_id, sum(c)::bigint as n, count(*) as n_values, round(greatest(-sum(c / n * log2(c / n)), 0), 9) as entropy from c join t using (component_id) group by 1", "groups")
+def component_entropy(b):
+    """A13, D23."""
+    return rounded(m.entropy(b.groups, "component_id", "source"))
+
+
+@query("component_purity", " union all ".join(f"select '{f}' as field, count(*) as n_groups, round(avg(n_mode / n), 9) as mean_purity, round(avg((n_mode / n > 0.8)::int), 9) as share_high from (with {MODE.format(f=f)} select * from o)" for f in ("lang", "source", "quality")), "groups")
+def component_purity(b):
+    """A22, D23, D24, T16."""
+    return rounded(e.purity(b.groups, "component_id", ["lang", "source", "quality"]))
+
+
+@query("signature_homogeneity", "with g as (select component_id, concat_ws('|', 'lang=' || left(lang, 50), 'source=' || left(source, 50), 'quality=' || quality) as s, count(*) as c from groups group by 1, 2) select component_id, sum(c)::bigint as size, count(*) as n_signatures, round(max(c) / sum(c), 9) as top_share from g group by 1", "groups")
+def signature_homogeneity(b):
+    """A23, P09."""
+    return rounded(e.homogeneity(b.groups, "component_id", ["lang", "source", "quality"]))
+
+
+@query("diverse_components", "with " + MODE.format(f="source") + ", s as (select component_id, count(*) as size, count(source) as n_known, count(distinct source) as n_values from groups group by 1) select s.*, value as mode, round(n_mode / n, 9) as mode_frequency from s join o using (component_id) where size >= 2 and n_known >= 0.8 * size and n_mode / n < 0.99", "groups")
+def diverse_components(b):
+    """G10, F16, F17."""
+    return rounded(e.scan(b.groups, "component_id", "source").filter("mode_frequency < 0.99"))
+
+
+@query("modal_outliers", "with " + MODE.format(f="source") + " select component_id, sample_id, 1::bigint as n_differences, 'source: ' || source || ' vs ' || value as differences from groups join o using (component_id) where source <> value", "groups")
+def modal_outliers(b):
+    """T17."""
+    return e.modal_outliers(b.groups, "component_id", "sample_id", ["source", "lang"])
+
+
+PLACES = "select o_custkey % 40 as grp, -60 + 5.0::double * c_nationkey as lat, -170 + 13.0::double * c_nationkey as lon from orders join customer on o_custkey = c_custkey"
+
+
+def _km(a: str, b: str) -> str:
+    h = f"(pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2))"
+    return f"2 * 6371.0 * atan2(sqrt({h}), sqrt(greatest(1 - {h}, 0)))"
+
+
+@query("geo_spread", f"with p as ({PLACES}), q as (select *, row_number() over () as i from p), d as (select x.grp, {_km('x', 'y')} as km from q x join q y on x.grp = y.grp and x.i < y.i), n as (select grp, count(distinct (lat, lon)) as n_places from p group by 1) select n.grp, n_places, round(max(km), 3) as max_km, round(avg(km), 3) as mean_km from n join d using (grp) group by all")
+def geo_spread(b):
+    """J12, X14, G10."""
+    o = b.t("orders").join(b.t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    p = o.select((F.col("o_custkey") % 40).alias("grp"), (-60 + 5.0 * F.col("c_nationkey")).alias("lat"), (-170 + 13.0 * F.col("c_nationkey")).alias("lon"))
+    return rounded(s.spread_km(p, "grp"), 3)
+
+
+@query("component_summary", "select lang, count(distinct component_id) as n_components, count(*) as n, count(distinct source) as n_sources, count(quality) as n_labelled from groups where component_id in (select component_id from groups group by 1 having count(*) >= 2) group by 1", "groups")
+def component_summary(b):
+    """G11, J16."""
+    big = b.groups.groupBy("component_id").count().filter("count >= 2").select("component_id")
+    return b.groups.join(big, "component_id", "left_semi").groupBy("lang").agg(F.countDistinct("component_id").alias("n_components"), F.count("*").alias("n"), F.countDistinct("source").alias("n_sources"), F.count("quality").alias("n_labelled"))

@@ -1 +1,124 @@
-"""Queries."""
+"""Queries on k-mers, sketches, intervals and sequences; SQL twins use the md5 surrogate hash."""
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from sparkfen.functions import columns as c
+from sparkfen.operators import intervals as iv
+from sparkfen.operators import sketches as sk
+from sparkfen.plans.bindings import surrogate
+from sparkfen.plans.catalog import query
+from sparkfen.plans.timeline import rounded
+
+LETTERS = "acgtacgtacgtacgtacgtacgtac"
+SEQ = f"seq as (select doc_id as sample_id, left(upper(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', '{LETTERS}')), 400) as seq from documents)"
+KM = SEQ + ", km0 as (select sample_id, i - 1 as pos, substr(seq, i, 11) as f from (select sample_id, seq, unnest(range(1, length(seq) - 9)) as i from seq where length(seq) >= 11)), km as (select sample_id, pos, least(f, translate(reverse(f), 'ACGT', 'TGCA')) as kmer from km0), kh as (select *, ('0x' || substr(md5(kmer), 1, 15))::bigint as hash from km)"
+LIMIT = int(0.01 * 2**64)
+
+
+def _seqs(b):
+    d = F.substring(F.upper(F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", LETTERS)), 1, 400)
+    return b.t("documents").select(F.col("doc_id").alias("sample_id"), d.alias("seq"))
+
+
+def _rows(b):
+    return sk.scan_kmers(_seqs(b), 11, hasher=surrogate(F.col("kmer")))
+
+
+@query("kmer_fmh", f"with {KM} select distinct sample_id, hash from kh where hash <= {LIMIT}")
+def kmer_fmh(b):
+    """X05 to X07, H01, H02, F19, F20."""
+    return sk.frac_min_hash(_rows(b), 0.01)
+
+
+@query("bottomk", f"with {KM}, d as (select distinct sample_id, hash from kh) select sample_id, hash from d qualify row_number() over (partition by sample_id order by hash) <= 20")
+def bottomk(b):
+    """H03."""
+    return sk.bottom_k(_rows(b), 20)
+
+
+GEOM = f"with {KM}, n as (select sample_id, hash, count(*) as freq from kh group by 1, 2), z as (select *, case when hash = 0 then 64 else 64 - length(ltrim(bin(hash), '0')) end as z from n), t as (select sample_id, least(z + 1, 12)::int as bucket, hash, case when z >= 63 then 0 else hash & ((1::bigint << (63 - z)) - 1) end as tail, freq from z) select * from t qualify row_number() over (partition by sample_id, bucket order by tail desc, hash) <= "
+
+
+@query("maxgeom", GEOM + "4")
+def maxgeom(b):
+    """H05, X10."""
+    return sk.max_geom(_rows(b), 12, size=4)
+
+
+@query("alpha_maxgeom", GEOM + "ceil(pow(2, bucket * (0.45::double / 0.55::double)))")
+def alpha_maxgeom(b):
+    """H06."""
+    return sk.max_geom(_rows(b), 12, alpha=0.45)
+
+
+@query("sketch_similarity", GEOM.replace("select * from t", ", s as (select * from t") + "4), x as (select * from s where sample_id = 1), y as (select * from s where sample_id = 2), u as (select coalesce(x.bucket, y.bucket) as bucket, coalesce(x.tail, y.tail) as tail, coalesce(x.hash, y.hash) as hash, x.freq as fa, y.freq as fb from x full join y on x.bucket = y.bucket and x.hash = y.hash), v as (select * from u where bucket in (select bucket from x) and bucket in (select bucket from y) qualify row_number() over (partition by bucket order by tail desc, hash) <= 4) select round(count(*) filter (fa is not null and fb is not null)::double / count(*), 9) as jaccard, round(coalesce(sum(fa * fb), 0) / sqrt(sum(fa * fa::double) * sum(fb * fb::double)), 9) as cosine, round(count(*) filter (fa is not null and fb is not null)::double / count(fa), 9) as containment from v")
+def sketch_similarity(b):
+    """H07 to H09 on bucket sketches."""
+    return rounded(sk.bucket_similarity(sk.max_geom(_rows(b), 12, size=4), 1, 2, 12, size=4))
+
+
+@query("collisions", f"with {KM}, s as (select distinct hash % 100003 as hash, kmer from kh), r as (select *, row_number() over (partition by hash order by kmer) as i, count(*) over (partition by hash) as n from s) select hash, n as n_kmers, array_to_string(list(kmer order by kmer) filter (i <= 50), ',') as kmers from r where n > 1 group by 1, 2")
+def collisions(b):
+    """A26, D29, L08, with a small hash so that there are some."""
+    rows = _rows(b).withColumn("hash", F.col("hash") % 100003)
+    return sk.collisions(rows).withColumn("kmers", F.array_join("kmers", ","))
+
+
+@query("localise", f"with {KM}, t as (select distinct hash from kh where sample_id = 1) select sample_id, count(*) as n_kmers, count(t.hash) as n_hits, round(count(t.hash)::double / count(*), 9) as density from kh left join t on t.hash = kh.hash group by 1")
+def localise(b):
+    """H12, D28."""
+    rows = _rows(b)
+    return rounded(sk.localise(rows, rows.filter("sample_id = 1")))
+
+
+@query("prevalence_tiers", f"with {KM}, s as (select distinct sample_id, hash from kh), t as (select sample_id as target_id, hash from s where sample_id < 20), n as (select target_id, count(*) as n_hashes from t group by 1), h as (select target_id, sample_id, count(*) as k from t join s using (hash) group by 1, 2) select n.target_id, n_hashes, count(h.k) as n_any, count(*) filter (k >= 3) as n_three, count(*) filter (10 * k >= n_hashes) as n_tenth, count(*) filter (4 * k >= n_hashes) as n_quarter from n left join h using (target_id) group by 1, 2")
+def prevalence_tiers(b):
+    """H13."""
+    s = _rows(b).select("sample_id", "hash").distinct()
+    return sk.prevalence_tiers(s, s.filter("sample_id < 20").withColumnRenamed("sample_id", "target_id"))
+
+
+@query("sketch_union", f"with {KM} select count(distinct hash) as n_distinct, count(distinct sample_id) as n_samples from kh")
+def sketch_union(b):
+    """H11, A24."""
+    return _rows(b).agg(F.countDistinct("hash").alias("n_distinct"), F.countDistinct("sample_id").alias("n_samples"))
+
+
+@query("seq_profile", f"with {SEQ}, w as (select sample_id, t, count(*) as c from (select sample_id, unnest([substr(seq, i, 3) for i in range(1, length(seq) - 1)]) as t from seq) group by 1, 2), h as (select sample_id, -sum(c / n * log2(c / n)) as h from w join (select sample_id, sum(c) as n from w group by 1) using (sample_id) group by 1) select s.sample_id, length(seq) as n, round(case when length(seq) > 0 then length(regexp_replace(seq, '[^GC]', '', 'g')) / length(seq) end, 9) as gc, coalesce(list_max([length(x) for x in regexp_extract_all(seq, 'A+|C+|G+|T+')]), 0) as longest_run, round(coalesce(h, 0), 9) as entropy3 from seq s left join h using (sample_id)")
+def seq_profile(b):
+    """X22, W07."""
+    d = _seqs(b)
+    w = d.select("sample_id", F.explode(c.kmers(F.col("seq"), 3)).alias("t")).groupBy("sample_id", "t").agg(F.count("*").alias("c"))
+    h = w.groupBy("sample_id").agg((F.log2(F.sum("c")) - F.sum(F.col("c") * F.log2("c")) / F.sum("c")).alias("h"))
+    out = d.join(h, "sample_id", "left").select("sample_id", F.length("seq").cast("long").alias("n"), c.gc_fraction(F.col("seq")).alias("gc"), c.longest_run(F.col("seq")).cast("long").alias("longest_run"), F.abs(F.coalesce("h", F.lit(0.0))).alias("entropy3"))
+    return rounded(out)
+
+
+@query("murmur3_fmh")
+def murmur3_fmh(b):
+    """X08, H02 with the 128-bit hash."""
+    return sk.frac_min_hash(sk.scan_kmers(_seqs(b), 11), 0.01)
+
+
+@query("minhash")
+def minhash(b):
+    """H04."""
+    return sk.min_hash(_rows(b), 16)
+
+
+IV = "i as (select user_id, floor(value)::bigint as s, (floor(value) + event_id % 20)::bigint as e from events)"
+
+
+@query("interval_union", f"with {IV}, p as (select *, max(e) over (partition by user_id order by s, e rows between unbounded preceding and 1 preceding) as m from i), g as (select *, sum(case when m is null or s <= m + 1 then 0 else 1 end) over (partition by user_id order by s, e rows between unbounded preceding and current row) as k from p), u as (select user_id, k, min(s) as s, max(e) as e from g group by 1, 2) select user_id, count(*) as n_islands, sum(e - s + 1)::bigint as covered, max(e - s + 1) as longest from u group by 1")
+def interval_union(b):
+    """A27, D31."""
+    e = b.t("events").select("user_id", F.floor("value").alias("s"), (F.floor("value") + F.col("event_id") % 20).alias("e"))
+    return iv.coverage(e, "user_id")
+
+
+@query("record_offsets", "select doc_id, length(text) as n, coalesce(sum(length(text)) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as start from documents")
+def record_offsets(b):
+    """W08."""
+    before = F.sum(F.length("text").cast("long")).over(W.partitionBy("source").orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1))
+    return b.t("documents").select("doc_id", F.length("text").cast("long").alias("n"), F.coalesce(before, F.lit(0)).alias("start"))
