@@ -2,17 +2,19 @@
 
 A text is cut into pieces at white space such that the tokenizer's own cuts lie at every piece border; a piece's token
 count then never depends on its neighbours. Counts of the frequent pieces, from a bounded sample of documents, are
-broadcast; the others are encoded once by each worker and kept in a bounded cache. Texts with white space outside ASCII
-are encoded whole.
+broadcast; the others are encoded once by each worker and kept in a bounded cache. Texts with white space outside ASCII,
+or with special strings, are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from collections import Counter
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,16 +38,49 @@ def tokenizer(path: str):
     return _OPEN[path]
 
 
+#: Printable ASCII and Latin letters, composed already and lower-cased one by one.
+PLAIN = regex.compile("[ -~\u00c0-\u012f\u0131-\u017f]+")
+#: The steps before the merges for which PieceCounts knows a shorter way, and their pattern.
+KNOWN_STEPS = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, "post_processor": None}
+CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+
+
+def byte_chars() -> dict[int, str]:
+    """The printable character that stands for each byte."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class PieceCounts(dict):
-    """piece -> tokens; a miss is encoded and kept while fewer than bound misses are kept."""
+    """piece -> tokens; of what is not in `known`, about `bound` pieces used lately are kept."""
 
     def __init__(self, path: str, known: dict[bytes, int], bound: int) -> None:
         super().__init__(known)
-        self.encoder, self.bound = tokenizer(path), bound + len(known)
+        self.encoder, self.known, self.half, self.old = tokenizer(path), known, len(known) + bound // 2, {}
+        steps = json.loads(self.encoder.to_str())
+        self.plain = all(steps.get(k) == v for k, v in KNOWN_STEPS.items()) and steps["model"]["type"] == "BPE" and not steps["model"].get("dropout")
+        self.whole = tuple(t["content"].encode() for t in steps["added_tokens"])
+        self.special = tuple(w[:2] for w in self.whole)
+        self.merge, self.chars = self.encoder.model.tokenize, byte_chars()
+
+    def tokens_of(self, piece: bytes) -> int:
+        """The tokens of one piece: merged by the model alone where the cuts are known, else by the whole tokenizer."""
+        text = piece.decode()
+        if not self.plain or not PLAIN.fullmatch(text) or any(s in piece for s in self.special):
+            return len(self.encoder.encode(text, add_special_tokens=False).ids)
+        parts = (text,) if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()) else CUT.findall(text)
+        return sum(len(self.merge(p.encode().decode("latin-1").translate(self.chars))) for p in parts)
 
     def __missing__(self, piece: bytes) -> int:
-        n = len(self.encoder.encode(piece.decode(), add_special_tokens=False).ids)
-        if len(self) < self.bound and len(piece) <= 64:
+        n = self.old.get(piece)
+        if n is None:
+            n = self.tokens_of(piece)
+        if len(piece) <= 64:
+            if len(self) >= self.half:
+                self.old = dict(self)
+                self.clear()
+                self.update(self.known)
             self[piece] = n
         return n
 
@@ -53,8 +88,8 @@ class PieceCounts(dict):
         """Tokens of a whole text, given also as bytes."""
         if not data:
             return 0
-        if text is not None and OTHER_SPACE.search(text):
-            return len(self.encoder.encode(text, add_special_tokens=False).ids)
+        if text is not None and OTHER_SPACE.search(text) or any(w in data for w in self.whole):
+            return len(self.encoder.encode(data.decode(), add_special_tokens=False).ids)
         return sum(map(self.__getitem__, PIECE.findall(data)))
 
 
@@ -81,7 +116,7 @@ def frequent_pieces(df: DataFrame, text: str, sample_docs: int, table_size: int)
     return [bytes(r.piece) for r in best.collect()]
 
 
-def count_tokens(df: DataFrame, path: str, text: str = "text", sample_docs: int = 5_000, table_size: int = 20_000, cache_size: int = 400_000) -> DataFrame:
+def count_tokens(df: DataFrame, path: str, text: str = "text", sample_docs: int = 5_000, table_size: int = 20_000, cache_size: int = 900_000) -> DataFrame:
     """df with n_tokens: the tokens of each whole text, special strings inside handled as the tokenizer does by default.
 
     A missing or empty text has 0. The broadcast table has at most table_size entries (a piece of at most 64 bytes and
