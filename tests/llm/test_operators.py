@@ -1,0 +1,294 @@
+"""Operators on small tables with nulls, empty texts, repeated rows and clashing columns, against brute force."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from sparkfen.llm import decontaminate, language_id, licenses, mixing, near_dup, pii, quality, registry, token_counts, token_store, url_filter
+from sparkfen.session import scratch_path, table
+from tests.differential import compare
+
+DIR = "/root/testdata/sf0.001"
+WORD = re.compile("[^\x20\x09-\x0D]+")
+ODD = [
+    (1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "a b c d e f g h i j k l"), (5, "a b c d e f g h i j k l"), (6, "É ß É ß É ß " * 9), (7, "x. " * 30_000), (None, "no key here at all today"),
+    (8, "call +1 (743) 555-3824 or a.b@c.example.com, card 4111 1111 1111 1111, 10.0.0.1 ssn 123-45-6789"), (9, "<|endoftext|> \n\n<|endoftext|>"), (10, "a　b \n c"),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Clashing names besides doc_id and text."""
+    df = spark.createDataFrame(ODD, "doc_id long, text string")
+    return df.select("*", F.lit("src0").alias("source"), F.lit("en").alias("lang"), F.length("text").cast("long").alias("n_chars"), *[F.lit(7).alias(c) for c in ("n_words", "kept", "size", "score", "host", "bits", "u", "g")])
+
+
+@pytest.fixture(scope="module")
+def empty(odd):
+    return odd.filter("1 = 0")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return table(spark, DIR, "documents")
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_against_sql(spark, name):
+    compare(registry.queries()[name], registry.oracle_sql()[name], spark, DIR)
+
+
+def measured(text):
+    w = WORD.findall(text or "")
+    grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    seen, covered = collections.Counter(grams), set()
+    for i, g in enumerate(grams):
+        if seen[g] > 1:
+            covered.update(range(i, i + 5))
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality(odd, empty):
+    got = sorted(tuple(r)[1:6] for r in quality.digest(odd).collect())
+    assert got == sorted(measured(t) for _, t in ODD)
+    assert quality.digest(empty).count() == 0
+    assert {r.rule: r.n_docs for r in quality.ablation(quality.ledger(empty)).collect()}["few_words"] == 0
+    assert quality.keep_good(odd).columns == odd.columns
+    with pytest.raises(ValueError):
+        quality.ledger(odd, [quality.Rule(1, "a", "true"), quality.Rule(1, "b", "true")])
+
+
+def test_quality_ablation(docs):
+    led = quality.ledger(docs).cache()
+    bits = [r.fail_bits for r in led.select("fail_bits").collect()]
+    for r in quality.ablation(led).collect():
+        bit = next(1 << x.bit for x in quality.RULES if x.name == r.rule)
+        assert (r.n_failed, r.n_only, r.n_docs) == (sum(b & bit > 0 for b in bits), sum(b == bit for b in bits), len(bits))
+
+
+def test_urls(spark):
+    rules = [*registry.URL_RULES, ("block", "bad.example.com"), ("allow", "bad.example.com/ok")]
+    urls = [None, "", "x", "http://EXAMPLE.org/en/17?x", "https://a.example.org/es/", "http://example.org", "ftp://notexample.org/en/1", "http://q.com/de/#a", "http://bad.example.com", "http://x.bad.example.com/okay", "://com/fr/1", "http://é.com/fr/\n1"]
+    df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, host string")
+
+    def plain(url):
+        m = re.search(r"://([^/?#]*)([^?#]*)", url or "")
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        fits = [(h.count("."), len(p), v == "allow", v, t) for v, t in rules for h, s, p in [t.partition("/")] for p in [s + p] if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return (host, path, max(fits)[4], max(fits)[3]) if fits else (host, path, None, "allow")
+
+    got = url_filter.judge_urls(df, rules).orderBy("page_id").select("host", "path", "rule", "verdict").collect()
+    assert [tuple(r) for r in got] == [plain(u) for u in urls]
+    assert url_filter.judge_urls(df.filter("1=0"), rules).count() == 0
+    with pytest.raises(ValueError):
+        url_filter.judge_urls(df, rules, max_rules=2)
+
+
+@given(st.text(st.sampled_from("a.@-+0123459 ()é\n"), max_size=60))
+@settings(max_examples=400, deadline=None)
+def test_pii_base_spans(text):
+    assert [s[:3] for s in pii.find(text) if s[0] in pii.BASE_KINDS] == pii.brute(text)
+
+
+def test_pii(odd, empty, docs):
+    by = {r.doc_id: r for r in pii.digest(odd).collect()}
+    assert by[8].spans.split(",")[-1].startswith("national_id:") and by[1].spans == "" and by[1].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert pii.digest(empty).count() == 0
+    covered = {r.doc_id: r.redacted for r in pii.find_pii(odd, redact=True).collect()}
+    assert "[CARD]" in covered[8] and covered[1] is None
+    assert pii.mod97("GB82WEST12345698765432") and pii.find("GB82 WEST 1234 5698 7654 32")[0][0] == "iban"
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert all(r.base_sha256 == pii.sha(pii.brute(texts[r.doc_id])) for r in pii.digest(docs).collect())
+
+
+def test_mixing(docs, odd, empty):
+    rows = mixing.digest(docs).collect()
+    texts, taken, goal = {r.doc_id: r for r in docs.collect()}, collections.Counter(), {}
+    for r in rows:
+        assert r.size == len(WORD.findall(texts[r.doc_id].text or "")) and r.taken <= 3 * r.size
+        taken[texts[r.doc_id].source] += r.taken
+        goal[texts[r.doc_id].source] = (r.target, r.source_size)
+    sizes = {s: n for s, (_, n) in goal.items()}
+    assert {s: t for s, (t, _) in goal.items()} == pytest.approx(mixing.targets_of(sizes))
+    largest = collections.Counter()
+    for r in rows:
+        largest[texts[r.doc_id].source] = max(largest[texts[r.doc_id].source], r.size)
+    assert all(abs(taken[s] - t) <= max(1, largest[s] / 2) for s, (t, _) in goal.items())
+    assert sorted(map(tuple, mixing.digest(docs.repartition(7)).collect())) == sorted(map(tuple, rows))
+    assert mixing.digest(empty).count() == 0 and mixing.digest(odd).count() == len(ODD)
+    assert set(mixing.apply_mix(odd).columns) == set(odd.columns) and mixing.apply_mix(empty).count() == 0
+
+
+def test_targets_stop_at_the_cap():
+    t = mixing.targets_of({"a": 10, "b": 1000, None: 1000})
+    assert t["a"] == 30 and sum(t.values()) == pytest.approx(2010) and all(v <= 3 * s for v, s in zip(t.values(), (10, 1000, 1000)))
+    assert mixing.targets_of({}) == {} and mixing.targets_of({"a": 0}) == {"a": 0.0}
+
+
+def test_flow_spreads_before_it_repeats():
+    flow = mixing.route({("a",): 100, ("a", "b"): 100, ("b",): 50}, {"a": 150, "b": 150})
+    total = collections.Counter()
+    for (p, _), n in flow.items():
+        total[p] += n
+    assert sum(flow.values()) == 300 and total[("a",)] >= 100 and total[("b",)] >= 50 and all(total[p] <= 3 * n for p, n in {("a",): 100, ("a", "b"): 100, ("b",): 50}.items())
+    cost = sum(max(0, total[p] - n) + max(0, total[p] - 2 * n) for p, n in {("a",): 100, ("a", "b"): 100, ("b",): 50}.items())
+    assert cost == 50
+
+
+def test_languages(spark, docs, odd, empty):
+    rows = language_id.digest(docs).collect()
+    lang = {r.doc_id: r.lang for r in docs.collect()}
+    held = [r for r in rows if r.held_out and lang[r.doc_id]]
+    assert held and sum(r.lang_pred == lang[r.doc_id] for r in held) / len(held) > 0.95
+    assert all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+    by = {r.doc_id: r.lang_pred for r in language_id.digest(odd).collect()}
+    assert by[1] == by[2] == by[3] == "und" and by[4] == "en"
+    assert language_id.digest(empty).count() == 0
+    assert {r.lang_pred for r in language_id.digest(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_licences(spark, empty):
+    cases = {1: None, 2: "", 3: "Foo.\nReleased under the MIT License.\nBar", 4: "Released under the  mit license", 5: "You may not use this file except in compliance with the License. Other. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS.", 6: "license licence"}
+    df = spark.createDataFrame(list(cases.items()), "doc_id long, text string")
+    assert {r.doc_id: r.licenses for r in licenses.digest(df).collect()} == {1: "", 2: "", 3: "MIT", 4: "MIT", 5: "Apache-2.0", 6: ""}
+    assert licenses.digest(empty).count() == 0
+    assert all(any(a in licenses.plain(s).split() for a in licenses.anchors(licenses.SENTENCES)) for s in licenses.SENTENCES.values())
+
+
+@given(st.lists(st.integers(0, 2**32 - 1), min_size=1, max_size=3000), st.data())
+@settings(max_examples=40, deadline=None)
+def test_codes_round_trip(ids, data):
+    codes = token_store.Codes(token_store.encode(np.array(ids, np.uint32)))
+    assert codes.all().tolist() == ids and len(codes) == len(ids)
+    i = data.draw(st.integers(0, len(ids) - 1))
+    assert codes[i] == ids[i]
+
+
+def test_token_files(spark, docs, odd, empty):
+    path = registry.tokenizer_path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+
+    def plain(rows):
+        start, out = 0, []
+        for r in sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0)):
+            ids = t.encode(r.text or "", add_special_tokens=False).ids + [2]
+            out.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+            start += len(ids)
+        return out
+
+    for df in (docs, odd):
+        got = [tuple(r) for r in token_store.digest(df, path).collect()]
+        assert sorted(got, key=lambda r: r[1]) == plain(df.select("doc_id", "text").collect())
+    assert token_store.digest(empty, path).count() == 0
+    out = scratch_path(spark, "test")
+    token_store.write_tokens(docs, path, out, segment=500)
+    ids = [i for r in sorted(docs.collect(), key=lambda r: r.doc_id) for i in t.encode(r.text or "", add_special_tokens=False).ids + [2]]
+    places = random.Random(1).sample(range(len(ids)), 50)
+    assert token_store.tokens_at(token_store.read_tokens(spark, out), places) == {p: ids[p] for p in places}
+
+
+@given(st.lists(st.sampled_from([" ", "  ", "\n", "a", "É", "x²", "'s", "<|endoftext|>", "12", "!", " ", "😀", "Don't", "　", "é", "İ", "\x85", "."]), max_size=10).map("".join))
+@settings(max_examples=300, deadline=None)
+def test_tokenizers_agree(text):
+    for name, made in (("byte_bpe_50k.json", None), ("word_bpe_49k.json", None)):
+        path, data = registry.tokenizer_path(name), text.encode()
+        want = token_counts.tokenizer(path).encode(text, add_special_tokens=False).ids
+        if name.startswith("byte"):
+            assert token_counts.PieceCounts(path, {}, 4).count(None if data.isascii() else text, data) == len(want)
+        else:
+            chunks = token_store.ChunkIds(path, 4)
+            assert np.frombuffer(b"".join(chunks[c] for c in data.split()), "<u4").tolist() == want
+
+
+def test_token_counts(docs, odd, empty):
+    path = registry.tokenizer_path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    for df in (docs, odd):
+        got = sorted((r.doc_id or -1, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.digest(df, path).collect())
+        want = [(r.doc_id or -1, len((r.text or "").encode()), len(t.encode(r.text or "", add_special_tokens=False).ids)) for r in df.select("doc_id", "text").collect()]
+        assert got == sorted((*w, w[2] > 512) for w in want)
+    assert token_counts.digest(empty, path).count() == 0
+
+
+def components(rows, size, share=0.8):
+    sets = []
+    for _, text in rows:
+        w = (text or "").encode().lower().split()
+        sets.append(frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(least.get(find(i), d), d)
+    return sorted((d if d is not None else -9, len(s), least.get(find(i)) if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets)))
+
+
+def test_near_duplicates(spark, odd, empty):
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(400)}" for _ in range(120)]
+    rows = list(ODD)
+    for i in range(60):  # a large group whose members are at all distances from each other
+        w = list(base)
+        for _ in range(rng.randrange(14)):
+            w[rng.randrange(120)] = f"v{rng.randrange(10_000)}"
+        rows.append((100 + i, " ".join(w)))
+    for i in range(40):
+        rows.append((200 + i, " ".join(f"w{rng.randrange(400)}" for _ in range(rng.randrange(4, 80)))))
+    rows += [(400 + i, rows[-i - 1][1]) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (2, 5):
+        got = near_dup.near_duplicates(df, size=size).collect()
+        assert sorted((r.doc_id if r.doc_id is not None else -9, r.n_shingles, r.component_id) for r in got) == components(rows, size)
+        assert all(r.kept == (r.doc_id is not None and r.doc_id == r.component_id) for r in got)
+    assert near_dup.near_duplicates(empty).count() == 0
+    kept = near_dup.keep_one(odd)
+    assert kept.columns == odd.columns and kept.filter("doc_id = 5").count() == 1
+
+
+def test_decontamination(spark, docs, odd, empty):
+    words = [f"i{k}" for k in range(30)]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, "Short one"), (3, None), (4, "?!"), (1, " ".join(words)), (None, "nameless thing here")], "item_id long, text string")
+    rows = [(1, "x " + " ".join(words[3:14]).upper() + " y"), (2, " ".join(words[:9])), (3, "a short ONE, b"), (4, None), (5, "a nameless thing here"), (6, " ".join(words))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_hit", F.lit("x"))
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontaminate.digest(df, items).collect()}
+    assert got == {1: (13, 11, 1, True), 2: (9, 0, 0, False), 3: (4, 2, 1, True), 4: (0, 0, 0, False), 5: (4, 3, 0, True), 6: (30, 30, 1, True)}
+    clean = {r.doc_id: r.text for r in decontaminate.clean_documents(df, items, 0.9).collect()}
+    assert clean == {1: "x y", 2: " ".join(words[:9]), 3: "a , b", 4: None, 5: "a"}
+    assert decontaminate.digest(odd, items.filter("1=0")).filter("contaminated").count() == 0
+    assert decontaminate.digest(empty, items).count() == 0
+
+
+@given(st.lists(st.lists(st.integers(0, 3), min_size=0, max_size=12), max_size=5), st.lists(st.integers(0, 4), max_size=60), st.integers(1, 5))
+@settings(max_examples=200, deadline=None)
+def test_automaton_against_windows(items, doc, window):
+    text = lambda ids: " ".join(f"w{i}" for i in ids).encode()
+    got = decontaminate.ItemAutomaton([text(i) for i in items], window).match(decontaminate.words_of(text(doc)))
+    hit, found = [False] * len(doc), set()
+    for k, item in enumerate(items):
+        n = min(window, len(item))
+        grams = {tuple(item[i : i + n]) for i in range(len(item) - n + 1)} if n else set()
+        for i in range(len(doc) - n + 1):
+            if n and tuple(doc[i : i + n]) in grams:
+                hit[i : i + n] = [True] * n
+                found.add(k)
+    assert got.hit.tolist() == hit and got.items == found
