@@ -133,7 +133,7 @@ FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.D
 _OPEN: dict[str, Scorer] = {}
 
 
-def identify(df: DataFrame, model: Model, text: str = "text", cache_size: int = 150_000) -> DataFrame:
+def identify(df: DataFrame, model: Model, text: str = "text", cache_size: int = 600_000) -> DataFrame:
     """df with lang_pred and score (0 to 1) of each whole text.
 
     A missing text, or one without letters, is und with score 0, as is every text if the model knows no language. Ties
