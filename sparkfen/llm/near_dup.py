@@ -6,9 +6,12 @@
 3. Two classes with at least `least` of the coordinates in common share one of the `coords - least + 1` rarest postings
    of either (prefix). Only those lists are merged; the longer lists are skipped, and a candidate's total of collisions
    is counted on the two signatures.
-4. Lists are merged in rounds that never pair up a group: each class is joined to the head of the list, and the pairs
-   that reach `least` are confirmed on whole sets. What is then in one component is not compared again; the last round
-   compares what is left across components, so that no component is missed.
+   Each posting carries the low four bits of every coordinate, so the join itself counts: equal coordinates have equal
+   bits, and the count is never below the true one.
+4. Lists are merged in rounds that never pair up a group: each class is joined to one head of the list, and the best
+   pair of each class is confirmed on whole sets. What is then in one component is not compared again. Further rounds
+   join classes outside a list's largest component to a random member of it; the last round compares what is left across
+   components, so that no component is missed, after classes that can have no partner in a long list are taken out of it.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,9 +29,14 @@ from sparkfen.operators.graph import connected_components
 from sparkfen.session import cut
 
 COORDS = 64
-#: Of 64 coordinates, a pair at similarity 0.8 has 51 in common on average; fewer than 34 happens about once in 10 million pairs.
-LEAST = 34
+#: Of 64 coordinates, a pair at similarity 0.8 has 51 in common on average; fewer than 36 happens in about 4 of a million pairs.
+LEAST = 36
+NIBBLES = 16
 BLOCK = 1 << 15
+#: Rounds with random heads before the last one.
+ROUNDS = 2
+#: Lists with more classes than this are thinned before the last round.
+LONG = 32
 
 
 class _Hashes(dict):
@@ -79,22 +88,30 @@ def signature(s: np.ndarray, flips: np.ndarray, odds: np.ndarray) -> np.ndarray:
     return out.astype(np.uint32).view(np.int32)
 
 
-SET_FIELDS = [T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("sig", T.ArrayType(T.IntegerType()))]
+def low_bits(sig: np.ndarray) -> np.ndarray:
+    """The low four bits of each coordinate, 16 to a long."""
+    parts = (sig.view(np.uint32).astype(np.uint64) & np.uint64(15)).reshape(-1, NIBBLES)
+    return np.bitwise_or.reduce(parts << (np.arange(NIBBLES, dtype=np.uint64) * np.uint64(4)), axis=1).view(np.int64)
+
+
+SET_FIELDS = [T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("sig", T.ArrayType(T.IntegerType())), T.StructField("bits", T.ArrayType(T.LongType()))]
 
 
 def sketch(df: DataFrame, text: str, size: int, coords: int = COORDS) -> DataFrame:
-    """df with n_shingles, set_key and sig; all but n_shingles (0) are null for a text without words."""
+    """df with n_shingles, set_key, sig and bits; all but n_shingles (0) are null for a text without words."""
 
     def start():
         flips, odds = _constants(coords)
 
         def work(batch: pa.RecordBatch) -> list:
-            out = [[], [], []]
+            out = [[], [], [], []]
             for cell in batch.column(batch.schema.get_field_index(text)).cast(pa.binary()):
                 s = shingles_of(cell.as_py(), size)
                 out[0].append(len(s))
                 out[1].append(key_of(s) if len(s) else None)
-                out[2].append(signature(s, flips, odds) if len(s) else None)
+                made = signature(s, flips, odds) if len(s) else None
+                out[2].append(made)
+                out[3].append(None if made is None else low_bits(made))
             return out
 
         return work
@@ -102,31 +119,49 @@ def sketch(df: DataFrame, text: str, size: int, coords: int = COORDS) -> DataFra
     return annotate(df, SET_FIELDS, start)
 
 
-def _collisions(a: str, b: str, coords: int) -> Column:
-    total = F.lit(0)
-    for k in range(coords):
-        total = total + (F.col(a)[k] == F.col(b)[k]).cast("int")
-    return total
+def _common(a: str, b: str, coords: int) -> Column:
+    """Coordinates whose low bits are equal in two postings."""
+    ones = F.lit(0x1111111111111111).cast("long")
+    differing = F.lit(0)
+    for k in range(coords // NIBBLES):
+        z = F.col(f"{a}.bits")[k].bitwiseXOR(F.col(f"{b}.bits")[k])
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
+        differing = differing + F.bit_count(z.bitwiseAND(ones))
+    return F.lit(coords) - differing
+
+
+def _alike(a: str, b: str, num: int, den: int, coords: int, least: int) -> Column:
+    """Whether two postings agree in enough coordinates and have sizes that allow the similarity."""
+    return (den * F.least(f"{a}.n", f"{b}.n") >= num * F.greatest(f"{a}.n", f"{b}.n")) & (_common(a, b, coords) >= least)
 
 
-def _scored(pairs: DataFrame, reps: DataFrame, num: int, den: int, coords: int, least: int) -> DataFrame:
-    """Of the pairs (a, b), those with enough collisions and sizes that allow the similarity; with n_same."""
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"sig{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")
-    return both.select("a", "b", _collisions("siga", "sigb", coords).alias("n_same")).filter(F.col("n_same") >= least)
+def _pairs(x: DataFrame, y: DataFrame, more: Column, limits: tuple) -> DataFrame:
+    """(a, b, n_same), a < b, once each, of the postings x and y of a token that are alike and fulfil `more`."""
+    num, den, coords, least = limits
+    both = x.alias("x").join(y.alias("y"), (F.col("x.token") == F.col("y.token")) & more & _alike("x", "y", num, den, coords, least))
+    return both.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), _common("x", "y", coords).alias("n_same")).distinct()
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """The pair with most common coordinates of each class."""
+    ends = pairs.select(F.col("a").alias("rep"), "a", "b", "n_same").union(pairs.select(F.col("b").alias("rep"), "a", "b", "n_same"))
+    return ends.groupBy("rep").agg(F.max(F.struct("n_same", -F.col("a"), -F.col("b"))).alias("m")).select((-F.col("m.col2")).alias("a"), (-F.col("m.col3")).alias("b")).distinct()
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Of the pairs (a, b), those whose whole sets are similar. texts: (rep, text)."""
+    """Of the pairs (a, b), those whose whole sets are similar. texts: (rep, packed)."""
     ends = pairs.select("a", "b", F.explode(F.array(F.col("a"), F.col("b"))).alias("rep"))
-    placed = ends.join(texts, "rep").select("a", "b", F.when(F.col("rep") == F.col("a"), F.col("text")).alias("ta"), F.when(F.col("rep") == F.col("b"), F.col("text")).alias("tb"))
+    placed = ends.join(texts, "rep").select("a", "b", F.when(F.col("rep") == F.col("a"), F.col("packed")).alias("ta"), F.when(F.col("rep") == F.col("b"), F.col("packed")).alias("tb"))
     whole = placed.groupBy("a", "b").agg(F.max("ta").alias("ta"), F.max("tb").alias("tb"))
 
     def start():
+        unpack = zstandard.ZstdDecompressor().decompress
+
         def work(batch: pa.RecordBatch) -> list:
             out = []
-            for x, y in zip(batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary())):
-                s, t = shingles_of(x.as_py(), size), shingles_of(y.as_py(), size)
+            for x, y in zip(batch.column(2), batch.column(3)):
+                s, t = shingles_of(unpack(x.as_py()), size), shingles_of(unpack(y.as_py()), size)
                 both = len(s) + len(t) - len(np.union1d(s, t))
                 out.append(den * both >= num * (len(s) + len(t) - both))
             return [out]
@@ -137,7 +172,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int
 
 
 def _placed(posts: DataFrame, edges: DataFrame) -> DataFrame:
-    """posts (token, rep) with each class's component so far."""
+    """posts with each class's component so far."""
     return posts.join(connected_components(edges, "a", "b").withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
 
 
@@ -153,66 +188,93 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     """
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     sets = cut(sketch(rows, "text", size, coords).drop("text"))
-    classes = sets.filter("set_key is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    limits = (num, den, coords, least)
+    classes = sets.filter("set_key is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bits").alias("bits"))
     classes = cut(classes.filter("rep is not null"))
     smallest = -(-num // max(1, den - num))  # fewer shingles are linked with an equal set only
-    reps = classes.filter(F.col("n") >= smallest).select("rep", "n", "sig", "set_key")
+    reps = classes.filter(F.col("n") >= smallest)
     postings = reps.select("rep", F.posexplode("sig").alias("k", "v")).select("rep", (F.shiftleft(F.col("k").cast("long"), 32) + F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))).alias("token"))
     lists = postings.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     own = postings.join(lists, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
-    prefix = own.filter(F.size("t") >= least).select("rep", F.explode(F.slice("t", F.lit(1), F.size("t") - least + 1)).alias("x"))
-    posts = cut(prefix.select("rep", F.col("x.token").alias("token")))
-
-    heads = posts.groupBy("token").agg(F.min("rep").alias("a"), F.count("*").alias("m")).filter("m > 1").select("token", "a")
-    first = posts.join(heads, "token").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    first = cut(_scored(first, reps, num, den, coords, least))
-    crowded = posts.join(posts.groupBy("token").agg(F.count("*").alias("m")).filter("m > 2").select("token"), "token", "left_semi")
-    wanted = first.select(F.explode(F.array("a", "b")).alias("rep")).union(crowded.select("rep")).distinct()
+    own = own.filter(F.size("t") >= least).join(reps.select("rep", "n", "bits"), "rep")
+    prefix = own.select("rep", "n", "bits", F.explode(F.slice("t", F.lit(1), F.size("t") - least + 1)).alias("x"))
+    posts = cut(prefix.select("rep", "n", "bits", F.col("x.token").alias("token")))
+
+    heads = posts.groupBy("token").agg(F.min(F.struct("rep", "n", "bits")).alias("h"), F.count("*").alias("m")).filter("m > 1").select("token", "h.*")
+    first = cut(_best(_pairs(posts, heads, F.col("x.rep") > F.col("y.rep"), limits)))
+    crowded = posts.groupBy("token").agg(F.count("*").alias("m")).filter("m > 2").select("token")
+    wanted = first.select(F.explode(F.array("a", "b")).alias("rep")).union(posts.join(crowded, "token", "left_semi").select("rep")).distinct()
     texts = _texts(rows, wanted.join(reps.select("rep", "set_key"), "rep"), size)
-
-    best = first.groupBy("b").agg(F.max_by("a", F.struct("n_same", -F.col("a"))).alias("a")).select("a", "b")
-    edges = cut(_confirmed(best, texts, size, num, den))
-    tried = best
-    for last in (False, True):
+    edges, tried = cut(_confirmed(first, texts, size, num, den)), first
+    for turn in range(ROUNDS + 1):
         placed = _placed(posts, edges)
         mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
         left = cut(placed.join(mixed, "token", "left_semi"))
-        if last:
-            x, y = left.select("token", F.col("rep").alias("a"), F.col("comp").alias("ca")), left.select("token", F.col("rep").alias("b"), F.col("comp").alias("cb"))
-            more = x.join(y, "token").filter("a < b and ca <> cb")
-        else:  # each component of a list is joined to the list's smallest member of another component
-            heads = left.groupBy("token", "comp").agg(F.min("rep").alias("h"))
-            low = heads.groupBy("token").agg(F.min(F.struct("h", "comp")).alias("one"))
-            second = heads.join(low, "token").filter("comp <> one.comp").groupBy("token").agg(F.first("one").alias("one"), F.min("h").alias("two"))
-            joined = left.join(second, "token").select("rep", F.when(F.col("comp") == F.col("one.comp"), F.col("two")).otherwise(F.col("one.h")).alias("h"))
-            more = joined.select(F.least("rep", "h").alias("a"), F.greatest("rep", "h").alias("b"))
-        more = cut(_scored(more.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), reps, num, den, coords, least).select("a", "b"))
-        edges = cut(edges.union(_confirmed(more, texts, size, num, den)))
-        tried = tried.union(more)
+        if turn < ROUNDS:
+            dice = F.min(F.struct(F.xxhash64("rep", "token", F.lit(turn)).alias("u"), "rep", "n", "bits")).alias("h")
+            chosen = left.groupBy("token", "comp").agg(F.count("*").alias("m"), dice).groupBy("token").agg(F.max_by(F.struct("h.rep", "h.n", "h.bits", "comp"), F.struct("m", -F.col("comp"))).alias("c"))
+            heads = chosen.select("token", "c.*")
+            more = _best(_pairs(left, heads, F.col("x.comp") != F.col("y.comp"), limits).join(tried, ["a", "b"], "left_anti"))
+        else:
+            left = _possible(left, texts, size, num, den)
+            more = _pairs(left, left, (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")), limits).select("a", "b").join(tried, ["a", "b"], "left_anti")
+        more = cut(more)
+        edges, tried = cut(edges.union(_confirmed(more, texts, size, num, den))), tried.union(more)
     joint = connected_components(edges, "a", "b").withColumnRenamed("node", "rep")
     ids = classes.select("set_key", "rep").join(joint, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    out = sets.drop("sig").join(ids, "set_key", "left")
+    out = sets.drop("sig", "bits").join(ids, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component_id"))
     out = out.select("id", "n_shingles", component.alias("component_id"))
     return out.select(F.col("id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+def _possible(left: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """left without those postings in long lists whose class can have no partner in the list.
+
+    A partner shares at least num / (num + den) of both sizes together, so at least that share with the list's smallest
+    size. Shingles that no other class of a long list has can't be shared; the others are counted for each class. Small
+    lists stay as they are. Nothing that could be linked is left out.
+    """
+    long = left.groupBy("token").agg(F.count("*").alias("m"), F.min("n").alias("low")).filter(F.col("m") > LONG).select("token", "low")
+    placed = left.join(long, "token", "left")
+    wanted = placed.filter("low is not null").select("rep").distinct()
+    schema = T.StructType([T.StructField("rep", T.LongType()), T.StructField("shingle", T.LongType())])
+
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for rep, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                s = shingles_of(unpack(packed.as_py()), size).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), rep, np.int64)), pa.array(s)], names=schema.names)
+
+    rows = texts.join(wanted, "rep", "left_semi").select("rep", "packed").mapInArrow(run, schema)
+    common = rows.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1").select("shingle")
+    shared = cut(rows.join(common, "shingle", "left_semi").groupBy("rep").agg(F.count("*").alias("shared")))
+    tested = placed.join(shared, "rep", "left")
+    low = F.greatest(F.col("low"), F.ceil(F.col("n") * num / den))
+    return cut(tested.filter(F.col("low").isNull() | (F.coalesce("shared", F.lit(0)) * (num + den) >= num * (F.col("n") + low))).select(*left.columns))
+
+
 def _texts(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(rep, text) of the wanted classes, written to the shared folder; wanted: (rep, set_key).
+    """(rep, packed) of the wanted classes, compressed before they are shuffled, written to the shared folder; wanted: (rep, set_key).
 
     Where rows repeat a key with other texts, the one of the class is taken.
     """
-    found = rows.filter("text is not null").join(wanted.withColumnRenamed("rep", "id"), "id")
 
-    def start():
-        def work(batch: pa.RecordBatch) -> list:
-            at = batch.schema.get_field_index
-            return [[key_of(shingles_of(t.as_py(), size)) == k.as_py() for t, k in zip(batch.column(at("text")).cast(pa.binary()), batch.column(at("set_key")))]]
+    def pack():
+        packer = zstandard.ZstdCompressor(level=1)
+        return lambda batch: [[None if t.as_py() is None else packer.compress(t.as_py()) for t in batch.column(batch.schema.get_field_index("text")).cast(pa.binary())]]
 
-        return work
+    packed = annotate(rows.filter("id is not null and text is not null"), [T.StructField("packed", T.BinaryType())], pack).drop("text")
+    found = packed.join(wanted.withColumnRenamed("rep", "id"), "id")
+
+    def check():
+        unpack = zstandard.ZstdDecompressor().decompress
+        at = lambda batch, name: batch.column(batch.schema.get_field_index(name))
+        return lambda batch: [[key_of(shingles_of(unpack(t.as_py()), size)) == k.as_py() for t, k in zip(at(batch, "packed"), at(batch, "set_key"))]]
 
-    right = annotate(found, [T.StructField("right", T.BooleanType())], start).filter("right")
-    return cut(right.select(F.col("id").alias("rep"), "text"))
+    right = annotate(found, [T.StructField("right", T.BooleanType())], check).filter("right")
+    return cut(right.select(F.col("id").alias("rep"), "packed").dropDuplicates(["rep"]))
 
 
 def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
