@@ -11,12 +11,13 @@
 4. Lists are merged in rounds that never pair up a group: each class is joined to one head of the list, and the best
    pair of each class is confirmed on whole sets. What is then in one component is not compared again. Further rounds
    join classes outside a list's largest component to a random member of it; the last round compares what is left across
-   components, so that no component is missed, after classes that can have no partner in a long list are taken out of it.
+   components, so that no component is missed: in short lists by pairs, in long ones as a query set against blocks.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -35,8 +36,9 @@ NIBBLES = 16
 BLOCK = 1 << 15
 #: Rounds with random heads before the last one.
 ROUNDS = 2
-#: Lists with more classes than this are thinned before the last round.
+#: Lists with more classes than this are compared in blocks of BLOCKED classes in the last round, not by pairs.
 LONG = 32
+BLOCKED = 1_000
 
 
 class _Hashes(dict):
@@ -216,7 +218,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
             heads = chosen.select("token", "c.*")
             more = _best(_pairs(left, heads, F.col("x.comp") != F.col("y.comp"), limits).join(tried, ["a", "b"], "left_anti"))
         else:
-            left = _possible(left, texts, size, num, den)
+            edges = cut(edges.union(_blocks(left, texts, size, num, den)))
+            left = left.join(left.groupBy("token").agg(F.count("*").alias("m")).filter(F.col("m") <= LONG).select("token"), "token", "left_semi")
             more = _pairs(left, left, (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")), limits).select("a", "b").join(tried, ["a", "b"], "left_anti")
         more = cut(more)
         edges, tried = cut(edges.union(_confirmed(more, texts, size, num, den))), tried.union(more)
@@ -228,31 +231,42 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     return out.select(F.col("id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def _possible(left: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """left without those postings in long lists whose class can have no partner in the list.
+def _blocks(left: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) across components in long lists: the classes outside a list's largest component (the queries)
+    against all classes of its lists, in blocks of at most about BLOCKED by BLOCKED classes.
 
-    A partner shares at least num / (num + den) of both sizes together, so at least that share with the list's smallest
-    size. Shingles that no other class of a long list has can't be shared; the others are counted for each class. Small
-    lists stay as they are. Nothing that could be linked is left out.
+    A block has its sets in one inverted index; for each query it returns one link to each component, never the pairs.
     """
-    long = left.groupBy("token").agg(F.count("*").alias("m"), F.min("n").alias("low")).filter(F.col("m") > LONG).select("token", "low")
-    placed = left.join(long, "token", "left")
-    wanted = placed.filter("low is not null").select("rep").distinct()
-    schema = T.StructType([T.StructField("rep", T.LongType()), T.StructField("shingle", T.LongType())])
-
-    def run(batches):
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            for rep, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
-                s = shingles_of(unpack(packed.as_py()), size).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), rep, np.int64)), pa.array(s)], names=schema.names)
-
-    rows = texts.join(wanted, "rep", "left_semi").select("rep", "packed").mapInArrow(run, schema)
-    common = rows.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1").select("shingle")
-    shared = cut(rows.join(common, "shingle", "left_semi").groupBy("rep").agg(F.count("*").alias("shared")))
-    tested = placed.join(shared, "rep", "left")
-    low = F.greatest(F.col("low"), F.ceil(F.col("n") * num / den))
-    return cut(tested.filter(F.col("low").isNull() | (F.coalesce("shared", F.lit(0)) * (num + den) >= num * (F.col("n") + low))).select(*left.columns))
+    top = left.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token").agg(F.max_by("comp", F.struct("m", -F.col("comp"))).alias("g"), F.sum("m").alias("m")).filter(F.col("m") > LONG)
+    members = left.join(top.select("token", "g"), "token").groupBy("g", "rep", "comp").agg(F.lit(1).alias("one"))
+    query = F.col("comp") != F.col("g")
+    count = members.groupBy("g").agg(F.ceil(F.count("*") / BLOCKED).cast("int").alias("na"), F.ceil(F.count_if(query) / BLOCKED).cast("int").alias("nq")).filter("nq > 0")
+    placed = members.join(count, "g").join(texts, "rep").withColumns({"i": F.pmod(F.hash("rep"), F.col("na")), "j": F.pmod(F.hash("rep", F.lit(1)), F.col("nq"))})
+    every = placed.select("g", "rep", "comp", "packed", "i", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("j"), F.lit(False).alias("q"))
+    asked = placed.filter(query).select("g", "rep", "comp", "packed", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("i"), "j", F.lit(True).alias("q"))
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        unpack, links = zstandard.ZstdDecompressor().decompress, []
+        sets = [shingles_of(unpack(bytes(t)), size) for t in block["packed"]]
+        rep, comp, asks = block["rep"].to_numpy(), block["comp"].to_numpy(), block["q"].to_numpy(bool)
+        here = np.flatnonzero(~asks)
+        if not len(here):
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        lengths = np.array([len(sets[k]) for k in here])
+        flat, owner = np.concatenate([sets[k] for k in here]), np.repeat(np.arange(len(here)), lengths)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        for k in np.flatnonzero(asks):
+            first, last = np.searchsorted(flat, sets[k], "left"), np.searchsorted(flat, sets[k], "right")
+            both = np.bincount(np.concatenate([owner[x:y] for x, y in zip(first, last)]), minlength=len(here))
+            near = (den * both >= num * (lengths + len(sets[k]) - both)) & (comp[here] != comp[k])
+            seen = {}
+            for x in here[near]:
+                seen.setdefault(comp[x], rep[x])
+            links += [(min(rep[k], x), max(rep[k], x)) for x in seen.values()]
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+    return every.unionByName(asked).groupBy("g", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
 def _texts(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
