@@ -14,18 +14,20 @@ byte each), and, but for the last level, the bitmap (little-endian bits) and the
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from sparkfen.llm.token_counts import tokenizer
+from sparkfen.llm.token_counts import PLAIN, byte_chars, tokenizer
 from sparkfen.session import scratch_path
 
 BITS, BLOCK = 8, 512
@@ -99,18 +101,46 @@ class Codes:
         return value
 
 
+#: The steps before the merges for which ChunkIds knows a shorter way, and their pattern.
+KNOWN_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None,
+}
+CUT = regex.compile(KNOWN_STEPS["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+
 class ChunkIds(dict):
-    """A chunk without white space -> its ids as bytes; a miss is encoded and kept while fewer than bound are kept.
+    """A chunk without white space -> its ids as bytes; what was not used lately is forgotten beyond `bound` chunks.
 
-    The tokenizer's own cuts lie at all white space, so a text's ids are those of its chunks in order.
+    The tokenizer's own cuts lie at all white space, so a text's ids are those of its chunks in order. With the known
+    steps, chunks of plain characters are cut here and only merged by the tokenizer's model; all others go through the
+    whole tokenizer.
     """
 
     def __init__(self, path: str, bound: int) -> None:
-        self.encoder, self.bound = tokenizer(path), bound
+        self.encoder, self.half, self.old = tokenizer(path), bound // 2, {}
+        steps = json.loads(self.encoder.to_str())
+        self.plain = all(steps.get(k) == v for k, v in KNOWN_STEPS.items()) and steps["model"]["type"] == "BPE" and not steps["model"].get("dropout")
+        self.special = tuple(t["content"].encode()[:2] for t in steps["added_tokens"])
+        self.merge, self.chars = self.encoder.model.tokenize, byte_chars()
+
+    def ids_of(self, chunk: bytes) -> list[int]:
+        """The ids of one chunk."""
+        text = chunk.decode()
+        if not self.plain or not PLAIN.fullmatch(text) or any(s in chunk for s in self.special):
+            return self.encoder.encode(text, add_special_tokens=False).ids
+        text = text.lower()
+        pieces = (text,) if text.isalpha() else CUT.findall(text)
+        return [t.id for p in pieces for t in self.merge(p if p.isascii() else p.encode().decode("latin-1").translate(self.chars))]
 
     def __missing__(self, chunk: bytes) -> bytes:
-        ids = np.array(self.encoder.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) < self.bound and len(chunk) <= 64:
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = np.array(self.ids_of(chunk), "<u4").tobytes()
+        if len(chunk) <= 64:
+            if len(self) >= self.half:
+                self.old = dict(self)
+                self.clear()
             self[chunk] = ids
         return ids
 
@@ -123,7 +153,7 @@ SEGMENT = T.StructType([
 ])
 
 
-def write_tokens(docs: DataFrame, path: str, out: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, segment: int = 1 << 21, cache_size: int = 300_000) -> None:
+def write_tokens(docs: DataFrame, path: str, out: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, segment: int = 1 << 21, cache_size: int = 900_000) -> None:
     """Writes the ids of each whole text, and end_id after it, to `out` in ascending key.
 
     A missing or empty text has only end_id. Rows without a key come first and read back without one; rows of one key
