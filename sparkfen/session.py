@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -55,9 +56,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The frame written to the shared folder and read again, so that its lineage ends there."""
+    """The frame written to the shared folder and read again, so that its lineage ends there.
+
+    Nothing reads the shuffle files before it any more. Spark deletes them when the driver's collector finds their plans
+    unused, which it seldom runs for; so long jobs would fill the disks. Hence it runs here.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    release(out.sparkSession)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle and checkpoint files that no frame refers to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
