@@ -173,11 +173,6 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int
     return annotate(whole, [T.StructField("linked", T.BooleanType())], start).filter("linked").select("a", "b")
 
 
-def _placed(posts: DataFrame, edges: DataFrame) -> DataFrame:
-    """posts with each class's component so far."""
-    return posts.join(connected_components(edges, "a", "b").withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-
-
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text", coords: int = COORDS, least: int = LEAST) -> DataFrame:
     """(key, n_shingles, component_id, kept): a row for each row of docs.
 
@@ -208,10 +203,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     wanted = first.select(F.explode(F.array("a", "b")).alias("rep")).union(posts.join(crowded, "token", "left_semi").select("rep")).distinct()
     texts = _texts(rows, wanted.join(reps.select("rep", "set_key"), "rep"), size)
     edges, tried = cut(_confirmed(first, texts, size, num, den)), first
+    left = posts
     for turn in range(ROUNDS + 1):
-        placed = _placed(posts, edges)
+        stars = connected_components(edges, "a", "b").withColumnRenamed("node", "rep")
+        # A list that is in one component stays in one, so each round starts from the lists that the last one left.
+        placed = cut(left.drop("comp").join(stars, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component"))
         mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
         left = cut(placed.join(mixed, "token", "left_semi"))
+        edges = stars.filter("rep <> component").select(F.col("rep").alias("a"), F.col("component").alias("b"))
         if turn < ROUNDS:
             dice = F.min(F.struct(F.xxhash64("rep", "token", F.lit(turn)).alias("u"), "rep", "n", "bits")).alias("h")
             chosen = left.groupBy("token", "comp").agg(F.count("*").alias("m"), dice).groupBy("token").agg(F.max_by(F.struct("h.rep", "h.n", "h.bits", "comp"), F.struct("m", -F.col("comp"))).alias("c"))
