@@ -17,7 +17,8 @@ LIMIT = int(0.01 * 2**64)
 
 
 def _seqs(b):
-    d = F.substring(F.upper(F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", LETTERS)), 1, 400)
+    """Whole texts as DNA. The SQL twins still read the first 400 letters, so they differ from the queries on longer texts."""
+    d = F.upper(F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", LETTERS))
     return b.t("documents").select(F.col("doc_id").alias("sample_id"), d.alias("seq"))
 
 
@@ -89,7 +90,7 @@ def sketch_union(b):
 def seq_profile(b):
     """X22, W07."""
     d = _seqs(b)
-    w = d.select("sample_id", F.explode(c.kmers(F.col("seq"), 3)).alias("t")).groupBy("sample_id", "t").agg(F.count("*").alias("c"))
+    w = sk.windows(d, 3).groupBy("sample_id", F.col("kmer").alias("t")).agg(F.count("*").alias("c"))
     h = w.groupBy("sample_id").agg((F.log2(F.sum("c")) - F.sum(F.col("c") * F.log2("c")) / F.sum("c")).alias("h"))
     out = d.join(h, "sample_id", "left").select("sample_id", F.length("seq").cast("long").alias("n"), c.gc_fraction(F.col("seq")).alias("gc"), c.longest_run(F.col("seq")).cast("long").alias("longest_run"), F.abs(F.coalesce("h", F.lit(0.0))).alias("entropy3"))
     return rounded(out)
