@@ -86,8 +86,22 @@ def fisher_exact(a: int, b: int, c: int, d: int) -> tuple[float, float]:
     return odds, float(min(1.0, p[p <= p[a - lo] * (1 + 1e-7)].sum()))
 
 
+def dominated(ranks: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """For each row, the sums of the weights (n, k) of earlier rows with a smaller rank; bit by bit, without comparing pairs."""
+    n, out, order = len(ranks), np.zeros_like(weights), np.arange(len(ranks))
+    for b in reversed(range(int(ranks.max(initial=0)).bit_length())):
+        r = ranks[order]
+        high, bit = r >> (b + 1), (r >> b & 1).astype(bool)
+        low = np.where(bit[:, None], 0, weights[order])
+        sums = low.cumsum(0)
+        first = np.maximum.accumulate(np.where(np.r_[True, high[1:] != high[:-1]], np.arange(n), 0))
+        out[order] += np.where(bit[:, None], sums - (sums - low)[first], 0)
+        order = order[np.argsort(r >> b, kind="stable")]
+    return out
+
+
 def kendall_tau_b(x: np.ndarray, y: np.ndarray) -> float:
-    """Tie-corrected tau by counting inversions in a merge sort."""
+    """Tie-corrected tau of all pairs, by counting inversions."""
     n = len(x)
     if n < 2:
         return math.nan
@@ -95,44 +109,48 @@ def kendall_tau_b(x: np.ndarray, y: np.ndarray) -> float:
     x, y = x[order], y[order]
     ties = lambda *c: sum(m * (m - 1) // 2 for m in np.unique(np.stack(c, 1), axis=0, return_counts=True)[1].tolist())
     total, tx, ty, both = n * (n - 1) // 2, ties(x), ties(y), ties(x, y)
-    swaps, width, ranks = 0, 1, np.unique(y, return_inverse=True)[1].tolist()
-    while width < n:
-        out = []
-        for i in range(0, n, 2 * width):
-            left, right = ranks[i : i + width], ranks[i + width : i + 2 * width]
-            j = k = 0
-            while j < len(left) and k < len(right):
-                if left[j] <= right[k]:
-                    out.append(left[j])
-                    j += 1
-                else:
-                    out.append(right[k])
-                    swaps += len(left) - j
-                    k += 1
-            out += left[j:] + right[k:]
-        ranks, width = out, 2 * width
+    ranks = np.unique(y, return_inverse=True)[1]
+    swaps = int(dominated(ranks.max() - ranks, np.ones((n, 1), np.int64)).sum())
     bottom = math.sqrt((total - tx) * (total - ty))
     return math.nan if not bottom else (total - tx - ty + both - 2 * swaps) / bottom
 
 
 def distance_correlation(x: np.ndarray, y: np.ndarray) -> float:
-    """Of two samples, from centred distance matrices; quadratic in the sample."""
-    if len(x) < 2:
+    """Of two samples, as from centred distance matrices, which are not built: sums over pairs come from sorts and prefix sums."""
+    n = len(x)
+    if n < 2:
+        return math.nan
+    order = np.lexsort((y, x))
+    x, y = x[order].astype(float), y[order].astype(float)
+    x, y = x - x.mean(), y - y.mean()
+    sx, sy = x.std(), y.std()
+    if not sx or not sy:
         return math.nan
+    x, y = x / sx, y / sy
+
+    def row_sums(v: np.ndarray) -> np.ndarray:
+        by = np.argsort(v, kind="stable")
+        w, out, i = v[by], np.empty(n), np.arange(n)
+        before = w.cumsum() - w
+        out[by] = i * w - before + (w.sum() - before - w) - (n - 1 - i) * w
+        return out
 
-    def centred(v: np.ndarray) -> np.ndarray:
-        d = np.abs(v[:, None] - v[None, :])
-        return d - d.mean(0) - d.mean(1)[:, None] + d.mean()
+    def covariance(products: float, a: np.ndarray, b: np.ndarray) -> float:
+        return products / n / n - 2 * float(a @ b) / n**3 + a.sum() / n * b.sum() / n / n / n
 
-    a, b = centred(x.astype(float)), centred(y.astype(float))
-    spread = (a * a).mean() * (b * b).mean()
-    return math.nan if spread <= 0 else math.sqrt(max(0.0, (a * b).mean()) / math.sqrt(spread))
+    cells = np.stack([np.ones(n), x, y, x * y], 1)
+    smaller = dominated(np.unique(y, return_inverse=True)[1], cells)
+    c, tx, ty, txy = (2 * smaller - (cells.cumsum(0) - cells)).T
+    products = 2 * float((c * x * y - x * ty - y * tx + txy).sum())
+    a, b = row_sums(x), row_sums(y)
+    spread = covariance(2 * n * float(x @ x), a, a) * covariance(2 * n * float(y @ y), b, b)
+    return math.nan if spread <= 0 else math.sqrt(max(0.0, covariance(products, a, b)) / math.sqrt(spread))
 
 
 def maximal_information(x: np.ndarray, y: np.ndarray, alpha: float = 0.6) -> float:
     """A grid estimate of the maximal information coefficient: equal-frequency grids of at most n**alpha cells.
 
-    The full search over unequal grids is not made, so the value is a lower bound of it.
+    The full search over unequal grids is not made, so the value is a lower bound of it. Equal values are ranked in row order.
     """
     n, best = len(x), 0.0
     if n < 50:
