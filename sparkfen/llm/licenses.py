@@ -1,12 +1,13 @@
 """Licences by sentences, in DataFrame operations only.
 
-A text is cut into sentences, each is normalised and mapped to the identifier of a known licence sentence, and the
-identifiers, in order, are matched against licence rules: a rule is a sequence of identifiers that must occur in its
-order, with anything between.
+Sentences of a text are normalised and mapped to the identifiers of known licence sentences, over line breaks too, and
+the identifiers, in order, are matched against licence rules: a rule is a sequence of identifiers that must occur in
+its order, with anything between.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -33,6 +34,23 @@ SENTENCES = {
     "rights-reserved": "All rights reserved.",
 }
 
+#: Whole sentences of the real licence texts. SENTENCES and RULES have the short forms, which the SQL twin has too.
+REAL_SENTENCES = {
+    "apache-2.0-title": "Apache License Version 2.0, January 2004",
+    "apache-2.0-notice-real": "Licensed under the Apache License, Version 2.0 (the \"License\");",
+    "apache-2.0-asis-real": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    "mit-grant-real": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "mit-asis-real": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    "gpl-3.0-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "gpl-2.0-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "gpl-3.0-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl-2.0-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gpl-warranty-real": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "cc-by-4.0-real": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa-4.0-real": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nc-4.0-real": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+}
+
 
 @dataclass(frozen=True)
 class LicenseRule:
@@ -55,14 +73,38 @@ RULES = (
     LicenseRule("BSD", ("bsd-redistribute",)),
 )
 
+REAL_RULES = (
+    LicenseRule("Apache-2.0", ("apache-2.0-title",)),
+    LicenseRule("Apache-2.0", ("apache-2.0-notice-real",)),
+    LicenseRule("Apache-2.0", ("apache-2.0-file", "apache-2.0-asis-real")),
+    LicenseRule("MIT", ("mit-grant-real", "mit-asis-real")),
+    LicenseRule("GPL-3.0", ("gpl-3.0-title",)),
+    LicenseRule("GPL-3.0", ("gpl-3.0-free", "gpl-warranty-real")),
+    LicenseRule("GPL-2.0", ("gpl-2.0-title",)),
+    LicenseRule("GPL-2.0", ("gpl-2.0-free", "gpl-warranty-real")),
+    LicenseRule("CC-BY-NC-4.0", ("cc-by-nc-4.0-real",)),
+    LicenseRule("CC-BY-4.0", ("cc-by-4.0-real",)),
+    LicenseRule("CC-BY-SA-4.0", ("cc-by-sa-4.0-real",)),
+)
+
 
 def plain(text: str) -> str:
     """A sentence in the form in which sentences are compared: small ASCII letters and digits, single blanks."""
     return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split())
 
 
-def _plain(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+def _marked(text: Column) -> Column:
+    """Small ASCII letters and digits with single blanks, | where a sentence or paragraph ends and ~ at other line breaks."""
+    t = F.translate(F.lower(text), "|~", "  ")
+    for pattern, mark in ((r"[.!?:;](?=[\x20\x09-\x0D])", " | "), (r"\n(?:[^a-z0-9|\n]*\n)+", " | "), (r"\n", " ~ "), ("[^a-z0-9|~]+", " ")):
+        t = F.regexp_replace(t, pattern, mark)
+    return F.concat(F.lit("| "), F.trim(t), F.lit(" |"))
+
+
+def _pattern(sentence: str) -> str:
+    """A regular expression of a known sentence in marked text: line breaks may lie between its words, ends only where it has them."""
+    parts = [plain(p).split() for p in re.split(r"(?<=[.!?:;])\s", sentence)]
+    return "(?: [|~])* ".join("(?: ~)? ".join(p) for p in parts if p)
 
 
 def anchors(sentences: dict[str, str]) -> tuple[str, ...]:
@@ -79,10 +121,11 @@ def anchors(sentences: dict[str, str]) -> tuple[str, ...]:
     return tuple(out)
 
 
-def scan(df: DataFrame, sentences: dict[str, str] = SENTENCES, rules: Sequence[LicenseRule] = RULES, text: str = "text") -> DataFrame:
+def scan(df: DataFrame, sentences: dict[str, str] = SENTENCES | REAL_SENTENCES, rules: Sequence[LicenseRule] = RULES + REAL_RULES, text: str = "text") -> DataFrame:
     """df with license_sentences (array of identifiers in text order) and licenses (array of the rules' licences, in rule order).
 
-    A sentence ends at a line break, or at . ! or ? before white space. A missing or empty text has none. Equal
+    A sentence starts and ends at . ! ? : ; before white space, at a blank line, at a line break or at an end of the
+    text; single line breaks may also lie within it, as in wrapped texts. A missing or empty text has none. Equal
     sentences must not have two identifiers. The known sentences are literals of the plan, meant for up to some
     thousands. Nothing is shuffled; columns of df with these names are replaced.
     """
@@ -93,8 +136,9 @@ def scan(df: DataFrame, sentences: dict[str, str] = SENTENCES, rules: Sequence[L
     known = F.array(*[F.lit(s) for s in by])
     names = F.array(*[F.lit(k) for k in by.values()])
     words = "(?i)" + "|".join(anchors(sentences))
-    likely = F.filter(F.split(whole, r"\n|(?<=[.!?])[\x20\x09-\x0D]"), lambda x: x.rlike(words))
-    at = F.filter(F.transform(likely, lambda x: F.array_position(known, _plain(x))), lambda p: p > 0)
+    longest = sorted(sentences.values(), key=len, reverse=True)
+    hits = F.regexp_extract_all(_marked(whole), F.lit("(?<=[|~] )(?:" + "|".join(map(_pattern, longest)) + ")(?= [|~])"), F.lit(0))
+    at = F.transform(hits, lambda x: F.array_position(known, F.regexp_replace(x, "[ |~]+", " ")))
     found = F.when(whole.rlike(words), F.transform(at, lambda p: F.element_at(names, p.cast("int")))).otherwise(F.array().cast("array<string>"))
     joined = F.concat(F.lit("\n"), F.array_join("license_sentences", "\n"), F.lit("\n"))
     quoted = lambda s: "\\Q" + s + "\\E"
