@@ -55,8 +55,9 @@ def alpha_maxgeom(b):
 
 @query("sketch_similarity", GEOM.replace("select * from t", ", s as (select * from t") + "4), x as (select * from s where sample_id = 1), y as (select * from s where sample_id = 2), u as (select coalesce(x.bucket, y.bucket) as bucket, coalesce(x.tail, y.tail) as tail, coalesce(x.hash, y.hash) as hash, x.freq as fa, y.freq as fb from x full join y on x.bucket = y.bucket and x.hash = y.hash), v as (select * from u where bucket in (select bucket from x) and bucket in (select bucket from y) qualify row_number() over (partition by bucket order by tail desc, hash) <= 4) select round(count(*) filter (fa is not null and fb is not null)::double / count(*), 9) as jaccard, round(coalesce(sum(fa * fb), 0) / sqrt(sum(fa * fa::double) * sum(fb * fb::double)), 9) as cosine, round(count(*) filter (fa is not null and fb is not null)::double / count(fa), 9) as containment from v")
 def sketch_similarity(b):
-    """H07 to H09 on bucket sketches."""
-    return rounded(sk.bucket_similarity(sk.max_geom(_rows(b), 12, size=4), 1, 2, 12, size=4))
+    """H07 to H09 on bucket sketches: every id divisible by 50 against all; the SQL twin has the pair 1, 2 only."""
+    s = sk.max_geom(_rows(b), 12, size=4)
+    return rounded(sk.bucket_similarities(s, s.filter("sample_id % 50 = 0"), size=4))
 
 
 @query("collisions", f"with {KM}, s as (select distinct hash % 100003 as hash, kmer from kh), r as (select *, row_number() over (partition by hash order by kmer) as i, count(*) over (partition by hash) as n from s) select hash, n as n_kmers, array_to_string(list(kmer order by kmer) filter (i <= 50), ',') as kmers from r where n > 1 group by 1, 2")
@@ -68,16 +69,16 @@ def collisions(b):
 
 @query("localise", f"with {KM}, t as (select distinct hash from kh where sample_id = 1) select sample_id, count(*) as n_kmers, count(t.hash) as n_hits, round(count(t.hash)::double / count(*), 9) as density from kh left join t on t.hash = kh.hash group by 1")
 def localise(b):
-    """H12, D28."""
+    """Every id divisible by 50 against all; the SQL twin has the target 1 only."""
     rows = _rows(b)
-    return rounded(sk.localise(rows, rows.filter("sample_id = 1")))
+    return rounded(sk.localise(rows, rows.filter("sample_id % 50 = 0").withColumnRenamed("sample_id", "target_id")))
 
 
 @query("prevalence_tiers", f"with {KM}, s as (select distinct sample_id, hash from kh), t as (select sample_id as target_id, hash from s where sample_id < 20), n as (select target_id, count(*) as n_hashes from t group by 1), h as (select target_id, sample_id, count(*) as k from t join s using (hash) group by 1, 2) select n.target_id, n_hashes, count(h.k) as n_any, count(*) filter (k >= 3) as n_three, count(*) filter (10 * k >= n_hashes) as n_tenth, count(*) filter (4 * k >= n_hashes) as n_quarter from n left join h using (target_id) group by 1, 2")
 def prevalence_tiers(b):
-    """H13."""
+    """Every document is a target; the SQL twin has ids below 20 only."""
     s = _rows(b).select("sample_id", "hash").distinct()
-    return sk.prevalence_tiers(s, s.filter("sample_id < 20").withColumnRenamed("sample_id", "target_id"))
+    return sk.prevalence_tiers(s, s.withColumnRenamed("sample_id", "target_id"))
 
 
 @query("sketch_union", f"with {KM} select count(distinct hash) as n_distinct, count(distinct sample_id) as n_samples from kh")
