@@ -5,8 +5,8 @@ chunk of those that continue; a bitmap for each level says which do, and a rank
 block of BLOCK tokens. Any token is read by one bit test, one rank and one byte for each level; no block is decoded.
 
 The files are Parquet tables of segments, one row each (written by Spark's committer, so a lost executor leaves no
-half-written segment): shard, seg, first_doc, n_tokens, doc_ids and ends (int64 each) and codes. Segments ordered by
-shard and seg hold the documents in ascending doc_id.
+half-written segment): shard, seg, first_doc, n_tokens, n_null, doc_ids and ends (int64 each) and codes. Segments
+ordered by shard and seg hold the documents in ascending doc_id; the first n_null documents of one have no id.
 
 codes: b"DACT", uint32 version, uint32 levels, uint32 block, uint64 n; then for each level uint64 n_level, the chunks (one
 byte each), and, but for the last level, the bitmap (little-endian bits) and the directory (uint32 a block).
@@ -15,9 +15,11 @@ byte each), and, but for the last level, the bitmap (little-endian bits) and the
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from sparkfen.llm.common import arrow_type
 from sparkfen.llm.token_counts import PLAIN, byte_chars, tokenizer
 from sparkfen.session import scratch_path
 
@@ -109,34 +112,55 @@ KNOWN_STEPS = {
 }
 CUT = regex.compile(KNOWN_STEPS["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
 
+
+class PieceIds(dict):
+    """A lower-cased piece of plain characters -> its ids as bytes, from the tokenizer's merges alone."""
+
+    def __init__(self, model, half: int) -> None:
+        self.merge, self.chars, self.half, self.old = model.tokenize, byte_chars(), half, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = array("I", [t.id for t in self.merge(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.chars))]).tobytes()
+        if len(piece) <= 64:
+            if len(self) >= self.half:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class ChunkIds(dict):
     """A chunk without white space -> its ids as bytes; what was not used lately is forgotten beyond `bound` chunks.
 
     The tokenizer's own cuts lie at all white space, so a text's ids are those of its chunks in order. With the known
-    steps, chunks of plain characters are cut here and only merged by the tokenizer's model; all others go through the
-    whole tokenizer.
+    steps, chunks of plain characters are cut here into pieces, which many chunks share, and only merged by the
+    tokenizer's model; all others go through the whole tokenizer.
     """
 
     def __init__(self, path: str, bound: int) -> None:
         self.encoder, self.half, self.old = tokenizer(path), bound // 2, {}
         steps = json.loads(self.encoder.to_str())
         self.plain = all(steps.get(k) == v for k, v in KNOWN_STEPS.items()) and steps["model"]["type"] == "BPE" and not steps["model"].get("dropout")
-        self.special = tuple(t["content"].encode()[:2] for t in steps["added_tokens"])
-        self.merge, self.chars = self.encoder.model.tokenize, byte_chars()
+        self.special = re.compile(b"|".join(re.escape(t["content"].encode()[:2]) for t in steps["added_tokens"]) or b"(?!)")
+        self.pieces = PieceIds(self.encoder.model, self.half)
 
-    def ids_of(self, chunk: bytes) -> list[int]:
+    def ids_of(self, chunk: bytes) -> bytes:
         """The ids of one chunk."""
-        text = chunk.decode()
-        if not self.plain or not PLAIN.fullmatch(text) or any(s in chunk for s in self.special):
-            return self.encoder.encode(text, add_special_tokens=False).ids
-        text = text.lower()
-        pieces = (text,) if text.isalpha() else CUT.findall(text)
-        return [t.id for p in pieces for t in self.merge(p if p.isascii() else p.encode().decode("latin-1").translate(self.chars))]
+        if self.plain:
+            if chunk.isalpha():  # ASCII letters only
+                return self.pieces[chunk.lower().decode()]
+            text = chunk.decode()
+            if PLAIN.fullmatch(text) and not self.special.search(chunk):
+                text = text.lower()
+                return self.pieces[text] if text.isalpha() else b"".join(map(self.pieces.__getitem__, CUT.findall(text)))
+        return array("I", self.encoder.encode(chunk.decode(), add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, chunk: bytes) -> bytes:
         ids = self.old.get(chunk)
         if ids is None:
-            ids = np.array(self.ids_of(chunk), "<u4").tobytes()
+            ids = self.ids_of(chunk)
         if len(chunk) <= 64:
             if len(self) >= self.half:
                 self.old = dict(self)
@@ -147,92 +171,150 @@ class ChunkIds(dict):
 
 _CHUNKS: dict[tuple, ChunkIds] = {}
 
+
+def chunk_ids(path: str, bound: int) -> ChunkIds:
+    """The cache of a worker, made once."""
+    if (path, bound) not in _CHUNKS:
+        _CHUNKS[path, bound] = ChunkIds(path, bound)
+    return _CHUNKS[path, bound]
+
+
+LEAST = -(1 << 63)
+PLACED = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("h", T.LongType()), T.StructField("ids", T.BinaryType())])
 SEGMENT = T.StructType([
-    T.StructField("shard", T.IntegerType()), T.StructField("seg", T.IntegerType()), T.StructField("first_doc", T.LongType()), T.StructField("n_tokens", T.LongType()),
+    T.StructField("shard", T.IntegerType()), T.StructField("seg", T.IntegerType()), T.StructField("first_doc", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_null", T.LongType()),
     T.StructField("doc_ids", T.BinaryType()), T.StructField("ends", T.BinaryType()), T.StructField("codes", T.BinaryType()),
 ])
 
 
-def write_tokens(docs: DataFrame, path: str, out: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, segment: int = 1 << 21, cache_size: int = 900_000) -> None:
-    """Writes the ids of each whole text, and end_id after it, to `out` in ascending key.
+def key_ranges(rows: DataFrame, range_bytes: int) -> np.ndarray:
+    """Upper bounds of all but the last of the ranges of `key` that hold about `range_bytes` of `text` each.
 
-    A missing or empty text has only end_id. Rows without a key come first and read back without one; rows of one key
-    stay together. Documents are dealt out by key ranges, so each task holds one segment of about `segment` tokens (at
-    least one whole document) at a time.
+    There are as many ranges as shuffle partitions at least. The bounds come from an approximate quantile sketch, and
+    one that repeats says that its key fills ranges alone.
     """
-    from pyspark import TaskContext
+    size, least = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    count = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // range_bytes))
+    shares = [i / count for i in range(1, count)]
+    if not shares or not least:
+        return np.empty(0, np.int64)
+    found = rows.agg(F.percentile_approx(F.coalesce("key", F.lit(LEAST)), shares, max(10_000, 20 * count)).alias("b")).first().b
+    return np.array(found, np.int64)
+
 
+def write_tokens(docs: DataFrame, path: str, out: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, segment: int = 1 << 21, cache_size: int = 900_000, range_bytes: int = 1 << 29) -> None:
+    """Writes the ids of each whole text, and end_id after it, to `out` in ascending key.
+
+    A missing or empty text has only end_id. Rows without a key come first and read back without one. Texts are encoded
+    where they are read, so only ids (of two bytes, if the vocabulary allows) are shuffled, by key ranges of about
+    range_bytes of text; rows of one key that fill ranges alone are spread over these by a hash, so they may come in
+    any, though always the same, order. A task holds one segment of about `segment` tokens (at least one whole
+    document) at a time.
+    """
+    spark = docs.sparkSession
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.repartitionByRange(parts, "key").sortWithinPartitions("key", F.xxhash64("text"))
+    bounds = key_ranges(rows, range_bytes)
+    shared = spark.sparkContext.broadcast(bounds)
+    width = "<u2" if tokenizer(path).get_vocab_size() < 1 << 16 and end_id < 1 << 16 else "<u4"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _CHUNKS.setdefault((path, cache_size), ChunkIds(path, cache_size))
-        tail = np.array([end_id], "<u4").tobytes()
-        shard, seg, keys, ends, held, size = TaskContext.get().partitionId(), 0, [], [], [], 0
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, tail, ends = chunk_ids(path, cache_size), np.array([end_id], "<u4").tobytes(), shared.value
+        for batch in batches:
+            keys = batch.column(0).fill_null(LEAST).to_numpy()
+            low, high = np.searchsorted(ends, keys, "left"), np.searchsorted(ends, keys, "right")
+            share = batch.column(2).to_numpy().view(np.uint64).astype(float) / 2.0**64
+            shard = np.minimum(low + (share * (high - low + 1)).astype(np.int64), high).astype(np.int32)
+            made = []
+            for data in batch.column(3).cast(pa.binary()):
+                data = data.as_py()
+                body = b"".join(map(ids.__getitem__, data.split())) + tail if data else tail
+                made.append(np.frombuffer(body, "<u4").astype(width).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=PLACED.names)
+
+    hashed = rows.select("key", F.xxhash64("text").alias("h"), "text").select("key", "h", F.xxhash64("h", F.monotonically_increasing_id()).alias("u"), "text")
+    placed = hashed.mapInArrow(spread, PLACED).repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "key", "h")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, seg, keys, ends, held, size = None, 0, [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            codes = encode(np.frombuffer(b"".join(held), "<u4"))
-            known = next((k for k in keys if k is not None), None)
-            made = [[shard], [seg], [known], [size], [np.array([-(1 << 63) if k is None else k for k in keys], "<i8").tobytes()], [np.array(ends, "<i8").tobytes()], [codes]]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=SEGMENT.names)
+            codes = encode(np.frombuffer(b"".join(held), width))
+            made = [[at], [seg], [keys[0]], [size], [keys.count(None)], [np.array([0 if k is None else k for k in keys], "<i8").tobytes()], [np.array(ends, "<i8").tobytes()], [codes]]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, map(arrow_type, (f.dataType for f in SEGMENT.fields)))], names=SEGMENT.names)
 
         for batch in batches:
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-                data = data.as_py()
-                body = b"".join(map(ids.__getitem__, data.split())) if data else b""
-                held += [body, tail]
-                size += len(body) // 4 + 1
-                keys.append(k)
-                ends.append(size)
-                if size >= segment:
+            for shard, k, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()):
+                if keys and (size >= segment or shard != at):
                     yield flush()
                     seg, keys, ends, held, size = seg + 1, [], [], [], 0
+                if shard != at:
+                    at, seg = shard, 0
+                held.append(ids)
+                size += len(ids) // np.dtype(width).itemsize
+                keys.append(k)
+                ends.append(size)
         if keys:
             yield flush()
 
-    placed.mapInArrow(run, SEGMENT).write.parquet(out)
+    placed.mapInArrow(pack, SEGMENT).write.parquet(out)
+    shared.unpersist()
 
 
-def read_tokens(spark: SparkSession, out: str) -> DataFrame:
-    """The segments with start, the ids of all segments before them.
+def starts_of(spark: SparkSession, out: str) -> DataFrame:
+    """(shard, seg, n_tokens, start) of the segments: start is the ids of all segments before.
 
     Totals are summed for each shard first, so no task sees more rows than there are shards, or segments in a shard.
     """
-    segments = spark.read.schema(SEGMENT).parquet(out)
-    slim = segments.select("shard", "seg", "n_tokens")
+    slim = spark.read.schema(SEGMENT).parquet(out).select("shard", "seg", "n_tokens")
     totals = slim.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = totals.select("shard", F.coalesce(F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     inside = F.coalesce(F.sum("n_tokens").over(W.partitionBy("shard").orderBy("seg").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = slim.withColumn("inside", inside).join(before, "shard").select("shard", "seg", (F.col("base") + F.col("inside")).alias("start"))
-    return segments.join(starts, ["shard", "seg"])
+    return slim.withColumn("inside", inside).join(before, "shard").select("shard", "seg", "n_tokens", (F.col("base") + F.col("inside")).alias("start"))
 
 
-def documents_of(segments: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, start, n_tokens, ids_crc32) of each document, from the decoded files."""
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in (key, "start", "n_tokens", "ids_crc32")])
+def documents_of(spark: SparkSession, out: str, key: str = "doc_id") -> DataFrame:
+    """(key, start, n_tokens, ids_crc32) of each document, from the decoded files.
+
+    Segments are decoded where they are read; only the rows of documents meet the segments' starts.
+    """
+    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("seg", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in (key, "__from", "n_tokens", "ids_crc32"))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, ends, codes, start in zip(*(batch.column(batch.schema.get_field_index(n)) for n in ("doc_ids", "ends", "codes", "start"))):
+            for shard, seg, nulls, keys, ends, codes in zip(*batch.columns):
                 keys, ends, data = np.frombuffer(keys.as_py(), "<i8"), np.frombuffer(ends.as_py(), "<i8"), Codes(codes.as_py()).all().astype("<u4").tobytes()
                 from_ = np.r_[0, ends[:-1]]
                 crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(from_.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, mask=keys == -(1 << 63)), pa.array(from_ + start.as_py()), pa.array(ends - from_), pa.array(crc, pa.int64())], names=schema.names)
+                n = len(keys)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard.as_py(), np.int32)), pa.array(np.full(n, seg.as_py(), np.int32)), pa.array(keys, mask=np.arange(n) < nulls.as_py()), pa.array(from_), pa.array(ends - from_), pa.array(crc, pa.int64())], names=schema.names)
 
-    return segments.select("doc_ids", "ends", "codes", "start").mapInArrow(run, schema)
+    segments = spark.read.schema(SEGMENT).parquet(out).select("shard", "seg", "n_null", "doc_ids", "ends", "codes")
+    placed = segments.mapInArrow(run, schema).join(starts_of(spark, out).select("shard", "seg", F.col("start").alias("__base")), ["shard", "seg"])
+    return placed.select(F.col(f"`{key}`"), (F.col("__base") + F.col("__from")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def tokens_at(segments: DataFrame, places: list[int]) -> dict[int, int]:
-    """The ids at some places of the whole stream, each read directly from its segment."""
-    wanted = segments.sparkSession.createDataFrame([(int(p),) for p in places], "place long")
-    found = wanted.join(F.broadcast(segments.select("shard", "seg", "start", "n_tokens")), F.expr("place >= start and place < start + n_tokens"))
-    return {r.place: Codes(bytes(r.codes))[r.place - r.start] for r in found.join(segments.select("shard", "seg", "codes"), ["shard", "seg"]).collect()}
+def tokens_at(spark: SparkSession, out: str, places: Sequence[int], most: int = 100_000) -> DataFrame:
+    """(place, id) at some places of the whole stream, each read directly from its segment; places outside have no row.
+
+    places is a list of the caller's, at most `most`, which is what is broadcast. Segments stay where they are.
+    """
+    if len(places) > most:
+        raise ValueError(f"{len(places)} places; the bound is {most}")
+    wanted = spark.createDataFrame([(int(p),) for p in set(places)], "place long")
+    found = starts_of(spark, out).join(F.broadcast(wanted), F.expr("place >= start and place < start + n_tokens"))
+    asked = found.groupBy("shard", "seg").agg(F.collect_list(F.struct("place", (F.col("place") - F.col("start")).alias("i"))).alias("asked"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for codes, wants in zip(*batch.columns):
+                data, wants = Codes(codes.as_py()), wants.as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([w["place"] for w in wants], pa.int64()), pa.array([data[w["i"]] for w in wants], pa.int64())], names=["place", "id"])
+
+    return spark.read.schema(SEGMENT).parquet(out).join(F.broadcast(asked), ["shard", "seg"]).select("codes", "asked").mapInArrow(run, "place long, id long")
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
     """The columns of the query over documents."""
-    spark = docs.sparkSession
-    out = scratch_path(spark, "tokens")
+    out = scratch_path(docs.sparkSession, "tokens")
     write_tokens(docs, path, out)
-    return documents_of(read_tokens(spark, out))
+    return documents_of(docs.sparkSession, out)

@@ -194,7 +194,23 @@ def test_token_files(spark, docs, odd, empty):
     token_store.write_tokens(docs, path, out, segment=500)
     ids = [i for r in sorted(docs.collect(), key=lambda r: r.doc_id) for i in t.encode(r.text or "", add_special_tokens=False).ids + [2]]
     places = random.Random(1).sample(range(len(ids)), 50)
-    assert token_store.tokens_at(token_store.read_tokens(spark, out), places) == {p: ids[p] for p in places}
+    assert {r.place: r.id for r in token_store.tokens_at(spark, out, [*places, -1, len(ids)]).collect()} == {p: ids[p] for p in places}
+
+
+def test_token_files_of_a_hot_key(spark):
+    """A key of a third of the rows fills several shards; its rows stay together, and the extremes of the keys too."""
+    path = registry.tokenizer_path("word_bpe_49k.json")
+    rows = [(i % 40 if i % 3 else 7, f"text number {i}") for i in range(600)] + [(-(1 << 63), "least"), ((1 << 63) - 1, "most"), (None, "none"), (7, "text number 3")] * 2
+    out = scratch_path(spark, "hot")
+    token_store.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), path, out, range_bytes=500)
+    got = sorted(token_store.documents_of(spark, out).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((k for k, _ in rows), key=lambda k: (k is not None, k or 0))
+    assert spark.read.parquet(out).filter("first_doc = 7").select("shard").distinct().count() > 3
+    t = Tokenizer.from_file(path)
+    crc = lambda x: zlib.crc32(np.array(t.encode(x, add_special_tokens=False).ids + [2], "<u4").tobytes())
+    assert sorted((str(r.doc_id), r.ids_crc32) for r in got) == sorted((str(k), crc(x)) for k, x in rows)
+    ends = [r.start + r.n_tokens for r in got]
+    assert [r.start for r in got] == [0, *ends[:-1]]
 
 
 @given(st.lists(st.sampled_from([" ", "  ", "\n", "a", "É", "x²", "'s", "<|endoftext|>", "12", "!", " ", "😀", "Don't", "　", "é", "İ", "\x85", "."]), max_size=10).map("".join))
