@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +13,11 @@ EARTH_KM = 6371.0
 MISSING = ("nan", "None", "", "NULL", "null")
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once; a plain reuse would be evaluated anew inside each lambda and in filters made from it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def first_present(df: DataFrame, names: Sequence[str]) -> str | None:
     """The first of some column names that a frame has."""
     return next((n for n in names if n in df.columns), None)

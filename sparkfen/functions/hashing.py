@@ -27,14 +27,24 @@ def fmix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
-def splitmix64(x: np.ndarray) -> np.ndarray:
-    """One step from each state."""
-    x = np.asarray(x, U) + GOLDEN
+def mix64(x: np.ndarray) -> np.ndarray:
+    """SplitMix's mixing step."""
     x = (x ^ (x >> U(30))) * S1
     x = (x ^ (x >> U(27))) * S2
     return x ^ (x >> U(31))
 
 
+def splitmix64(x: np.ndarray) -> np.ndarray:
+    """One step from each state."""
+    return mix64(np.asarray(x, U) + GOLDEN)
+
+
+def permutations(perms: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """The odd factors and the offsets of a MinHash's permutations: the numbers of one SplitMix sequence, by turns."""
+    s = splitmix64(U(seed) + np.arange(2 * perms, dtype=U) * GOLDEN)
+    return s[::2] | U(1), s[1::2]
+
+
 def murmur3_low64(texts: Sequence[bytes], seed: int = 42) -> np.ndarray:
     """The low 64 bits of MurmurHash3 x64 128 of byte strings, grouped by length and computed together."""
     out = np.zeros(len(texts), U)

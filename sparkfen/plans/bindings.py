@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfen.session import table
+from sparkfen.session import spread, table
 
 
 class Bound:
@@ -74,7 +74,7 @@ class Bound:
     def shingles(self) -> DataFrame:
         """(sample_id, hash): the distinct three-word shingles of documents, hashed by md5."""
         words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+", " ")), " ")
-        d = self.t("documents").select("doc_id", words.alias("w")).filter("size(w) >= 3")
+        d = spread(self.t("documents").select("doc_id", "text")).select("doc_id", words.alias("w")).filter("size(w) >= 3")
         grams = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))
         flat = d.select(F.col("doc_id").alias("sample_id"), F.explode(F.array_distinct(grams)).alias("g"))
         return flat.select("sample_id", surrogate(F.col("g")).alias("hash"))

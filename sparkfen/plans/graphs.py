@@ -6,22 +6,32 @@ from sparkfen.operators import clusters, enrichment as e, measures as m, similar
 from sparkfen.operators.graph import connected_components, symmetric
 from sparkfen.plans.catalog import query
 from sparkfen.plans.timeline import rounded
+from sparkfen.session import cut
 
-PAIRS = "with n as (select sample_id, count(*) as n from shingles group by 1), p as (select a.sample_id as a, b.sample_id as b, count(*) as bo from shingles a join shingles b on a.hash = b.hash and a.sample_id < b.sample_id group by 1, 2), j as (select a, b, bo as \"both\", bo::double / (x.n + y.n - bo) as jaccard, bo / sqrt(x.n::double * y.n) as cosine from p join n x on x.sample_id = a join n y on y.sample_id = b) "
-EDGES = PAIRS + ", e as materialized (select a, b, jaccard from j where jaccard >= 0.5), u as (select a as src, b as dst from e union select b, a from e), r(node, root) as (select distinct src, src from u union select u.dst, r.root from r join u on u.src = r.node), k as (select node, min(root) as component from r group by 1) "
+SETS = "n as (select sample_id, count(*) as n, list(hash order by hash) as h from shingles group by 1), cl as (select sample_id, n, min(sample_id) over (partition by h) as rep from n), cs as (select rep, count(*) as m from cl group by 1)"
+#: Pairs of classes of equal sets.
+CLASSES = "with " + SETS + ", rs as (select s.sample_id, s.hash, cl.n from shingles s join cl on cl.sample_id = s.sample_id and cl.sample_id = cl.rep), p as (select a.sample_id as a, b.sample_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as bo from rs a join rs b on a.hash = b.hash and a.sample_id < b.sample_id group by 1, 2), j0 as (select a, b, bo as \"both\", bo::double / (na + nb - bo) as jaccard, bo / sqrt(na::double * nb) as cosine from p), j as (select * from j0 where jaccard >= 0.5), e0 as (select a, b, \"both\", jaccard, cosine from j union all select rep, sample_id, n, 1.0::double, 1.0::double from cl where rep <> sample_id)"
+EDGES = CLASSES + ", e as materialized (select a, b, jaccard from e0), u as (select a as src, b as dst from e union select b, a from e), r(node, root) as (select distinct src, src from u union select u.dst, r.root from r join u on u.src = r.node), k as (select node, min(root) as component from r group by 1) "
+
+
+def _sets(b):
+    """(pairs of classes, members of classes) of the shingle sets at 0.5."""
+    sets = cut(b.shingles)
+    members = cut(s.classes(sets))
+    return cut(s.similar_classes(sets, members, 0.5)), members
 
 
 def _pairs(b):
-    return s.similar_pairs(b.shingles, 0.5)
+    return s.similar_pairs(cut(b.shingles), 0.5)
 
 
 def _members(b):
     return connected_components(_pairs(b), "a", "b")
 
 
-@query("pairwise_jaccard", PAIRS + "select a, b, j.\"both\", round(jaccard, 9) as jaccard, round(cosine, 9) as cosine from j where jaccard >= 0.5", "shingles")
+@query("pairwise_jaccard", CLASSES + " select a, b, \"both\", round(jaccard, 9) as jaccard, round(cosine, 9) as cosine from e0", "shingles")
 def pairwise_jaccard(b):
-    """J10, O06, F13, H07, H08, S26."""
+    """Pairs of classes of equal sets, and each class's other members under its smallest."""
     return rounded(_pairs(b))
 
 
@@ -31,16 +41,18 @@ def identical_sets(b):
     return s.identical_groups(b.shingles)
 
 
-@query("similarity_search", "with q as (select hash from shingles where sample_id = 1), n as (select sample_id, count(*) as n, count(q.hash) as bo from shingles s left join q on q.hash = s.hash group by 1) select sample_id, bo as \"both\", round(bo::double / (n + (select count(*) from q) - bo), 9) as jaccard, round(bo::double / n, 9) as containment from n where bo::double / (n + (select count(*) from q) - bo) >= 0.01", "shingles")
+@query("similarity_search", "with q as (select sample_id as query_id, hash from shingles where sample_id % 50 = 0), n as (select sample_id, count(*) as n from shingles group by 1), t as (select query_id, s.sample_id, count(*) as bo from q join shingles s using (hash) group by 1, 2) select query_id, t.sample_id, bo as \"both\", round(bo::double / (x.n + y.n - bo), 9) as jaccard, round(bo::double / y.n, 9) as containment from t join n x on x.sample_id = query_id join n y on y.sample_id = t.sample_id where bo::double / (x.n + y.n - bo) >= 0.01", "shingles")
 def similarity_search(b):
-    """Every id divisible by 50 against all; the SQL twin has the query 1 only."""
-    return rounded(s.search(b.shingles.filter("sample_id % 50 = 0").withColumnRenamed("sample_id", "query_id"), b.shingles, 0.01))
+    """Every id divisible by 50 against all."""
+    sets = cut(b.shingles)
+    return rounded(s.search(sets.filter("sample_id % 50 = 0").withColumnRenamed("sample_id", "query_id"), sets, 0.01))
 
 
-@query("degree_distribution", EDGES + ", d as (select src, count(*) as degree from u group by 1) select degree, count(*) as n from d group by 1 recursive:", "shingles")
+@query("degree_distribution", CLASSES + ", l as (select x as rep, sum(m)::bigint as linked from (select a as x, b as y from j union all select b, a from j) join cs on cs.rep = y group by 1), d as (select m, m - 1 + coalesce(linked, 0) as degree from cs left join l using (rep)) select degree, sum(m)::bigint as n from d where degree > 0 group by 1", "shingles")
 def degree_distribution(b):
-    """G02, G03, G08, A21."""
-    return clusters.degrees(_pairs(b).select(F.col("a").alias("src"), F.col("b").alias("dst"))).groupBy("degree").agg(F.count("*").alias("n"))
+    """Of all sets, from classes."""
+    pairs, members = _sets(b)
+    return clusters.class_degrees(pairs, members).filter("degree > 0").groupBy("degree").agg(F.sum("size").alias("n"))
 
 
 @query("symmetric_edges", EDGES + " select src, dst from u recursive:", "shingles")
@@ -61,45 +73,44 @@ def representatives(b):
     return clusters.sizes(_members(b))
 
 
-@query("expanded_similarity", EDGES + """, top as (select component from k group by 1 order by count(*) desc, component limit 5), m as (select k.* from k semi join top using (component)), pp as (select x.component as c1, y.component as c2, 1.0::double / (1 + y.component - x.component) as v from top x join top y on x.component < y.component)
-select least(x.node, y.node) as a, greatest(x.node, y.node) as b, round(v, 9) as v from pp join m x on x.component = c1 join m y on y.component = c2 union all select x.node, y.node, 1.0::double from m x join m y on x.component = y.component and x.node < y.node recursive:""", "shingles")
+@query("expanded_similarity", EDGES + """, t as (select component, count(*) as m from k group by 1), rp as (select x.component as a, y.component as b, jaccard as v, x.m * y.m as n from j0 join t x on x.component = a join t y on y.component = b where jaccard >= 0.1)
+select a, b, round(v, 9) as v, n from rp union all select component, node, 1.0::double, 1 from k where node <> component recursive:""", "shingles")
 def expanded_similarity(b):
-    """P20: values of representatives, made up here, for all members of the five largest components."""
-    k = _members(b)
-    top = k.groupBy("component").count().orderBy(F.desc("count"), "component").limit(5).select("component")
-    x, y = top.withColumnRenamed("component", "a"), top.withColumnRenamed("component", "b")
-    pairs = x.join(y, F.col("a") < F.col("b")).withColumn("v", 1.0 / (1 + F.col("b") - F.col("a")))
-    return rounded(clusters.expanded(pairs, k.join(top, "component", "left_semi")))
+    """P20: the similarities from 0.1 of the representatives of all components stand for those of their members."""
+    sets = cut(b.shingles)
+    k = cut(connected_components(s.similar_pairs(sets, 0.5), "a", "b"))
+    heads = sets.join(k.select(F.col("component").alias("sample_id")).distinct(), "sample_id", "left_semi")
+    pairs = s.similar_classes(heads, s.classes(heads), 0.1).select("a", "b", F.col("jaccard").alias("v"))
+    return rounded(clusters.expanded(pairs, k))
 
 
-@query("modularity", EDGES + ", f as (select e.*, x.component as c1, y.component as c2 from e join k x on x.node = a join k y on y.node = b), d as (select c, sum(w) as d from (select c1 as c, jaccard as w from f union all select c2, jaccard from f) group by 1) select round(sum(jaccard) filter (c1 = c2) / sum(jaccard) - (select sum(d * d) from d) / (4 * sum(jaccard) * sum(jaccard)), 9) as modularity from f recursive:", "shingles")
+@query("modularity", EDGES + ", w as (select a, b, jaccard * x.m * y.m as w from j join cs x on x.rep = a join cs y on y.rep = b union all select rep, rep, m * (m - 1) / 2 from cs where m > 1), f as (select w.w, x.component as c1, y.component as c2 from w join k x on x.node = a join k y on y.node = b), d as (select c, sum(w) as d from (select c1 as c, w from f union all select c2, w from f) group by 1) select round(sum(w) filter (c1 = c2) / sum(w) - (select sum(d * d) from d) / (4 * sum(w) * sum(w)), 9) as modularity from f recursive:", "shingles")
 def modularity(b):
-    """The value of the partition into components."""
-    edges = _pairs(b).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("jaccard").alias("w"))
-    return rounded(clusters.modularity(edges, _members(b)))
+    """The value of the partition into components, over the pairs of all sets."""
+    pairs, members = _sets(b)
+    k = connected_components(pairs.select("a", "b").union(members.filter("sample_id <> rep").select("rep", "sample_id")), "a", "b")
+    edges = clusters.weighted(pairs, members).select("src", "dst", (F.col("w") * F.col("n")).alias("w"))
+    return rounded(clusters.modularity(edges, k))
 
 
 @query("louvain")
 def louvain(b):
-    """G05."""
-    return clusters.louvain(_pairs(b).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("jaccard").alias("w")))
+    """G05 on each component: edges between classes of equal sets, and of each class's members with its smallest."""
+    pairs = cut(_pairs(b))
+    return clusters.louvain(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("jaccard").alias("w")), connected_components(pairs, "a", "b"))
 
 
 @query("upgma")
 def upgma(b):
     """Linkage of the vectors of each label by cosine distance."""
-    v = b.t("embeddings").select("label", "vec_id", "embedding")
-    x, y = v.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("ea")), v.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("eb"))
-    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda i, j: i.cast("double") * j), F.lit(0.0), lambda t, i: t + i)
-    pairs = x.join(y, "label").filter("a < b").select("label", "a", "b", (1 - dot(F.col("ea"), F.col("eb")) / F.sqrt(dot(F.col("ea"), F.col("ea")) * dot(F.col("eb"), F.col("eb")))).alias("d"))
-    return clusters.average_linkage(pairs, "label", [0.05, 0.2, 0.5, 0.9])
+    return clusters.average_linkage(b.t("embeddings"), "label", [0.05, 0.2, 0.5, 0.9])
 
 
-@query("matrix_values", PAIRS + ", t as (select count(distinct sample_id) as n from shingles), v as (select count(*) as listed, count(*) filter (abs(jaccard - 1) < 1e-10) as ones from j where jaccard >= 0.5) select n * (n - 1) // 2 - listed as zeros, ones, listed - ones as others from v, t", "shingles")
+@query("matrix_values", CLASSES + ", t as (select count(*) as n from cl), v as (select coalesce(sum(x.m * y.m), 0)::bigint as others from j join cs x on x.rep = a join cs y on y.rep = b where abs(jaccard - 1) >= 1e-10), o as (select coalesce(sum(m * (m - 1) // 2), 0)::bigint as ones from cs) select n * (n - 1) // 2 - ones - others as zeros, ones, others from v, t, o", "shingles")
 def matrix_values(b):
-    """Pairs below the threshold count as zeros."""
-    n = b.shingles.select("sample_id").distinct().count()
-    return e.value_distribution(_pairs(b).select(F.col("jaccard").alias("v")), n)
+    """Pairs below the threshold count as zeros; counted from classes."""
+    pairs, members = _sets(b)
+    return e.value_distribution(clusters.weighted(pairs, members).select(F.col("w").alias("v"), "n"), members.agg(F.count("*").alias("side")))
 
 
 MODE = "c as (select component_id, {f} as v, count(*) as c from groups where {f} is not null group by 1, 2), o as (select component_id, max(c) as n_mode, sum(c)::bigint as n, arg_min(v, (-c, v)) as value from c group by 1)"

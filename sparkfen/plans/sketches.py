@@ -4,22 +4,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkfen.functions import columns as c
+from sparkfen.functions import hashing
 from sparkfen.operators import intervals as iv
 from sparkfen.operators import sketches as sk
 from sparkfen.plans.bindings import surrogate
 from sparkfen.plans.catalog import query
 from sparkfen.plans.timeline import rounded
+from sparkfen.session import spread
 
 LETTERS = "acgtacgtacgtacgtacgtacgtac"
-SEQ = f"seq as (select doc_id as sample_id, left(upper(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', '{LETTERS}')), 400) as seq from documents)"
+SEQ = f"seq as (select doc_id as sample_id, upper(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', '{LETTERS}')) as seq from documents)"
 KM = SEQ + ", km0 as (select sample_id, i - 1 as pos, substr(seq, i, 11) as f from (select sample_id, seq, unnest(range(1, length(seq) - 9)) as i from seq where length(seq) >= 11)), km as (select sample_id, pos, least(f, translate(reverse(f), 'ACGT', 'TGCA')) as kmer from km0), kh as (select *, ('0x' || substr(md5(kmer), 1, 15))::bigint as hash from km)"
 LIMIT = int(0.01 * 2**64)
 
 
 def _seqs(b):
-    """Whole texts as DNA. The SQL twins still read the first 400 letters, so they differ from the queries on longer texts."""
+    """Whole texts as DNA."""
     d = F.upper(F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", LETTERS))
-    return b.t("documents").select(F.col("doc_id").alias("sample_id"), d.alias("seq"))
+    return spread(b.t("documents").select("doc_id", "text")).select(F.col("doc_id").alias("sample_id"), d.alias("seq"))
 
 
 def _rows(b):
@@ -53,9 +55,16 @@ def alpha_maxgeom(b):
     return sk.max_geom(_rows(b), 12, alpha=0.45)
 
 
-@query("sketch_similarity", GEOM.replace("select * from t", ", s as (select * from t") + "4), x as (select * from s where sample_id = 1), y as (select * from s where sample_id = 2), u as (select coalesce(x.bucket, y.bucket) as bucket, coalesce(x.tail, y.tail) as tail, coalesce(x.hash, y.hash) as hash, x.freq as fa, y.freq as fb from x full join y on x.bucket = y.bucket and x.hash = y.hash), v as (select * from u where bucket in (select bucket from x) and bucket in (select bucket from y) qualify row_number() over (partition by bucket order by tail desc, hash) <= 4) select round(count(*) filter (fa is not null and fb is not null)::double / count(*), 9) as jaccard, round(coalesce(sum(fa * fb), 0) / sqrt(sum(fa * fa::double) * sum(fb * fb::double)), 9) as cosine, round(count(*) filter (fa is not null and fb is not null)::double / count(fa), 9) as containment from v")
+SIMILAR = """4), x as (select * from s where sample_id % 50 = 0), sh as (select p.sample_id as a, q.sample_id as b, bucket from (select distinct sample_id, bucket from x) p join (select distinct sample_id, bucket from s) q using (bucket) where p.sample_id <> q.sample_id),
+xa as (select a, b, sh.bucket, tail, hash, freq as fa from sh join x on x.sample_id = a and x.bucket = sh.bucket), yb as (select a, b, sh.bucket, tail, hash, freq as fb from sh join s on s.sample_id = b and s.bucket = sh.bucket),
+u as (select a, b, bucket, tail, hash, max(fa) as fa, max(fb) as fb from (select a, b, bucket, tail, hash, fa, null as fb from xa union all select a, b, bucket, tail, hash, null, fb from yb) group by all), v as (select * from u qualify row_number() over (partition by a, b, bucket order by tail desc, hash) <= 4)
+select a, b, round(count(*) filter (fa is not null and fb is not null)::double / count(*), 9) as jaccard, round(case when count(fa) > 0 and count(fb) > 0 then coalesce(sum(fa * fb), 0) / sqrt(sum(fa * fa::double) * sum(fb * fb::double)) else 0 end, 9) as cosine,
+round(case when count(fa) > 0 then count(*) filter (fa is not null and fb is not null)::double / count(fa) else 1 end, 9) as containment from v group by a, b"""
+
+
+@query("sketch_similarity", GEOM.replace("select * from t", ", s as (select * from t") + SIMILAR)
 def sketch_similarity(b):
-    """H07 to H09 on bucket sketches: every id divisible by 50 against all; the SQL twin has the pair 1, 2 only."""
+    """H07 to H09 on bucket sketches: every id divisible by 50 against all."""
     s = sk.max_geom(_rows(b), 12, size=4)
     return rounded(sk.bucket_similarities(s, s.filter("sample_id % 50 = 0"), size=4))
 
@@ -67,18 +76,18 @@ def collisions(b):
     return sk.collisions(rows).withColumn("kmers", F.array_join("kmers", ","))
 
 
-@query("localise", f"with {KM}, t as (select distinct hash from kh where sample_id = 1) select sample_id, count(*) as n_kmers, count(t.hash) as n_hits, round(count(t.hash)::double / count(*), 9) as density from kh left join t on t.hash = kh.hash group by 1")
+@query("localise", f"with {KM}, t as (select distinct sample_id as target_id, hash from kh where sample_id % 50 = 0), c as (select sample_id, hash, count(*) as c from kh group by 1, 2), h as (select target_id, sample_id, sum(c)::bigint as n_hits from c join t using (hash) group by 1, 2), n as (select sample_id, sum(c)::bigint as n_kmers from c group by 1) select target_id, sample_id, n_kmers, n_hits, round(n_hits::double / n_kmers, 9) as density from h join n using (sample_id)")
 def localise(b):
-    """Every id divisible by 50 against all; the SQL twin has the target 1 only."""
+    """Every id divisible by 50 against all."""
     rows = _rows(b)
     return rounded(sk.localise(rows, rows.filter("sample_id % 50 = 0").withColumnRenamed("sample_id", "target_id")))
 
 
-@query("prevalence_tiers", f"with {KM}, s as (select distinct sample_id, hash from kh), t as (select sample_id as target_id, hash from s where sample_id < 20), n as (select target_id, count(*) as n_hashes from t group by 1), h as (select target_id, sample_id, count(*) as k from t join s using (hash) group by 1, 2) select n.target_id, n_hashes, count(h.k) as n_any, count(*) filter (k >= 3) as n_three, count(*) filter (10 * k >= n_hashes) as n_tenth, count(*) filter (4 * k >= n_hashes) as n_quarter from n left join h using (target_id) group by 1, 2")
+@query("prevalence_tiers", f"with {KM}, s as (select distinct sample_id, hash from kh), t as (select sample_id as target_id, hash from s where sample_id % 50 = 0), n as (select target_id, count(*) as n_hashes from t group by 1), h as (select target_id, sample_id, count(*) as k from t join s using (hash) group by 1, 2) select n.target_id, n_hashes, count(h.k) as n_any, count(*) filter (k >= 3) as n_three, count(*) filter (10 * k >= n_hashes) as n_tenth, count(*) filter (4 * k >= n_hashes) as n_quarter from n left join h using (target_id) group by 1, 2")
 def prevalence_tiers(b):
-    """Every document is a target; the SQL twin has ids below 20 only."""
+    """Every id divisible by 50 is a target, looked for in all documents."""
     s = _rows(b).select("sample_id", "hash").distinct()
-    return sk.prevalence_tiers(s, s.withColumnRenamed("sample_id", "target_id"))
+    return sk.prevalence_tiers(s, s.filter("sample_id % 50 = 0").withColumnRenamed("sample_id", "target_id"))
 
 
 @query("sketch_union", f"with {KM} select count(distinct hash) as n_distinct, count(distinct sample_id) as n_samples from kh")
@@ -103,12 +112,30 @@ def murmur3_fmh(b):
     return sk.frac_min_hash(sk.scan_kmers(_seqs(b), 11), 0.01)
 
 
-@query("minhash")
+WRAP = f"{2**64}::uhugeint"
+#: DuckDB's uhugeint holds the products before they wrap around at 64 bits.
+MINHASH = (
+    f"with {KM}, d as (select distinct sample_id, hash::uhugeint as h from kh), p(idx, a, c) as (values "
+    + ", ".join(f"({i}, {int(a)}::uhugeint, {int(c)}::uhugeint)" for i, (a, c) in enumerate(zip(*hashing.permutations(16))))
+    + f"), s0 as (select sample_id, idx, ((h * a + c) % {WRAP})::ubigint as x from d, p), "
+    + ", ".join(f"s{i + 1} as (select sample_id, idx, (xor(x, x >> {shift})::uhugeint * {int(m)}::uhugeint % {WRAP})::ubigint as x from s{i})" for i, (shift, m) in enumerate(((30, hashing.S1), (27, hashing.S2))))
+    + ", m as (select sample_id, idx, min(xor(x, x >> 31)) as v from s2 group by 1, 2)"
+)
+
+
+@query("minhash", f"{MINHASH} select sample_id, idx::int as idx, (case when v >= 9223372036854775808 then v::hugeint - 18446744073709551616 else v::hugeint end)::bigint as hash from m")
 def minhash(b):
     """H04."""
     return sk.min_hash(_rows(b), 16)
 
 
+@query("minhash_similarity", f"{MINHASH} select x.sample_id as a, y.sample_id as b, count(*) as matches, round(count(*) / 16.0::double, 9) as jaccard from m x join m y using (idx, v) where x.sample_id % 50 = 0 and x.sample_id <> y.sample_id group by 1, 2")
+def minhash_similarity(b):
+    """H07, H08 on MinHash sketches, whose cosine is their Jaccard: every id divisible by 50 against all; pairs without a match have no row."""
+    m = sk.min_hash(_rows(b), 16)
+    return rounded(sk.min_hash_similarities(m, m.filter("sample_id % 50 = 0"), 16))
+
+
 IV = "i as (select user_id, floor(value)::bigint as s, (floor(value) + event_id % 20)::bigint as e from events)"
 
 

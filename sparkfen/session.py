@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,7 +60,7 @@ def cut(df: DataFrame) -> DataFrame:
     """The frame written to the shared folder and read again, so that its lineage ends there.
 
     Nothing reads the shuffle files before it any more. Spark deletes them when the driver's collector finds their plans
-    unused, which it seldom runs for; so long jobs would fill the disks. Hence it runs here.
+    unused, which it seldom runs for; so long jobs would fill the disks. Hence release().
     """
     shared_dir(df.sparkSession)
     out = df.checkpoint(eager=True)
@@ -68,10 +69,17 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Seconds between two collections that release() asks for, and the time of the last.
+RELEASE_EVERY = 15.0
+_RELEASED = [0.0]
+
+
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle and checkpoint files that no frame refers to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle and checkpoint files that no frame refers to, if that was not done lately."""
+    if time.monotonic() - _RELEASED[0] >= RELEASE_EVERY:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _RELEASED[0] = time.monotonic()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +87,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The frame, dealt out evenly if it has fewer partitions than the cluster has cores (a file of one row group is one task).
+
+    Meant for scans before costly work on each row. Where there are partitions enough, as in any large input, nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def repo_root() -> str:
     """The folder that holds the package."""
     return os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
