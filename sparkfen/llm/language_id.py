@@ -1,8 +1,8 @@
 """Language identification: known words by their frequency, unknown ones by ever shorter character n-grams.
 
-The model is fitted on a bounded sample of labelled documents. A word in the table scores with its log frequency in
-each language; any other backs off to its character n-grams (with word borders), from ORDERS' longest to its shortest,
-using the first order of which the table knows any.
+The model is fitted on a bounded sample of labelled documents, all of whose words and n-grams it keeps. A known word
+scores with its log frequency in each language; any other backs off to its character n-grams (with word borders), from
+ORDERS' longest to its shortest, using the first order of which the model knows any.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,12 +23,18 @@ from pyspark.sql import types as T
 from sparkfen.llm.common import annotate
 
 ORDERS = (4, 3, 2, 1)
-LETTERS = re.compile(r"[^\W\d_]+")
+#: A word: a letter, then letters and marks.
+WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: The same where no character needs Unicode's classes: below U+0250 all alphanumerics but digits and these six are letters.
+SIMPLE, OTHERS = re.compile(r"[^\W\d_]+"), re.compile("[\u00b2\u00b3\u00b9\u00bc-\u00be\u0250-\U0010ffff]")
 
 
 def words_in(text: str | None) -> list[str]:
-    """The lower-cased letter runs of a text."""
-    return LETTERS.findall(text.lower()) if text else []
+    """The lower-cased words of a text."""
+    if not text:
+        return []
+    low = text.lower()
+    return (WORDS if OTHERS.search(low) else SIMPLE).findall(low)
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -37,28 +44,26 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """langs in code-point order; tables: order (0 for words) -> feature -> count by language."""
+    """langs in code-point order; tables: order (0 for words) -> feature -> its row in that order's matrix of log frequencies."""
 
-    def __init__(self, langs: list[str], tables: dict[int, dict[str, list[int]]]) -> None:
-        self.langs = langs
-        self.tables = {}
-        for order, table in tables.items():
-            totals = [sum(c[k] for c in table.values()) + len(table) + 1 for k in range(len(langs))]
-            self.tables[order] = {f: tuple(math.log((c[k] + 0.5) / totals[k]) for k in range(len(langs))) for f, c in table.items()}
+    def __init__(self, langs: list[str], counts: dict[int, tuple[list[str], np.ndarray]]) -> None:
+        self.langs, self.tables, self.logs = langs, {}, {}
+        for order, (features, by) in counts.items():
+            self.tables[order] = {f: i for i, f in enumerate(features)}
+            self.logs[order] = np.log((by + 0.5) / (by.sum(axis=0) + len(features) + 1)).astype(np.float32)
 
-    def score(self, word: str) -> tuple[float, ...]:
+    def score(self, word: str) -> np.ndarray:
         """The log score of a word in each language, relative to the best."""
-        found = self.tables.get(0, {}).get(word)
+        at = self.tables.get(0, {}).get(word)
+        found = None if at is None else self.logs[0][at].astype(float)
         if found is None:
             for n in ORDERS:
-                known = [v for g in grams(word, n) if (v := self.tables.get(n, {}).get(g))]
+                table = self.tables.get(n, {})
+                known = [i for g in grams(word, n) if (i := table.get(g)) is not None]
                 if known:
-                    found = tuple(map(sum, zip(*known)))
+                    found = self.logs[n][known].sum(axis=0, dtype=float)
                     break
-        if found is None:
-            return (0.0,) * len(self.langs)
-        top = max(found)
-        return tuple(max(-12.0, x - top) for x in found)
+        return np.zeros(len(self.langs)) if found is None else found - found.max()
 
 
 class Scorer(dict):
@@ -89,22 +94,22 @@ class Scorer(dict):
         return self.model.langs[best], float(1 / np.exp((total - total[best]) / math.sqrt(len(words))).sum())
 
 
-def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_lang: int = 1_500, words: int = 60_000, per_order: int = 20_000) -> Model:
-    """A model from about docs_per_lang documents of each language (by a hash of the key; all where there are fewer).
+def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_lang: int = 500) -> Model:
+    """A model from about docs_per_lang documents of each language (by a hash of key and text; all where there are fewer).
 
-    Rows without text or lang are left out. The tables hold the most frequent `words` words and `per_order` n-grams of each
-    order, ties by code point, which bounds what goes to the driver. No usable rows give a model that knows no language.
+    docs_per_lang bounds what goes to the driver and, in the model, to each worker: all words and n-grams of these
+    documents. Rows without text or lang are left out; repeated rows are picked together or not at all. No usable rows
+    give a model that knows no language. The table is read twice: the languages' counts, then the sample.
     """
-    rows = df.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.xxhash64(F.col(f"`{key}`")).alias("h")).filter("text is not null and lang is not null")
+    rows = df.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{key}`").alias("key")).filter("text is not null and lang is not null")
     counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return Model([], {})
     langs = sorted(counts)
-    share = F.lit(0)
-    for name in langs:
-        share = F.when(F.col("lang") == name, int(min(1.0, docs_per_lang / counts[name]) * (1 << 30))).otherwise(share)
-    picked = rows.filter(F.pmod("h", F.lit(1 << 30)) < share).select("text", "lang")
-    schema = T.StructType([T.StructField("ord", T.IntegerType()), T.StructField("feature", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("n", T.LongType())])
+    share = F.element_at(F.create_map(*[x for name in langs for x in (F.lit(name), F.lit(int(min(1.0, docs_per_lang / counts[name]) * (1 << 30))))]), F.col("lang"))
+    picked = rows.filter(F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30)) < share).select("text", "lang")
+    schema = T.StructType([T.StructField("ord", T.IntegerType()), T.StructField("feature", T.StringType()), T.StructField("k", T.IntegerType()), T.StructField("n", T.LongType())])
+    place = {name: k for k, name in enumerate(langs)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[str, Counter] = defaultdict(Counter)
@@ -118,15 +123,16 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
                     for g in grams(w, n):
                         features[n][g] += c
             for n, table in features.items():
-                yield pa.RecordBatch.from_arrays([pa.array([n] * len(table), pa.int32()), pa.array(list(table), pa.string()), pa.array([name] * len(table), pa.string()), pa.array(list(table.values()), pa.int64())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array([n] * len(table), pa.int32()), pa.array(list(table), pa.string()), pa.array([place[name]] * len(table), pa.int32()), pa.array(list(table.values()), pa.int64())], names=schema.names)
 
-    by = F.array(*[F.sum(F.when(F.col("lang") == name, F.col("n")).otherwise(0)) for name in langs])
-    summed = picked.mapInArrow(run, schema).groupBy("ord", "feature").agg(by.alias("by"), F.sum("n").alias("n"))
-    tables: dict[int, dict[str, list[int]]] = {}
-    for n in (0, *ORDERS):
-        best = summed.filter(F.col("ord") == n).orderBy(F.desc("n"), "feature").limit(words if n == 0 else per_order)
-        tables[n] = {r.feature: list(r.by) for r in best.select("feature", "by").collect()}
-    return Model(langs, tables)
+    summed = picked.mapInArrow(run, schema).groupBy("ord", "feature", "k").agg(F.sum("n").alias("n")).orderBy("ord", "feature", "k").toPandas()
+    model = {}
+    for n, part in summed.groupby("ord"):
+        code, features = part["feature"].factorize()
+        by = np.zeros((len(features), len(langs)))
+        by[code, part["k"].to_numpy()] = part["n"].to_numpy()
+        model[int(n)] = (features.tolist(), by)
+    return Model(langs, model)
 
 
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
@@ -137,7 +143,8 @@ def identify(df: DataFrame, model: Model, text: str = "text", cache_size: int =
     """df with lang_pred and score (0 to 1) of each whole text.
 
     A missing text, or one without letters, is und with score 0, as is every text if the model knows no language. Ties
-    take the first language by code point. Rows stay where they are; the model's size is bounded by fit.
+    take the first language by code point. Very long texts are scored in parts. Columns of df with these names are
+    replaced, repeated rows are treated alike. Rows stay where they are; the model's size is bounded by fit.
     """
     tag = uuid.uuid4().hex
     shared = df.sparkSession.sparkContext.broadcast(model)

@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -189,6 +191,8 @@ def test_languages(spark, docs, odd, empty):
     by = {r.doc_id: r.lang_pred for r in language_id.digest(odd).collect()}
     assert by[1] == by[2] == by[3] == "und" and by[4] == "en"
     assert language_id.digest(empty).count() == 0
+    marks = spark.createDataFrame([(1, "² ½ ① 12 _ ๑"), (2, "हिन्दी"), (3, "\u0301\u0302")], "doc_id long, text string").withColumn("lang", F.lit("hi"))
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(marks, language_id.fit(marks)).collect()} == {1: "und", 2: "hi", 3: "und"}
     assert {r.lang_pred for r in language_id.digest(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
@@ -200,6 +204,48 @@ def test_licences(spark, empty):
     assert all(any(a in licenses.plain(s).split() for a in licenses.anchors(licenses.SENTENCES)) for s in licenses.SENTENCES.values())
 
 
+@given(st.text(st.characters(exclude_categories=("Cn", "Cs", "Co")), max_size=40))
+@settings(max_examples=500, deadline=None)
+def test_words_are_letters_and_marks(text):
+    want, now = [], ""
+    for c in text.lower():
+        kind = unicodedata.category(c)[0]
+        if kind == "L" or kind == "M" and now:
+            now += c
+        else:
+            want += [now] if now else []
+            now = ""
+    assert language_id.words_in(text) == want + ([now] if now else [])
+
+
+def test_scores_against_the_plain_rule(spark):
+    """Every word, known or not, by the definition: log frequencies of words, else of the longest n-grams that are known."""
+    rows = [(i, t, l) for i, (t, l) in enumerate([("the cat sat on the mat", "en"), ("der hund und die katze", "de"), ("the dog and der cat", "en"), ("die maus", "de")])]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    seen = {l: collections.Counter(w for _, t, m in rows if m == l for w in t.split()) for l in ("de", "en")}
+
+    def features(word, n):
+        p = word if n == 1 else f"^{word}$"
+        return [word] if n == 0 else [p[i : i + n] for i in range(len(p) - n + 1)]
+
+    def plain(word):
+        for n in (0, 4, 3, 2, 1):
+            counts = {l: collections.Counter() for l in seen}
+            for l, words in seen.items():
+                for w, c in words.items():
+                    for f in features(w, n):
+                        counts[l][f] += c
+            known = set().union(*counts.values())
+            mine = [f for f in features(word, n) if f in known]
+            if mine:
+                s = [sum(math.log((counts[l][f] + 0.5) / (sum(counts[l].values()) + len(known) + 1)) for f in mine) for l in ("de", "en")]
+                return [x - max(s) for x in s]
+        return [0.0, 0.0]
+
+    for word in ("the", "der", "cats", "hundin", "xyz", "q", "mausoleum"):
+        assert model.score(word).tolist() == pytest.approx(plain(word), abs=1e-5)
+
+
 @given(st.lists(st.integers(0, 2**32 - 1), min_size=1, max_size=3000), st.data())
 @settings(max_examples=40, deadline=None)
 def test_codes_round_trip(ids, data):
