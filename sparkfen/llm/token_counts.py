@@ -52,6 +52,24 @@ def byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class PartCounts(dict):
+    """A part of plain characters that the tokenizer would cut out -> its tokens, from the tokenizer's merges alone."""
+
+    def __init__(self, model, half: int) -> None:
+        self.merge, self.chars, self.half, self.old = model.tokenize, byte_chars(), half, {}
+
+    def __missing__(self, part: str) -> int:
+        n = self.old.get(part)
+        if n is None:
+            n = len(self.merge(part.encode().decode("latin-1").translate(self.chars)))
+        if len(part) <= 64:
+            if len(self) >= self.half:
+                self.old = dict(self)
+                self.clear()
+            self[part] = n
+        return n
+
+
 class PieceCounts(dict):
     """piece -> tokens; of what is not in `known`, about `bound` pieces used lately are kept."""
 
@@ -61,16 +79,18 @@ class PieceCounts(dict):
         steps = json.loads(self.encoder.to_str())
         self.plain = all(steps.get(k) == v for k, v in KNOWN_STEPS.items()) and steps["model"]["type"] == "BPE" and not steps["model"].get("dropout")
         self.whole = tuple(t["content"].encode() for t in steps["added_tokens"])
-        self.special = tuple(w[:2] for w in self.whole)
-        self.merge, self.chars = self.encoder.model.tokenize, byte_chars()
+        self.special = re.compile(b"|".join(re.escape(w[:2]) for w in self.whole) or b"(?!)")
+        self.parts = PartCounts(self.encoder.model, bound // 2)
 
     def tokens_of(self, piece: bytes) -> int:
-        """The tokens of one piece: merged by the model alone where the cuts are known, else by the whole tokenizer."""
+        """The tokens of one piece: cut here into parts, which many pieces share, where the cuts are known, else by the whole tokenizer."""
         text = piece.decode()
-        if not self.plain or not PLAIN.fullmatch(text) or any(s in piece for s in self.special):
-            return len(self.encoder.encode(text, add_special_tokens=False).ids)
-        parts = (text,) if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()) else CUT.findall(text)
-        return sum(len(self.merge(p.encode().decode("latin-1").translate(self.chars))) for p in parts)
+        if self.plain:
+            if piece.isalpha() or piece[:1] == b" " and piece[1:].isalpha():  # ASCII letters only
+                return self.parts[text]
+            if PLAIN.fullmatch(text) and not self.special.search(piece):
+                return sum(map(self.parts.__getitem__, CUT.findall(text)))
+        return len(self.encoder.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, piece: bytes) -> int:
         n = self.old.get(piece)
@@ -97,11 +117,13 @@ _COUNTS: dict[tuple, PieceCounts] = {}
 
 
 def frequent_pieces(df: DataFrame, text: str, sample_docs: int, table_size: int) -> list[bytes]:
-    """The most frequent pieces of about sample_docs documents, picked by hash; it only decides what is precomputed."""
-    rows = df.select(F.col(f"`{text}`").alias("t")).filter("t is not null")
-    total = rows.count()
-    share = min(1.0, sample_docs / max(1, total))
-    picked = rows.filter(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    """The most frequent pieces of about sample_docs documents, picked by place, so that copies are picked apart.
+
+    It only decides what is precomputed.
+    """
+    rows = df.select(F.col(f"`{text}`").alias("t"), F.xxhash64(F.monotonically_increasing_id()).alias("u"))
+    share = min(1.0, sample_docs / max(1, df.count()))
+    picked = rows.filter((F.pmod("u", F.lit(1 << 30)) < int(share * (1 << 30)) + 1) & F.col("t").isNotNull()).select("t")
     schema = T.StructType([T.StructField("piece", T.BinaryType()), T.StructField("n", T.LongType())])
 
     def run(batches):
@@ -119,7 +141,7 @@ def frequent_pieces(df: DataFrame, text: str, sample_docs: int, table_size: int)
 def count_tokens(df: DataFrame, path: str, text: str = "text", sample_docs: int = 5_000, table_size: int = 20_000, cache_size: int = 900_000) -> DataFrame:
     """df with n_tokens: the tokens of each whole text, special strings inside handled as the tokenizer does by default.
 
-    A missing or empty text has 0. The broadcast table has at most table_size entries (a piece of at most 64 bytes and
+    A missing or empty text has 0; a column n_tokens of df is replaced. The broadcast table has at most table_size entries (a piece of at most 64 bytes and
     a count each, so under 3 MB), a worker's cache cache_size; what they don't hold is encoded, so both bound only
     memory. Rows stay where they are.
     """
