@@ -148,13 +148,14 @@ class ItemAutomaton:
 FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("longest_match", T.LongType())]
 
 
-def find_items(df: DataFrame, items: DataFrame, window: int = 10, text: str = "text", clean: bool = False, max_item_bytes: int = 200_000_000) -> DataFrame:
+def find_items(df: DataFrame, items: DataFrame, window: int = 10, text: str = "text", clean: bool = False, max_item_bytes: int = 16_000_000) -> DataFrame:
     """df with n_words, n_hit (words inside an occurring window), item_ids (strings, sorted, of items with occurring
     windows), longest_match (words, 0 below the shortest window) and, with clean, cleaned (the text without hit spans).
 
     A missing text has no words and stays missing. Items without words never match; an item without an id counts for
     hits but is not named. Repeated items and rows are fine. The items go to the driver and, as an automaton, to each
-    worker: more than max_item_bytes of item text is an error. Documents stay where they are.
+    worker, where a word of theirs takes up to about 0.7 kB; so more than max_item_bytes of item text (some 2.5 million
+    words and 1.8 GB at the default) is an error. Documents stay where they are, very long ones are streamed like all.
     """
     chosen = items.select(F.col("item_id").cast("string"), F.col("text")).filter("text is not null").distinct()
     size = chosen.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -219,11 +220,14 @@ def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame, items: DataFrame, max_coverage: float = 0.5) -> DataFrame:
     """docs with benchmark spans cut out of text; a document with more than max_coverage of its words hit is dropped.
 
-    n_chars, if there, follows the new text. Documents without a hit are untouched.
+    n_chars, if there, follows the new text. Documents without a hit, a missing or an empty text among them, are untouched,
+    as are all other columns, whatever their names; repeated rows are treated alike.
     """
-    found = find_items(docs, items, clean=True)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("text"))
+    found = find_items(rows, items, clean=True)
     kept = found.filter((F.col("n_hit") == 0) | (F.col("n_hit") <= max_coverage * F.col("n_words")))
-    new = {"text": F.when(F.col("n_hit") > 0, F.col("cleaned")).otherwise(F.col("text"))}
+    hit, old = F.col("n_hit") > 0, lambda c: F.col(f"__row.`{c}`")
+    new = {"text": F.when(hit, F.col("cleaned")).otherwise(old("text"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("n_hit") > 0, F.length("cleaned").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return kept.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns])
+        new["n_chars"] = F.when(hit, F.length("cleaned").cast(docs.schema["n_chars"].dataType)).otherwise(old("n_chars"))
+    return kept.select(*[new.get(c, old(c)).alias(c) for c in docs.columns])

@@ -1,7 +1,8 @@
 """Near duplicates by an inverted join over MinHash signature coordinates.
 
 1. One Python pass makes each document's shingle set; only its size, a 128-bit key and the signature leave the worker.
-   Equal sets have equal keys and are one class from there on, so copies cost one row each.
+   Equal sets have equal keys and are one class from there on, so copies cost one row each. Sets with equal keys are not
+   compared, so unlike ones would be taken for equal with a probability of about n * n / 2**129 among n sets.
 2. Every class is posted under each (coordinate, value) of its signature. Postings that only one class has are dropped.
 3. Two classes with at least `least` of the coordinates in common share one of the `coords - least + 1` rarest postings
    of either (prefix). Only those lists are merged; the longer lists are skipped, and a candidate's total of collisions
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkfen.llm.common import annotate
+from sparkfen.llm.common import annotate, spaced
 from sparkfen.operators.graph import connected_components
 from sparkfen.session import cut
 
@@ -178,16 +179,29 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
 
     Two texts are linked if den * |A and B| >= num * |A or B| for their sets of shingles of `size` lower-cased words.
     component_id is the smallest key reachable over links, kept whether it is the row's own. A missing text, or one
-    without words, has no shingles and is linked with nothing. A row without a key joins the links of its text, is
-    never kept, and has a null component_id if nothing else does. Repeated rows share a component and are all kept if
-    their key is the smallest. Two classes are found with the probability of `least` common coordinates of `coords`
-    (see LEAST); what is found is decided on whole sets.
+    without words, has no shingles and is linked with nothing. A row without a key takes part, is never kept here, and
+    has a null component_id if no row with a key is reachable. Repeated rows share a component and are all kept if their key
+    is the smallest. Rows that share a key but not a text are texts of their own, which may be in different components.
+    Two classes are found with the probability of `least` common coordinates of `coords` (see LEAST); what is found is
+    decided on whole sets. Columns of docs besides key and text are not looked at.
     """
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    sets = cut(sketch(rows, "text", size, coords).drop("text"))
+    out = _components(docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")), size, num, den, coords, least)
+    component = F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("least_id"))
+    out = out.select("id", "n_shingles", component.alias("component_id"))
+    return out.select(F.col("id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def _components(rows: DataFrame, size: int, num: int, den: int, coords: int = COORDS, least: int = LEAST) -> DataFrame:
+    """(id, th, n_shingles, comp, least_id) of rows (id, text): a number of the row's component (null without words) and its smallest id.
+
+    th is a hash of the text. Inside, a class of equal sets goes by a row number of one of its rows, `rep`.
+    """
+    rows = rows.withColumn("th", F.xxhash64("text"))
+    sets = cut(sketch(rows.withColumn("rid", F.monotonically_increasing_id()), "text", size, coords).drop("text"))
     limits = (num, den, coords, least)
-    classes = sets.filter("set_key is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bits").alias("bits"))
-    classes = cut(classes.filter("rep is not null"))
+    one = F.min(F.struct(F.col("id").isNull(), "id", "th"))
+    classes = sets.filter("set_key is not null").groupBy("set_key").agg(F.min("rid").alias("rep"), F.min("id").alias("class_id"), one.alias("src"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bits").alias("bits"))
+    classes = cut(classes.select("set_key", "rep", "class_id", F.col("src.id").alias("src_id"), F.col("src.th").alias("src_th"), "n", "sig", "bits"))
     smallest = -(-num // max(1, den - num))  # fewer shingles are linked with an equal set only
     reps = classes.filter(F.col("n") >= smallest)
     postings = reps.select("rep", F.posexplode("sig").alias("k", "v")).select("rep", (F.shiftleft(F.col("k").cast("long"), 32) + F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))).alias("token"))
@@ -201,7 +215,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     first = cut(_best(_pairs(posts, heads, F.col("x.rep") > F.col("y.rep"), limits)))
     crowded = posts.groupBy("token").agg(F.count("*").alias("m")).filter("m > 2").select("token")
     wanted = first.select(F.explode(F.array("a", "b")).alias("rep")).union(posts.join(crowded, "token", "left_semi").select("rep")).distinct()
-    texts = _texts(rows, wanted.join(reps.select("rep", "set_key"), "rep"), size)
+    texts = _texts(rows, wanted.join(reps.select("rep", "set_key", "src_id", "src_th"), "rep"), size)
     edges, tried = cut(_confirmed(first, texts, size, num, den)), first
     left = posts
     for turn in range(ROUNDS + 1):
@@ -223,11 +237,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
         more = cut(more)
         edges, tried = cut(edges.union(_confirmed(more, texts, size, num, den))), tried.union(more)
     joint = connected_components(edges, "a", "b").withColumnRenamed("node", "rep")
-    ids = classes.select("set_key", "rep").join(joint, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    out = sets.drop("sig", "bits").join(ids, "set_key", "left")
-    component = F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    out = out.select("id", "n_shingles", component.alias("component_id"))
-    return out.select(F.col("id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    ids = cut(classes.select("set_key", "rep", "class_id").join(joint, "rep", "left").select("set_key", "class_id", F.coalesce("component", "rep").alias("comp")))
+    smallest_id = ids.groupBy("comp").agg(F.min("class_id").alias("least_id"))
+    return sets.drop("sig", "bits", "rid").join(ids.join(smallest_id, "comp").drop("class_id"), "set_key", "left").drop("set_key")
 
 
 def _blocks(left: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -269,28 +281,40 @@ def _blocks(left: DataFrame, texts: DataFrame, size: int, num: int, den: int) ->
 
 
 def _texts(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(rep, packed) of the wanted classes, compressed before they are shuffled, written to the shared folder; wanted: (rep, set_key).
+    """(rep, packed) of the wanted classes, compressed before they are shuffled, written to the shared folder.
 
-    Where rows repeat a key with other texts, the one of the class is taken.
+    wanted: (rep, set_key, src_id, src_th). A class's text is that of the row with this id and hash of the text; where others
+    have the same of both, the set says which it is.
     """
 
     def pack():
         packer = zstandard.ZstdCompressor(level=1)
         return lambda batch: [[None if t.as_py() is None else packer.compress(t.as_py()) for t in batch.column(batch.schema.get_field_index("text")).cast(pa.binary())]]
 
-    packed = annotate(rows.filter("id is not null and text is not null"), [T.StructField("packed", T.BinaryType())], pack).drop("text")
-    found = packed.join(wanted.withColumnRenamed("rep", "id"), "id")
+    packed = annotate(rows.filter("text is not null"), [T.StructField("packed", T.BinaryType())], pack).drop("text")
+    found = packed.join(wanted, (F.col("th") == F.col("src_th")) & F.col("id").eqNullSafe(F.col("src_id"))).dropDuplicates(["rep", "packed"])
 
     def check():
         unpack = zstandard.ZstdDecompressor().decompress
         at = lambda batch, name: batch.column(batch.schema.get_field_index(name))
         return lambda batch: [[key_of(shingles_of(unpack(t.as_py()), size)) == k.as_py() for t, k in zip(at(batch, "packed"), at(batch, "set_key"))]]
 
-    right = annotate(found, [T.StructField("right", T.BooleanType())], check).filter("right")
-    return cut(right.select(F.col("id").alias("rep"), "packed").dropDuplicates(["rep"]))
+    right = annotate(found.select("rep", "set_key", "packed"), [T.StructField("right", T.BooleanType())], check).filter("right")
+    return cut(right.select("rep", "packed").dropDuplicates(["rep"]))
 
 
 def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one document of each group: the smallest doc_id. Of rows that repeat a kept doc_id one stays."""
-    kept = near_duplicates(docs, size, num, den).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs with one document of each group of near duplicates: that of the smallest doc_id, or without any, of one that has none.
+
+    Of a group's rows that share its smallest doc_id, one stays. Rows without a text or words are in no group and all stay.
+    Rows that share a doc_id or have none stay each for its group, so no text is lost that is not near another that
+    stays. All columns of docs come back as they were, whatever their names.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("long").alias("id"), "text")
+    found = _components(rows.select("id", "text"), size, num, den).filter("comp is not null")
+    best = found.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull(), "id", "th")).alias("b")).select(F.coalesce("b.id", F.lit(0)).alias("k"), F.col("b.id").isNull().alias("none"), F.col("b.th").alias("th"))
+    words = F.length(F.trim(spaced(F.col("text")))) > 0
+    keyed = rows.filter(words).select("row", F.coalesce("id", F.lit(0)).alias("k"), F.col("id").isNull().alias("none"), F.xxhash64("text").alias("th"))
+    one = keyed.join(best, ["k", "none", "th"], "left_semi").groupBy("k", "none", "th").agg(F.first("row").alias("row")).select("row.*")
+    return one.union(rows.filter(~words).select("row.*"))

@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkfen.llm import decontaminate, language_id, licenses, mixing, near_dup, pii, quality, token_counts, token_store, url_filter
-from sparkfen.session import table
+from sparkfen.session import spread, table
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of documents, spread over the cores where it is one small file."""
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule ledger over all documents."""
-    return quality.digest(table(spark, sf_dir, "documents"))
+    return quality.digest(documents(spark, sf_dir))
 
 
 #: The rules of the query over pages.
@@ -33,42 +38,42 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents."""
-    return pii.digest(table(spark, sf_dir, "documents"))
+    return pii.digest(documents(spark, sf_dir))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents."""
-    return mixing.digest(table(spark, sf_dir, "documents"))
+    return mixing.digest(documents(spark, sf_dir))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents."""
-    return language_id.digest(table(spark, sf_dir, "documents"))
+    return language_id.digest(documents(spark, sf_dir))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences named in all documents."""
-    return licenses.digest(table(spark, sf_dir, "documents"))
+    return licenses.digest(documents(spark, sf_dir))
 
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents through token files and back."""
-    return token_store.digest(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return token_store.digest(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near duplicates among all documents, by two-word shingles."""
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=2)
+    return near_dup.near_duplicates(documents(spark, sf_dir), size=2)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in all documents."""
-    return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.digest(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents."""
-    return token_counts.digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return token_counts.digest(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

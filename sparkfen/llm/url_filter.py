@@ -70,12 +70,13 @@ class UrlTrie:
         return (best[1], best[0]) if best else (None, self.default)
 
 
-def judge_urls(df: DataFrame, rules: Sequence[tuple[str, str]], url: str = "url", default: str = "allow", max_rules: int = 2_000_000) -> DataFrame:
+def judge_urls(df: DataFrame, rules: Sequence[tuple[str, str]], url: str = "url", default: str = "allow", max_rules: int = 200_000) -> DataFrame:
     """df with host, path, rule (null if none fits) and verdict; columns of df with these names are replaced.
 
     A missing URL, or one without ://, has an empty host and path, fits no rule and gets the default. The trie is
-    broadcast; more than max_rules rules are an error, so its size is bounded (about 1 GB at the default bound).
-    Repeated rules count once; an allow and a block entry of the same text leave allow.
+    broadcast; more than max_rules rules are an error, so its size is bounded (about 100 MB at the default bound).
+    Repeated rules count once; an allow and a block entry of the same text leave allow. Very long URLs and repeated rows are
+    treated like all others.
     """
     if len(rules) > max_rules:
         raise ValueError(f"{len(rules)} rules; the bound is {max_rules}")
