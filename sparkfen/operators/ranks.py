@@ -53,8 +53,7 @@ def percentiles(df: DataFrame, by: Sequence[str], x: str, shares: Sequence[float
         value = lambda k: F.max(F.when((low <= k) & (k <= high), F.col(x).cast("double")))
         aggs += [value(lo).alias(f"__lo{i}"), value(hi).alias(f"__hi{i}"), F.max(at - lo).alias(f"__w{i}")]
     a = rows.groupBy(*by).agg(F.max("n").alias("n"), *aggs)
-    # The form that numerical libraries use, so that results agree to the last bit where they can.
-    mixed = lambda i: F.when(F.col(f"__w{i}") == 0, F.col(f"__lo{i}")).otherwise(F.col(f"__lo{i}") * (1 - F.col(f"__w{i}")) + F.col(f"__hi{i}") * F.col(f"__w{i}"))
+    mixed = lambda i: F.when((F.col(f"__w{i}") == 0) | (F.col(f"__lo{i}") == F.col(f"__hi{i}")), F.col(f"__lo{i}")).otherwise(F.col(f"__lo{i}") * (1 - F.col(f"__w{i}")) + F.col(f"__hi{i}") * F.col(f"__w{i}"))
     return a.select(*by, "n", *[mixed(i).alias(f"q{i}") for i in range(len(shares))])
 
 
@@ -68,15 +67,15 @@ def mid_ranks(df: DataFrame, by: Sequence[str], x: str, name: str) -> DataFrame:
     return df.join(ranks, same, "left").drop("__x", *[f"__{k}" for k in by])
 
 
-def ordinal(df: DataFrame, by: Sequence[str], key: str, name: str, weight: Column | None = None, parts: int = PARTS) -> DataFrame:
-    """df with the position (from 1) of each row in its group by a numeric key, ties in any order; or, with a weight, the sum of
-    the weights up to and with the row."""
+def ordinal(df: DataFrame, by: Sequence[str], key: str, name: str, weight: Column | None = None, then: Sequence[str] = (), parts: int = PARTS) -> DataFrame:
+    """df with the position (from 1) of each row in its group by a numeric key, ties by the columns `then`; or, with a weight, the
+    sum of the weights up to and with the row. Rows of one key value meet in a task."""
     w = F.lit(1).cast("long") if weight is None else weight
     placed = _ranged(df.withColumn("__w", w), by, key, parts)
     sums = placed.groupBy(*by, "__part").agg(F.sum("__w").alias("__pw"))
     groups = [F.col(k).alias(f"__{k}") for k in by]
     before = sums.select(*groups, F.col("__part").alias("__p"), (F.sum("__pw").over(W.partitionBy(*by).orderBy("__part")) - F.col("__pw")).alias("__base"))
-    inside = F.sum("__w").over(W.partitionBy(*by, "__part").orderBy(key).rowsBetween(W.unboundedPreceding, 0))
+    inside = F.sum("__w").over(W.partitionBy(*by, "__part").orderBy(key, *then).rowsBetween(W.unboundedPreceding, 0))
     same = F.col("__part") == F.col("__p")
     for k in by:
         same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sparkfen.functions import columns as c
 from sparkfen.operators import measures as m
+from sparkfen.operators import ranks
 from sparkfen.operators.membership import per_megabase, ratio, unmapped_index
 from sparkfen.plans.catalog import query
 from sparkfen.plans.timeline import rounded
@@ -108,17 +109,16 @@ def binned_distribution(b):
 @query("quartile_bins", "with q as (select quantile_cont(mbases, 0.25) as a, quantile_cont(mbases, 0.5) as b, quantile_cont(mbases, 0.75) as c from meta) select case when mbases <= a then 'Q1' when mbases <= b then 'Q2' when mbases <= c then 'Q3' else 'Q4' end as bin, count(*) as n from meta, q group by 1", "meta")
 def quartile_bins(b):
     """Edges from exact percentiles, right-closed."""
-    q = b.meta.agg(F.percentile("mbases", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    x, q_ = F.col("mbases"), lambda i: F.col("q")[i]
-    return b.meta.crossJoin(F.broadcast(q)).groupBy(F.when(x <= q_(0), "Q1").when(x <= q_(1), "Q2").when(x <= q_(2), "Q3").otherwise("Q4").alias("bin")).agg(F.count("*").alias("n"))
+    q, x = ranks.percentiles(b.meta.select("mbases"), [], "mbases", (0.25, 0.5, 0.75)).drop("n"), F.col("mbases")
+    return b.meta.select("mbases").crossJoin(F.broadcast(q)).groupBy(F.when(x <= F.col("q0"), "Q1").when(x <= F.col("q1"), "Q2").when(x <= F.col("q2"), "Q3").otherwise("Q4").alias("bin")).agg(F.count("*").alias("n"))
 
 
 @query("percentile_grid", "select " + ", ".join(f"round(quantile_cont(mbases, {p / 100}), 6) as p{p:02d}" for p in (1, 5, 25, 50, 75, 95, 99)) + " from meta", "meta")
 def percentile_grid(b):
     """A10."""
     ps = (1, 5, 25, 50, 75, 95, 99)
-    g = b.meta.agg(F.percentile("mbases", F.array(*[F.lit(p / 100) for p in ps])).alias("g"))
-    return g.select(*[F.round(F.col("g")[i], 6).alias(f"p{p:02d}") for i, p in enumerate(ps)])
+    g = ranks.percentiles(b.meta.select("mbases"), [], "mbases", [p / 100 for p in ps])
+    return g.select(*[F.round(f"q{i}", 6).alias(f"p{p:02d}") for i, p in enumerate(ps)])
 
 
 @query("equal_width_histogram", "select least(floor((mbases - 0) / 12.5), 19)::int as bin, count(*) as n from meta where mbases between 0 and 250 group by 1", "meta")
@@ -136,7 +136,7 @@ def density_grid(b):
 @query("outlier_cohort", "with q as (select quantile_cont(x, 0.75) as hx, quantile_cont(y, 0.25) as ly from xy) select acc, x, y from xy, q where x > hx and y < hx * 1000 and y > ly", "xy")
 def outlier_cohort(b):
     """flags against percentiles of the whole frame."""
-    q = b.xy.agg(F.percentile("x", F.lit(0.75)).alias("hx"), F.percentile("y", F.lit(0.25)).alias("ly"))
+    q = ranks.percentiles(b.xy, [], "x", (0.75,)).select(F.col("q0").alias("hx")).crossJoin(ranks.percentiles(b.xy, [], "y", (0.25,)).select(F.col("q0").alias("ly")))
     return b.xy.crossJoin(F.broadcast(q)).filter("x > hx and y < hx * 1000 and y > ly").select("acc", "x", "y")
 
 
@@ -144,7 +144,7 @@ def outlier_cohort(b):
 def dark_cohort_by_group(b):
     """D19, F14, A18."""
     d = unmapped_index(b.sig, b.ref)
-    q = d.agg(F.percentile("dmi", F.lit(0.9)).alias("d"), F.percentile("unmapped_hashes", F.lit(0.9)).alias("u"))
+    q = ranks.percentiles(d, [], "dmi", (0.9,)).select(F.col("q0").alias("d")).crossJoin(ranks.percentiles(d, [], "unmapped_hashes", (0.9,)).select(F.col("q0").alias("u")))
     rows = d.crossJoin(F.broadcast(q)).filter("dmi >= d and unmapped_hashes >= u").join(b.meta, F.col("acc") == F.col("accession"))
     return rows.groupBy("organism").agg(F.count("*").alias("n"), F.round(F.avg("dmi"), 9).alias("mean_dmi"), F.max("unmapped_hashes").alias("most"))
 
@@ -153,7 +153,7 @@ def dark_cohort_by_group(b):
 def cohort_partition(b):
     """O08."""
     d = unmapped_index(b.sig, b.ref)
-    q = d.agg(F.percentile("dmi", F.lit(0.9)).alias("d"), F.percentile("total_hashes", F.lit(0.75)).alias("t"))
+    q = ranks.percentiles(d, [], "dmi", (0.9,)).select(F.col("q0").alias("d")).crossJoin(ranks.percentiles(d, [], "total_hashes", (0.75,)).select(F.col("q0").alias("t")))
     return d.crossJoin(F.broadcast(q)).groupBy(F.when(F.col("dmi") > F.col("d"), "dark").when(F.col("total_hashes") > F.col("t"), "outlier").otherwise("normal").alias("kind")).agg(F.count("*").alias("n"))
 
 

@@ -1,11 +1,12 @@
 """Queries on single relational operators: projections, filters, joins, sorts, samples and set operations."""
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkfen.functions import columns as c
 from sparkfen.operators import filters as f
+from sparkfen.operators import ranks
 from sparkfen.operators.membership import per_megabase
+from sparkfen.plans.bindings import surrogate
 from sparkfen.plans.catalog import query
 from sparkfen.plans.timeline import rounded
 
@@ -77,12 +78,12 @@ def explode_nest(b):
     return again
 
 
-@query("attributes_map", "select event_id, event_type, event_type || '-x' as biome from events where event_id < 500")
+@query("attributes_map", "select event_id, event_type, event_type || '-x' as biome from events")
 def attributes_map(b):
     """The first of repeated keys wins; dropped keys stay out."""
     kv = lambda k, v: F.struct(F.lit(k).alias("k"), v.alias("v"))
     attrs = F.array(kv("primary_search", F.lit("no")), kv("type", F.col("event_type")), kv("type", F.lit("later")), kv("environmental_x", F.lit("no")), kv("Environment", F.concat("event_type", F.lit("-x"))))
-    d = b.t("events").filter("event_id < 500").withColumn("a", attrs)
+    d = b.t("events").withColumn("a", attrs)
     return d.select("event_id", F.element_at(c.attributes_map(F.col("a")), "type").alias("event_type"), c.biome_of(F.col("a")).alias("biome"))
 
 
@@ -115,13 +116,13 @@ def sorted_top(b):
 @query("systematic_sample", "select acc from (select acc, row_number() over (partition by platform order by acc) as i from meta) where i % 10 = 0", "meta")
 def systematic_sample(b):
     """L06."""
-    return b.meta.withColumn("i", F.row_number().over(W.partitionBy("platform").orderBy("acc"))).filter("i % 10 = 0").select("acc")
+    return ranks.ordinal(b.meta.select("platform", "acc"), ["platform"], "acc", "i").filter("i % 10 = 0").select("acc")
 
 
-@query("bernoulli_sample")
+@query("bernoulli_sample", "select * from sig where ('0x' || substr(md5(concat_ws('-', 42, sample_id, min_hash)), 1, 15))::bigint % 1000 < 100", "sig")
 def bernoulli_sample(b):
-    """L04."""
-    return b.sig.filter(F.pmod(F.xxhash64("sample_id", "min_hash", F.lit(42)), F.lit(1000)) < 100)
+    """Each row by a seeded hash of its own."""
+    return b.sig.filter(surrogate(F.concat_ws("-", F.lit(42), "sample_id", "min_hash")) % 1000 < 100)
 
 
 @query("seeded_sample", "select acc from meta order by md5('42' || acc), acc limit 100", "meta")

@@ -1,11 +1,11 @@
 """Queries on k-mers, sketches, intervals and sequences; SQL twins use the md5 surrogate hash."""
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkfen.functions import columns as c
 from sparkfen.functions import hashing
 from sparkfen.operators import intervals as iv
+from sparkfen.operators import ranks
 from sparkfen.operators import sketches as sk
 from sparkfen.plans.bindings import surrogate
 from sparkfen.plans.catalog import query
@@ -149,5 +149,5 @@ def interval_union(b):
 @query("record_offsets", "select doc_id, length(text) as n, coalesce(sum(length(text)) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as start from documents")
 def record_offsets(b):
     """W08."""
-    before = F.sum(F.length("text").cast("long")).over(W.partitionBy("source").orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1))
-    return b.t("documents").select("doc_id", F.length("text").cast("long").alias("n"), F.coalesce(before, F.lit(0)).alias("start"))
+    d = b.t("documents").select("source", "doc_id", F.length("text").cast("long").alias("n"))
+    return ranks.ordinal(d, ["source"], "doc_id", "end", weight=F.coalesce("n", F.lit(0))).select("doc_id", "n", (F.col("end") - F.coalesce("n", F.lit(0))).alias("start"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from sparkfen.functions import columns as c
+from sparkfen.operators import ranks
 from sparkfen.operators import statistics as s
 from sparkfen.operators.membership import unmapped_index
 from sparkfen.plans.catalog import query
@@ -98,8 +99,8 @@ def mannwhitney_u(b):
 @query("group_comparison", "select round(median(y) filter (organism = 'BUILDING'), 4) as median_in, round(median(y) filter (organism <> 'BUILDING'), 4) as median_out, round(100 * (median(y) filter (organism = 'BUILDING') - median(y) filter (organism <> 'BUILDING')) / median(y) filter (organism <> 'BUILDING'), 6) as percent, case when median(y) filter (organism = 'BUILDING') > median(y) filter (organism <> 'BUILDING') then 'higher' else 'lower' end as direction from xy", "xy")
 def group_comparison(b):
     """T15."""
-    inside = F.col("organism") == "BUILDING"
-    g = b.xy.agg(F.median(F.when(inside, F.col("y"))).alias("i"), F.median(F.when(~inside, F.col("y"))).alias("o"))
+    halves = ranks.percentiles(b.xy.select((F.col("organism") == "BUILDING").alias("inside"), "y"), ["inside"], "y", (0.5,))
+    g = halves.agg(F.max(F.when(F.col("inside"), F.col("q0"))).alias("i"), F.max(F.when(~F.col("inside"), F.col("q0"))).alias("o"))
     return g.select(F.round("i", 4).alias("median_in"), F.round("o", 4).alias("median_out"), F.round(100 * (F.col("i") - F.col("o")) / F.col("o"), 6).alias("percent"), F.when(F.col("i") > F.col("o"), "higher").otherwise("lower").alias("direction"))
 
 
