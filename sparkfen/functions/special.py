@@ -115,6 +115,20 @@ def kendall_tau_b(x: np.ndarray, y: np.ndarray) -> float:
     return math.nan if not bottom else (total - tx - ty + both - 2 * swaps) / bottom
 
 
+def p_of_tau(x: np.ndarray, y: np.ndarray) -> float:
+    """Two-sided p of tau-b by its normal approximation with ties."""
+    n = len(x)
+    tau = kendall_tau_b(x, y)
+    if n < 3 or math.isnan(tau):
+        return math.nan
+    runs = [np.unique(v, return_counts=True)[1].astype(float) for v in (x, y)]
+    (p1, p2, p3), (q1, q2, q3) = ((float((t * (t - 1)).sum()), float((t * (t - 1) * (t - 2)).sum()), float((t * (t - 1) * (2 * t + 5)).sum())) for t in runs)
+    pairs = n * (n - 1.0)
+    spread = (pairs * (2 * n + 5) - p3 - q3) / 18 + p1 * q1 / (2 * pairs) + p2 * q2 / (9 * pairs * (n - 2))
+    score = tau * math.sqrt((pairs - p1) / 2 * ((pairs - q1) / 2))
+    return p_of_z(score / math.sqrt(spread)) if spread > 0 else math.nan
+
+
 def distance_correlation(x: np.ndarray, y: np.ndarray) -> float:
     """Of two samples, as from centred distance matrices, which are not built: sums over pairs come from sorts and prefix sums."""
     n = len(x)

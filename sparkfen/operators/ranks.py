@@ -18,21 +18,21 @@ from sparkfen.session import cut
 PARTS = 256
 
 
-def _ranged(df: DataFrame, by: Sequence[str], x: str, parts: int) -> DataFrame:
-    """df with __part: which range of x, in ascending order, a row is in. Ranges are those of the whole frame; equal values share one."""
-    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+def ranged(df: DataFrame, x: str, name: str, parts: int = PARTS) -> DataFrame:
+    """df with the number of the range of x, in ascending order, that each row is in (-1 for a null). Equal values share one."""
     kind = dict(df.dtypes)[x]
-    if kind == "string" or kind.startswith("struct"):
+    if kind == "string" or kind.startswith(("struct", "array", "map")):
         raise ValueError("the ordering value must be a number or a date")
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
     edges = df.agg(F.array_distinct(F.percentile_approx(x, shares, F.lit(10_000))).alias("__edges"))
     at = F.aggregate("__edges", F.lit(0), lambda n, e: n + (e < F.col(x)).cast("int"))
-    return df.crossJoin(F.broadcast(edges)).withColumn("__part", F.when(F.col(x).isNull(), -1).otherwise(F.coalesce(at, F.lit(0)))).drop("__edges")
+    return df.crossJoin(F.broadcast(edges)).withColumn(name, F.when(F.col(x).isNull(), -1).otherwise(F.coalesce(at, F.lit(0)))).drop("__edges")
 
 
 def value_counts(df: DataFrame, by: Sequence[str], x: str, extra: Sequence[Column] = (), parts: int = PARTS) -> DataFrame:
     """(by..., x, c, extra..., below): how often each value occurs in its group, and how many smaller ones there are (nulls left out)."""
     counts = df.filter(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("c"), *extra)
-    placed = _ranged(cut(counts), by, x, parts)
+    placed = ranged(cut(counts), x, "__part", parts)
     sums = placed.groupBy(*by, "__part").agg(F.sum("c").alias("__pc"))
     before = sums.withColumn("__base", F.sum("__pc").over(W.partitionBy(*by).orderBy("__part")) - F.col("__pc")).drop("__pc")
     inside = F.sum("c").over(W.partitionBy(*by, "__part").orderBy(x)) - F.col("c")
@@ -71,7 +71,7 @@ def ordinal(df: DataFrame, by: Sequence[str], key: str, name: str, weight: Colum
     """df with the position (from 1) of each row in its group by a numeric key, ties by the columns `then`; or, with a weight, the
     sum of the weights up to and with the row. Rows of one key value meet in a task."""
     w = F.lit(1).cast("long") if weight is None else weight
-    placed = _ranged(df.withColumn("__w", w), by, key, parts)
+    placed = ranged(df.withColumn("__w", w), key, "__part", parts)
     sums = placed.groupBy(*by, "__part").agg(F.sum("__w").alias("__pw"))
     groups = [F.col(k).alias(f"__{k}") for k in by]
     before = sums.select(*groups, F.col("__part").alias("__p"), (F.sum("__pw").over(W.partitionBy(*by).orderBy("__part")) - F.col("__pw")).alias("__base"))

@@ -44,12 +44,17 @@ def ols_by_category(b):
 
 @query("category_statistics")
 def category_statistics(b):
-    """D17, T08 to T10 with p values, labels and corrections."""
-    d = _all(b).withColumn("p", s.p_of_r("pearson", "n"))
-    d = s.corrected(d)
+    """The whole battery with p values, labels and corrections."""
+    d = s.battery(s.by_category(b.xy, ["platform", "organism"], ["x", "y", "acc"]), ["variable", "category"], "x", "y", key=["acc"])
     return d.withColumns({"stars": c.significance(F.col("p_fdr")), "strength": c.strength(F.col("pearson")), "direction": c.direction(F.col("pearson"))})
 
 
+@query("skipped_fields", " union all ".join(f"select '{f}' as field, n_values * n_groups as n_cells, n_values * n_groups - filled as n_zero, n_groups, n_with_data, (n_values * n_groups - filled > 0.95 * (n_values * n_groups)) and n_with_data < 0.5 * n_groups as skipped from (select count(*) as filled, count(distinct {f}) as n_values, count(distinct component_id) as n_with_data from (select distinct component_id, {f} from groups where {f} is not null)), (select count(distinct component_id) as n_groups from groups)" for f in ("lang", "source", "quality")), "groups")
+def skipped_fields(b):
+    """F21."""
+    return s.sparse_fields(b.groups, "component_id", ["lang", "source", "quality"])
+
+
 @query("coverage_sweep", "with r as (select sample_id, v as cov, count(distinct tax_id)::double as d, count(*)::double as h from profiles, (select unnest([0, 2, 4, 6, 8]) as v) where cov >= v group by 1, 2) select cov, count(*) as n, round(corr(d, h), 6) as pearson, round(regr_slope(h, d), 6) as slope from r group by 1", "profiles")
 def coverage_sweep(b):
     """The coverage is part of the grouping key."""
@@ -106,7 +111,7 @@ def group_comparison(b):
 
 @query("fisher_enrichment")
 def fisher_enrichment(b):
-    """Outliers by centre, with Fisher's p and its correction."""
+    """Outliers by centre, with Fisher's p and its correction; enrichment_ratio and odds_ratio have the parts that SQL has."""
     d = unmapped_index(b.sig, b.ref).join(b.meta, F.col("acc") == F.col("accession"))
     return s.corrected(s.enrichment(d, F.col("dmi") > 0.9, "center"), "p_fisher")
 
@@ -121,4 +126,27 @@ def enrichment_ratio(b):
 @query("kendall_distance_mic")
 def kendall_distance_mic(b):
     """T03 to T05 by category."""
-    return s.grouped(_categories(b), ["variable", "category"], "x", "y")
+    return s.grouped(s.by_category(b.xy, ["platform", "organism"], ["x", "y", "acc"]), ["variable", "category"], "x", "y", key=["acc"])
+
+
+@query("odds_ratio", "with d as (select center, dmi > 0.9 as f from dmi join meta on acc = accession), t as (select count(*) filter (f) as ta, count(*) as tk from d), k as (select center as category, (count(*) filter (f))::double as a, count(*)::double as k from d group by 1 having count(*) >= 10) select category, round(case when (k - a) * (ta - a) > 0 then a * (tk - k - ta + a) / ((k - a) * (ta - a)) when a * (tk - k - ta + a) > 0 then 'inf'::double else 'nan'::double end, 9) as odds_ratio from k, t", "dmi", "meta")
+def odds_ratio(b):
+    """T12 without its p."""
+    d = unmapped_index(b.sig, b.ref).join(b.meta, F.col("acc") == F.col("accession"))
+    return rounded(s.enrichment(d, F.col("dmi") > 0.9, "center").select("category", "odds_ratio"))
+
+
+@query("tests_with_p")
+def tests_with_p(b):
+    """T11, T13, T15 with their p values: each test a row."""
+    chi = s.contingency(b.meta, "center", "platform").select(F.lit("chi2").alias("test"), F.col("chi2").alias("statistic"), "p")
+    two = s.contingency(b.xy.select((F.col("organism") == "BUILDING").alias("g"), (F.col("platform") == "1-URGENT").alias("h")), "g", "h").select(F.lit("chi2 of two by two").alias("test"), F.col("chi2").alias("statistic"), "p")
+    u = s.group_comparison(b.xy, F.col("organism") == "BUILDING", ["x", "y"]).select(F.concat(F.lit("rank sum of "), "variable").alias("test"), F.col("z").alias("statistic"), "p")
+    return chi.union(two).union(u)
+
+
+@query("chi2_two_by_two", "with t as (select count(*)::double as n, count(*) filter (g and h)::double as a, count(*) filter (g and not h)::double as b, count(*) filter (not g and h)::double as c, count(*) filter (not g and not h)::double as d from (select organism = 'BUILDING' as g, platform = '1-URGENT' as h from xy)) select n::bigint as n, round(n * power(greatest(abs(a * d - b * c) - n / 2, 0), 2) / ((a + b) * (c + d) * (a + c) * (b + d)), 6) as chi2, 1::bigint as dof from t", "xy")
+def chi2_two_by_two(b):
+    """T11 with the correction for continuity."""
+    d = s.contingency(b.xy.select((F.col("organism") == "BUILDING").alias("g"), (F.col("platform") == "1-URGENT").alias("h")), "g", "h")
+    return d.select("n", F.round("chi2", 6).alias("chi2"), "dof")

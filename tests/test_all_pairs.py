@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sparkfen.functions import special
 from sparkfen.operators import statistics
@@ -43,7 +44,7 @@ def test_groups_use_all_rows_in_any_order(spark):
     rows = [("g", float(a), float(b)) for a, b in zip(x, y)]
     run = lambda r: tuple(statistics.grouped(spark.createDataFrame(r, "k string, x double, y double"), ["k"], "x", "y").first())
     got = run(rows)
-    assert got[1] == 3000 and got[2:4] == pytest.approx((tau(x, y), by_matrix(x, y)))
+    assert got[1:3] == (3000, 3000) and (got[3], got[5]) == pytest.approx((tau(x, y), by_matrix(x, y)))
     assert run(rows[::-1]) == got
 
 
@@ -51,3 +52,30 @@ def test_no_row_is_left_out_above_the_former_sample(spark):
     rows = [("g", float(i), float(i % 7)) for i in range(12_000)]
     got = statistics.grouped(spark.createDataFrame(rows, "k string, x double, y double"), ["k"], "x", "y").first()
     assert got.n_used == 12_000 and got.kendall_tau == pytest.approx(special.kendall_tau_b(np.arange(12_000), np.arange(12_000) % 7))
+
+
+def test_tau_of_ranges_against_pairs(spark):
+    """Groups with many ties and a hot value, whose pairs lie in the same and in different ranges; p by the formula."""
+    rng = np.random.default_rng(7)
+    parts = {"a": (rng.normal(size=900), rng.normal(size=900)), "b": (rng.integers(0, 9, 600), rng.integers(0, 7, 600)), "c": (np.where(rng.random(500) < 0.4, 3.0, rng.normal(size=500)), rng.integers(0, 400, 500)), "d": (np.arange(40), -np.arange(40)), "e": (np.ones(5), np.arange(5))}
+    rows = [(k, float(u), float(v)) for k, (a, b) in parts.items() for u, v in zip(a, b)] + [("a", None, 1.0)]
+    got = {r.k: r for r in statistics.kendall(spark.createDataFrame(rows, "k string, x double, y double"), ["k"], "x", "y").collect()}
+    for k, (a, b) in parts.items():
+        a, b = np.asarray(a, float), np.asarray(b, float)
+        assert got[k].n == len(a)
+        if k == "e":
+            assert got[k].kendall_tau is None
+        else:
+            assert got[k].kendall_tau == pytest.approx(tau(a, b)) and got[k].p_kendall == pytest.approx(special.p_of_tau(a, b), abs=1e-12)
+
+
+def test_p_of_tau():
+    x = np.array([12, 2, 1, 12, 2], float)
+    y = np.array([1, 4, 7, 1, 0], float)
+    assert special.kendall_tau_b(x, y) == pytest.approx(-0.47140452079103173) and special.p_of_tau(x, y) == pytest.approx(0.2827454599327748)
+
+
+def test_larger_groups_are_sampled_by_key(spark):
+    df = spark.range(4000).select(F.lit("g").alias("k"), F.col("id").cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("y"), "id")
+    one, two = (statistics.grouped(d, ["k"], "x", "y", key=["id"], most=1000).first() for d in (df, df.repartition(3)))
+    assert one == two and one.n == 4000 and 800 < one.n_used < 1200 and one.kendall_tau == pytest.approx(special.kendall_tau_b(np.arange(4000), np.arange(4000) % 5))
