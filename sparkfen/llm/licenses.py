@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,30 +35,55 @@ SENTENCES = {
     "rights-reserved": "All rights reserved.",
 }
 
-#: Whole sentences of the real licence texts. SENTENCES and RULES have the short forms, which the SQL twin has too.
+#: Sentences, titles and notices of licence texts, whole, by identifier.
 REAL_SENTENCES = {
     "apache-2.0-title": "Apache License Version 2.0, January 2004",
     "apache-2.0-notice-real": "Licensed under the Apache License, Version 2.0 (the \"License\");",
     "apache-2.0-asis-real": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     "mit-grant-real": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
     "mit-asis-real": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "isc-asis": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "gpl-3.0-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
     "gpl-2.0-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
     "gpl-3.0-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl-2.0-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "gpl-warranty-real": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
-    "cc-by-4.0-real": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "cc-by-sa-4.0-real": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "cc-by-nc-4.0-real": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "agpl-3.0-title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "agpl-3.0-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-2.1-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "lgpl-3.0-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "lgpl-2.1-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl-3.0-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-warranty": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "mpl-2.0-title": "Mozilla Public License Version 2.0",
+    "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "epl-2.0-title": "Eclipse Public License - v 2.0",
+    "bsl-1.0-title": "Boost Software License - Version 1.0 - August 17th, 2003",
+    "zlib-asis": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "cc0-1.0-title": "CC0 1.0 Universal",
 }
+#: The Creative Commons licences with their names, of which notices and titles are made, and the identifiers
+#: that one-line tags give.
+COMMONS = {"CC-BY": "Attribution", "CC-BY-SA": "Attribution-ShareAlike", "CC-BY-NC": "Attribution-NonCommercial", "CC-BY-ND": "Attribution-NoDerivatives", "CC-BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "CC-BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+TAGGED = ("Apache-2.0", "MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MPL-2.0", "EPL-2.0", "BSL-1.0", "Zlib", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0")
+REAL_SENTENCES |= {f"{k.lower()}-4.0-{n}": f"This work is licensed under {article} Creative Commons {name} 4.0 International License." for k, name in COMMONS.items() for n, article in (("real", "a"), ("the", "the"))}
+REAL_SENTENCES |= {f"{k.lower()}-4.0-title": f"Creative Commons {name} 4.0 International Public License" for k, name in COMMONS.items()}
+REAL_SENTENCES |= {f"tag-{t.lower()}": f"SPDX-License-Identifier: {t}" for t in TAGGED}
 
 
 @dataclass(frozen=True)
 class LicenseRule:
-    """license: its name; sentences: identifiers in order. Earlier rules come first in the result."""
+    """license: its name; sentences: identifiers in order; unless: identifiers none of which may occur. Earlier rules come first in the result."""
 
     license: str
     sentences: tuple[str, ...]
+    unless: tuple[str, ...] = ()
 
 
 RULES = (
@@ -70,7 +96,7 @@ RULES = (
     LicenseRule("CC-BY-NC-4.0", ("cc-by-nc-4.0-notice",)),
     LicenseRule("CC-BY-4.0", ("cc-by-4.0-notice",)),
     LicenseRule("CC-BY-SA-4.0", ("cc-by-sa-4.0-notice",)),
-    LicenseRule("BSD", ("bsd-redistribute",)),
+    LicenseRule("BSD", ("bsd-redistribute",), unless=("bsd-source",)),
 )
 
 REAL_RULES = (
@@ -78,13 +104,28 @@ REAL_RULES = (
     LicenseRule("Apache-2.0", ("apache-2.0-notice-real",)),
     LicenseRule("Apache-2.0", ("apache-2.0-file", "apache-2.0-asis-real")),
     LicenseRule("MIT", ("mit-grant-real", "mit-asis-real")),
+    LicenseRule("ISC", ("isc-grant", "isc-asis")),
+    LicenseRule("BSD-3-Clause", ("bsd-redistribute", "bsd-source", "bsd-binary", "bsd-names")),
+    LicenseRule("BSD-2-Clause", ("bsd-redistribute", "bsd-source", "bsd-binary"), unless=("bsd-names",)),
     LicenseRule("GPL-3.0", ("gpl-3.0-title",)),
     LicenseRule("GPL-3.0", ("gpl-3.0-free", "gpl-warranty-real")),
     LicenseRule("GPL-2.0", ("gpl-2.0-title",)),
     LicenseRule("GPL-2.0", ("gpl-2.0-free", "gpl-warranty-real")),
-    LicenseRule("CC-BY-NC-4.0", ("cc-by-nc-4.0-real",)),
-    LicenseRule("CC-BY-4.0", ("cc-by-4.0-real",)),
-    LicenseRule("CC-BY-SA-4.0", ("cc-by-sa-4.0-real",)),
+    LicenseRule("AGPL-3.0", ("agpl-3.0-title",)),
+    LicenseRule("AGPL-3.0", ("agpl-3.0-free", "gpl-warranty-real")),
+    LicenseRule("LGPL-2.1", ("lgpl-2.1-title",)),
+    LicenseRule("LGPL-2.1", ("lgpl-2.1-free", "lgpl-warranty")),
+    LicenseRule("LGPL-3.0", ("lgpl-3.0-title",)),
+    LicenseRule("LGPL-3.0", ("lgpl-3.0-free", "gpl-warranty-real")),
+    LicenseRule("MPL-2.0", ("mpl-2.0-title",)),
+    LicenseRule("MPL-2.0", ("mpl-2.0-notice",)),
+    LicenseRule("EPL-2.0", ("epl-2.0-title",)),
+    LicenseRule("BSL-1.0", ("bsl-1.0-title",)),
+    LicenseRule("Zlib", ("zlib-asis", "zlib-grant")),
+    LicenseRule("Unlicense", ("unlicense",)),
+    LicenseRule("CC0-1.0", ("cc0-1.0-title",)),
+    *(LicenseRule(f"{k}-4.0", (f"{k.lower()}-4.0-{n}",)) for k in COMMONS for n in ("real", "the", "title")),
+    *(LicenseRule(t.removesuffix("-only").removesuffix("-or-later"), (f"tag-{t.lower()}",)) for t in TAGGED),
 )
 
 
@@ -101,10 +142,10 @@ def _marked(text: Column) -> Column:
     return F.concat(F.lit("| "), F.trim(t), F.lit(" |"))
 
 
-def _pattern(sentence: str) -> str:
+def pattern(sentence: str, line: str = " ~", end: str = " [|~]") -> str:
     """A regular expression of a known sentence in marked text: line breaks may lie between its words, ends only where it has them."""
     parts = [plain(p).split() for p in re.split(r"(?<=[.!?:;])\s", sentence)]
-    return "(?: [|~])* ".join("(?: ~)? ".join(p) for p in parts if p)
+    return f"(?:{end})* ".join(f"(?:{line})? ".join(p) for p in parts if p)
 
 
 def anchors(sentences: dict[str, str]) -> tuple[str, ...]:
@@ -127,24 +168,25 @@ def scan(df: DataFrame, sentences: dict[str, str] = SENTENCES | REAL_SENTENCES,
     A sentence starts and ends at . ! ? : ; before white space, at a blank line, at a line break or at an end of the
     text; single line breaks may also lie within it, as in wrapped texts. A missing or empty text has none. Equal
     sentences must not have two identifiers. The known sentences are literals of the plan, meant for up to some
-    thousands. Nothing is shuffled; columns of df with these names are replaced.
+    thousands. Nothing is shuffled; very long texts and repeated rows are treated like all others, columns of df with these
+    names are replaced.
     """
     by = {plain(v): k for k, v in sentences.items()}
     if len(by) < len(sentences) or "" in by:
         raise ValueError("two known sentences are alike, or one is empty")
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    known = F.array(*[F.lit(s) for s in by])
-    names = F.array(*[F.lit(k) for k in by.values()])
+    names = F.create_map(*[F.lit(x) for pair in by.items() for x in pair])
     words = "(?i)" + "|".join(anchors(sentences))
     longest = sorted(sentences.values(), key=len, reverse=True)
-    hits = F.regexp_extract_all(_marked(whole), F.lit("(?<=[|~] )(?:" + "|".join(map(_pattern, longest)) + ")(?= [|~])"), F.lit(0))
-    at = F.transform(hits, lambda x: F.array_position(known, F.regexp_replace(x, "[ |~]+", " ")))
-    found = F.when(whole.rlike(words), F.transform(at, lambda p: F.element_at(names, p.cast("int")))).otherwise(F.array().cast("array<string>"))
+    hits = F.regexp_extract_all(_marked(whole), F.lit("(?<=[|~] )(?:" + "|".join(map(pattern, longest)) + ")(?= [|~])"), F.lit(0))
+    ids = F.transform(hits, lambda x: F.element_at(names, F.regexp_replace(x, "[ |~]+", " ")))
+    found = F.when(whole.rlike(words), ids).otherwise(F.array().cast("array<string>"))
     joined = F.concat(F.lit("\n"), F.array_join("license_sentences", "\n"), F.lit("\n"))
     quoted = lambda s: "\\Q" + s + "\\E"
-    fits = [F.when(joined.rlike("\\n" + "\\n(?:.*\\n)*".join(quoted(s) for s in r.sentences) + "\\n"), F.lit(r.license)) for r in rules]
-    made = df.withColumn("license_sentences", bind(found, lambda x: x))
-    return made.withColumn("licenses", F.array_distinct(F.array_compact(F.array(*fits))))
+    has = lambda ids: joined.rlike("\\n" + "\\n(?:.*\\n)*".join(map(quoted, ids)) + "\\n")
+    fits = [F.when(reduce(lambda test, i: test & ~has((i,)), r.unless, has(r.sentences)), F.lit(r.license)) for r in rules]
+    made = F.when(F.size("license_sentences") > 0, F.array_distinct(F.array_compact(F.array(*fits)))).otherwise(F.array().cast("array<string>"))
+    return df.withColumn("license_sentences", bind(found, lambda x: x)).withColumn("licenses", made)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -108,13 +108,16 @@ f as (select page_id, rhost || rpath as rule, verdict, row_number() over (partit
 select l.page_id, host, path, f.rule, coalesce(f.verdict, 'allow') as verdict from l left join f on f.page_id = l.page_id and f.k = 1
 """
 
+#: Marks of ends and line breaks are doubled, as each of two sentences in a row needs one of its own.
 OP6_SQL = r"""
 with known(id, s) as (values __KNOWN__),
-s as (select doc_id, unnest(list_zip(x, range(1, len(x) + 1))) as z from (select doc_id, regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?])[\x20\x09-\x0D]', '\1' || chr(10), 'g'), chr(10)) as x from documents)),
-m as (select doc_id, struct_extract(z, 2) as pos, id from s join known on trim(regexp_replace(lower(struct_extract(z, 1)), '[^a-z0-9]+', ' ', 'g')) = s),
+t as (select doc_id, '| ' || trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(lower(coalesce(text, '')), '|~', '  '), '[.!?:;]([\x20\x09-\x0D])', ' | \1', 'g'), '\n(?:[^a-z0-9|\n]*\n)+', ' | ', 'g'), '\n', ' ~ ', 'g'), '[^a-z0-9|~]+', ' ', 'g')) || ' |' as t from documents),
+x as (select doc_id, regexp_extract_all(regexp_replace(t, '([|~])', '\1 \1', 'g'), '[|~] (__HITS__) [|~]', 1) as x from t),
+s as (select doc_id, unnest(x) as hit, unnest(range(1, len(x) + 1)) as pos from x),
+m as (select doc_id, pos, id from s join known on regexp_replace(hit, '[ |~]+', ' ', 'g') = s),
 g as (select doc_id, count(*)::bigint as n, string_agg(id, ',' order by pos) as ids, list(id order by pos) as l from m group by doc_id),
-r(k, license, fits) as (values __RULES__),
-h as (select doc_id, license, min(k) as k from g join r on regexp_matches(chr(10) || array_to_string(l, chr(10)) || chr(10), fits) group by doc_id, license),
+r(k, license, fits, fails) as (values __RULES__),
+h as (select doc_id, license, min(k) as k from g join r on regexp_matches(chr(10) || array_to_string(l, chr(10)) || chr(10), fits) and not regexp_matches(chr(10) || array_to_string(l, chr(10)) || chr(10), fails) group by doc_id, license),
 j as (select doc_id, string_agg(license, ',' order by k) as licenses from h group by doc_id)
 select d.doc_id, coalesce(g.n, 0)::bigint as n_license_sentences, coalesce(g.ids, '') as sentence_ids, coalesce(j.licenses, '') as licenses, j.licenses is not null as licensed
 from documents d left join g on g.doc_id = d.doc_id left join j on j.doc_id = d.doc_id
@@ -147,10 +150,13 @@ from d left join h using (doc_id) left join q using (doc_id)
 
 def _op6_sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    known = ", ".join(f"({quote(k)}, {quote(licenses.plain(v))})" for k, v in licenses.SENTENCES.items())
-    fits = lambda r: r"\n" + r"\n(?:[^\n]*\n)*".join(s.replace(".", r"\.") for s in r.sentences) + r"\n"
-    rules = ", ".join(f"({k}, {quote(r.license)}, {quote(fits(r))})" for k, r in enumerate(licenses.RULES))
-    return OP6_SQL.replace("__KNOWN__", known).replace("__RULES__", rules)
+    every = licenses.SENTENCES | licenses.REAL_SENTENCES
+    known = ", ".join(f"({quote(k)}, {quote(licenses.plain(v))})" for k, v in every.items())
+    hits = "|".join(licenses.pattern(v, " ~ ~", " [|~] [|~]") for v in sorted(every.values(), key=len, reverse=True))
+    row = lambda ids: r"\n" + r"\n(?:[^\n]*\n)*".join(s.replace(".", r"\.") for s in ids) + r"\n"
+    fails = lambda ids: "|".join(row((i,)) for i in ids) or r"\n\n\n"
+    rules = ", ".join(f"({k}, {quote(r.license)}, {quote(row(r.sentences))}, {quote(fails(r.unless))})" for k, r in enumerate(licenses.RULES + licenses.REAL_RULES))
+    return OP6_SQL.replace("__KNOWN__", known).replace("__HITS__", hits).replace("__RULES__", rules)
 
 
 def oracle_sql() -> dict[str, str]:

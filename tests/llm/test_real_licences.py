@@ -2,7 +2,10 @@
 
 import textwrap
 
-from sparkfen.llm import licenses
+import duckdb
+
+from sparkfen.llm import licenses, registry
+from tests.differential import rows_of
 
 MIT = """MIT License
 
@@ -63,6 +66,74 @@ CASES = {
 }
 
 
+BSD2 = BSD[: BSD.index("1.")] + """1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = BSD2 + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY DAMAGES.
+"""
+CCBY = """This work is licensed under a Creative Commons
+Attribution 4.0 International License. See the file.
+"""
+TEXTS = {"MIT": MIT, "Apache-2.0": APACHE, "GPL-3.0": GPL.format(3), "GPL-2.0": GPL2, "BSD-2-Clause": BSD2, "BSD-3-Clause": BSD3, "LGPL-2.1": LGPL, "MPL-2.0": MPL, "ISC": ISC, "CC-BY-4.0": CCBY}
+
+
+def test_usual_licences_in_any_layout(spark):
+    """Each as written, unwrapped, wrapped anew at other widths, in comments, and below a heading without an end."""
+    made = []
+    for name, text in TEXTS.items():
+        paragraphs = [" ".join(p.split()) for p in text.split("\n\n")]
+        layouts = [text, "\n\n".join(paragraphs), *("\n\n".join(textwrap.fill(p, width) for p in paragraphs) for width in (30, 55, 100))]
+        layouts += [textwrap.indent(text, "// ", lambda _: True), "A heading\n" + text, "word " * 30_000 + "\n" + text]
+        made += [(name, i, t) for i, t in enumerate(layouts)]
+    df = spark.createDataFrame([(f"{n}:{i}", t, 1) for n, i, t in made * 2], "doc_id string, text string, licenses int")
+    got = licenses.digest(df).collect()
+    assert len(got) == 2 * len(made) and [(r.doc_id, r.licenses) for r in got if r.doc_id.split(":")[0] != r.licenses] == []
+
+
+def test_other_tags_and_titles(spark):
+    cases = {"/* SPDX-License-Identifier: GPL-2.0-or-later */": "GPL-2.0", "# SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause", "x\nSPDX-License-Identifier: MPL-2.0\ny": "MPL-2.0", "CC0 1.0 Universal": "CC0-1.0", "GNU AFFERO GENERAL PUBLIC LICENSE\n   Version 3, 19 November 2007": "AGPL-3.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License": "CC-BY-SA-4.0", "see SPDX-License-Identifier: MIT": "", "": ""}
+    df = spark.createDataFrame([(k, k) for k in cases], "doc_id string, text string")
+    assert {r.doc_id: r.licenses for r in licenses.digest(df).collect()} == cases
+
+
+def test_against_sql_on_real_texts(spark, tmp_path):
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate([*TEXTS.values(), MIT + APACHE + BSD3 + LGPL, *(t for t, _ in CASES.values()), "", " \n"])] + [(900, None, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want, got = con.sql(registry.oracle_sql()["op6_license_scan"]).df(), registry.op6_license_scan(spark, str(tmp_path)).toPandas()
+    assert rows_of(got) == rows_of(want) and got["licensed"].sum() > 15
+
+
 def test_real_texts(spark):
     df = spark.createDataFrame([(k, t) for k, (t, _) in CASES.items()], "doc_id string, text string")
     assert {r.doc_id: r.licenses for r in licenses.digest(df).collect()} == {k: v for k, (_, v) in CASES.items()}
