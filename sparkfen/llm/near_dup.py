@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkfen.llm.common import annotate, spaced
+from sparkfen.llm.common import annotate
 from sparkfen.operators.graph import connected_components
 from sparkfen.session import cut
 
@@ -314,7 +314,7 @@ def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> D
     rows = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("long").alias("id"), "text")
     found = _components(rows.select("id", "text"), size, num, den).filter("comp is not null")
     best = found.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull(), "id", "th")).alias("b")).select(F.coalesce("b.id", F.lit(0)).alias("k"), F.col("b.id").isNull().alias("none"), F.col("b.th").alias("th"))
-    words = F.length(F.trim(spaced(F.col("text")))) > 0
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     keyed = rows.filter(words).select("row", F.coalesce("id", F.lit(0)).alias("k"), F.col("id").isNull().alias("none"), F.xxhash64("text").alias("th"))
     one = keyed.join(best, ["k", "none", "th"], "left_semi").groupBy("k", "none", "th").agg(F.first("row").alias("row")).select("row.*")
     return one.union(rows.filter(~words).select("row.*"))

@@ -80,7 +80,7 @@ class PieceCounts(dict):
         self.plain = all(steps.get(k) == v for k, v in KNOWN_STEPS.items()) and steps["model"]["type"] == "BPE" and not steps["model"].get("dropout")
         self.whole = tuple(t["content"].encode() for t in steps["added_tokens"])
         self.special = re.compile(b"|".join(re.escape(w[:2]) for w in self.whole) or b"(?!)")
-        self.parts = PartCounts(self.encoder.model, bound // 2)
+        self.parts = PartCounts(self.encoder.model, bound // 4)
 
     def tokens_of(self, piece: bytes) -> int:
         """The tokens of one piece: cut here into parts, which many pieces share, where the cuts are known, else by the whole tokenizer."""
@@ -138,7 +138,7 @@ def frequent_pieces(df: DataFrame, text: str, sample_docs: int, table_size: int)
     return [bytes(r.piece) for r in best.collect()]
 
 
-def count_tokens(df: DataFrame, path: str, text: str = "text", sample_docs: int = 5_000, table_size: int = 20_000, cache_size: int = 900_000) -> DataFrame:
+def count_tokens(df: DataFrame, path: str, text: str = "text", sample_docs: int = 5_000, table_size: int = 20_000, cache_size: int = 600_000) -> DataFrame:
     """df with n_tokens: the tokens of each whole text, special strings inside handled as the tokenizer does by default.
 
     A missing or empty text has 0; a column n_tokens of df is replaced. The broadcast table has at most table_size entries (a piece of at most 64 bytes and
