@@ -146,6 +146,18 @@ def diverse_components(b):
     return rounded(e.scan(b.groups, "component_id", "source").filter("mode_frequency < 0.99"))
 
 
+@query("component_scan", "select bioproject as component_id, count(*) as size, count(distinct center) as n_center, count(distinct organism) as n_organism, min(release_year) as first_release_year, max(release_year) as last_release_year, max(release_year) - min(release_year) as span, count(distinct center) > 1 as multi_center, count(distinct organism) > 1 as multi_organism, coalesce(max(release_year) - min(release_year) >= 5, false) as spread_in_time from meta group by 1", "meta")
+def component_scan(b):
+    """Groups over several centres or kinds, or many years."""
+    return e.component_scan(b.meta.withColumnRenamed("bioproject", "component_id"), "component_id", ["center", "organism"], "release_year")
+
+
+@query("temporal_outliers", "with m as (select bioproject as component_id, median(release_year) as median from meta group by 1) select component_id, acc, release_year, median, abs(release_year - median) as off from meta join m on m.component_id = bioproject where abs(release_year - median) >= 2", "meta")
+def temporal_outliers(b):
+    """Rows far from their group's median year."""
+    return e.temporal_outliers(b.meta.withColumnRenamed("bioproject", "component_id"), "component_id", "acc", "release_year", 2)
+
+
 @query("modal_outliers", "with " + MODE.format(f="source") + " select component_id, sample_id, 1::bigint as n_differences, 'source: ' || source || ' vs ' || value as differences from groups join o using (component_id) where source <> value", "groups")
 def modal_outliers(b):
     """T17."""
