@@ -31,6 +31,20 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+_HELD: dict = {}
+
+
+def held(owner: str, key: object, make: Callable[[], object]) -> object:
+    """The one large cache of this worker process, made anew where another operator, or key, had it before.
+
+    Workers serve many stages one after the other; so their memory is that of the largest cache, not of all.
+    """
+    if _HELD.get("key") != (owner, key):
+        _HELD.clear()
+        _HELD.update(value=make(), key=(owner, key))
+    return _HELD["value"]
+
+
 def annotate(
     df: DataFrame,
     fields: Sequence[T.StructField],
@@ -52,6 +66,8 @@ def annotate(
         for batch in batches:
             made = [pa.array(x, type=t) if not isinstance(x, pa.Array) else x for x, t in zip(work(batch), types)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=schema.names)
+            del batch, made
+        pa.default_memory_pool().release_unused()
 
     return base.mapInArrow(run, schema)
 

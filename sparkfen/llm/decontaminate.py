@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkfen.llm.common import annotate
+from sparkfen.llm.common import annotate, held
 
 #: Bytes between words become blanks, capitals small letters; bytes of non-ASCII characters stay.
 TABLE = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
@@ -169,7 +169,7 @@ def find_items(df: DataFrame, items: DataFrame, window: int = 10, text: str = "t
 
     def start():
         labels, texts, width = shared.value
-        automaton = opened(tag, texts, width)
+        automaton = held("items", tag, lambda: ItemAutomaton(texts, width))
 
         def work(batch: pa.RecordBatch) -> list:
             out: list[list] = [[] for _ in fields]
@@ -190,17 +190,6 @@ def find_items(df: DataFrame, items: DataFrame, window: int = 10, text: str = "t
     return annotate(df.withColumn("__text", F.col(f"`{text}`")), fields, start).drop("__text")
 
 
-_BUILT: dict[str, ItemAutomaton] = {}
-
-
-def opened(key: str, texts: list[bytes], window: int) -> ItemAutomaton:
-    """The automaton of a broadcast, built once in each worker."""
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = ItemAutomaton(texts, window)
-    return _BUILT[key]
-
-
 def without(text: str, hit: np.ndarray) -> str:
     """The text with every stretch of hit words cut, one blank in its place."""
     out, done, spans = [], 0, [m.span() for m in PLACED.finditer(text)]

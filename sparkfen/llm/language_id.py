@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkfen.llm.common import annotate
+from sparkfen.llm.common import annotate, held
 
 ORDERS = (4, 3, 2, 1)
 #: A word: a letter, then letters and marks.
@@ -136,7 +136,6 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
 
 
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-_OPEN: dict[str, Scorer] = {}
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", cache_size: int = 600_000) -> DataFrame:
@@ -150,10 +149,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", cache_size: int =
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def start():
-        if tag not in _OPEN:
-            _OPEN.clear()
-            _OPEN[tag] = Scorer(shared.value, cache_size)
-        scorer = _OPEN[tag]
+        scorer = held("languages", tag, lambda: Scorer(shared.value, cache_size))
 
         def work(batch: pa.RecordBatch) -> list:
             made = [scorer.predict(t.as_py()) for t in batch.column(batch.schema.get_field_index("__text"))]

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkfen.llm.common import annotate
+from sparkfen.llm.common import annotate, held
 from sparkfen.operators.graph import connected_components
 from sparkfen.session import cut
 
@@ -52,16 +52,14 @@ class _Hashes(dict):
         return h
 
 
-_HASHES = _Hashes()
-
-
 def shingles_of(data: bytes | None, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles of `size` words; fewer words are one shingle, no words none."""
+    hashes = held("words", None, _Hashes)
     words = data.lower().split() if data else []
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
     width = min(size, n)
     s = np.full(n - width + 1, width, np.uint64)
     for k in range(width):

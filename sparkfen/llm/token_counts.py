@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkfen.llm.common import annotate
+from sparkfen.llm.common import annotate, held
 
 #: A blank with the non-white characters after it, or white space split as the byte-level pattern splits it.
 PIECE = re.compile(rb" ?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+(?![^\x20\x09-\x0D])|[\x20\x09-\x0D]+")
@@ -113,9 +113,6 @@ class PieceCounts(dict):
         return sum(map(self.__getitem__, PIECE.findall(data)))
 
 
-_COUNTS: dict[tuple, PieceCounts] = {}
-
-
 def frequent_pieces(df: DataFrame, text: str, sample_docs: int, table_size: int) -> list[bytes]:
     """The most frequent pieces of about sample_docs documents, picked by place, so that copies are picked apart.
 
@@ -156,11 +153,7 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", sample_docs: int
     shared = df.sparkSession.sparkContext.broadcast(known)
 
     def start():
-        key = (path, tag, cache_size)
-        if key not in _COUNTS:
-            _COUNTS.clear()
-            _COUNTS[key] = PieceCounts(path, shared.value, cache_size)
-        counts = _COUNTS[key]
+        counts = held("pieces", (path, tag, cache_size), lambda: PieceCounts(path, shared.value, cache_size))
 
         def work(batch: pa.RecordBatch) -> list:
             column = batch.column(batch.schema.get_field_index("__text")).cast(pa.binary())

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from sparkfen.llm.common import arrow_type
+from sparkfen.llm.common import arrow_type, held
 from sparkfen.llm.token_counts import PLAIN, byte_chars, tokenizer
 from sparkfen.session import scratch_path
 
@@ -133,7 +133,7 @@ class PieceIds(dict):
 
 class ChunkIds(dict):
     """A chunk without white space -> its ids as bytes; what was not used lately is forgotten beyond `bound` chunks, and half as
-    many pieces (together about 150 MB at 500,000).
+    many pieces (together about 90 MB at 300,000).
 
     The tokenizer's own cuts lie at all white space, so a text's ids are those of its chunks in order. With the known
     steps, chunks of plain characters are cut here into pieces, which many chunks share, and only merged by the
@@ -170,16 +170,6 @@ class ChunkIds(dict):
         return ids
 
 
-_CHUNKS: dict[tuple, ChunkIds] = {}
-
-
-def chunk_ids(path: str, bound: int) -> ChunkIds:
-    """The cache of a worker, made once."""
-    if (path, bound) not in _CHUNKS:
-        _CHUNKS[path, bound] = ChunkIds(path, bound)
-    return _CHUNKS[path, bound]
-
-
 LEAST = -(1 << 63)
 PLACED = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("h", T.LongType()), T.StructField("ids", T.BinaryType())])
 SEGMENT = T.StructType([
@@ -203,7 +193,7 @@ def key_ranges(rows: DataFrame, range_bytes: int) -> np.ndarray:
     return np.array(found, np.int64)
 
 
-def write_tokens(docs: DataFrame, path: str, out: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, segment: int = 1 << 21, cache_size: int = 500_000, range_bytes: int = 1 << 29) -> None:
+def write_tokens(docs: DataFrame, path: str, out: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, segment: int = 1 << 21, cache_size: int = 300_000, range_bytes: int = 1 << 29) -> None:
     """Writes the ids of each whole text, and end_id after it, to `out` in ascending key.
 
     A missing or empty text has only end_id. Rows without a key come first and read back without one. Texts are encoded
@@ -219,7 +209,7 @@ def write_tokens(docs: DataFrame, path: str, out: str, key: str = "doc_id", text
     width = "<u2" if tokenizer(path).get_vocab_size() < 1 << 16 and end_id < 1 << 16 else "<u4"
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, tail, ends = chunk_ids(path, cache_size), np.array([end_id], "<u4").tobytes(), shared.value
+        ids, tail, ends = held("chunks", (path, cache_size), lambda: ChunkIds(path, cache_size)), np.array([end_id], "<u4").tobytes(), shared.value
         for batch in batches:
             keys = batch.column(0).fill_null(LEAST).to_numpy()
             low, high = np.searchsorted(ends, keys, "left"), np.searchsorted(ends, keys, "right")
@@ -231,6 +221,8 @@ def write_tokens(docs: DataFrame, path: str, out: str, key: str = "doc_id", text
                 body = b"".join(map(ids.__getitem__, data.split())) + tail if data else tail
                 made.append(np.frombuffer(body, "<u4").astype(width).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=PLACED.names)
+            del batch, made
+        pa.default_memory_pool().release_unused()
 
     hashed = rows.select("key", F.xxhash64("text").alias("h"), "text").select("key", "h", F.xxhash64("h", F.monotonically_increasing_id()).alias("u"), "text")
     placed = hashed.mapInArrow(spread, PLACED).repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "key", "h")
