@@ -46,7 +46,7 @@ class Bound:
     @property
     def meta(self) -> DataFrame:
         """(acc, platform, organism, center, bioproject, mbases, release_year)."""
-        o = self.t("orders").join(self.t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(self.t("nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+        o = self.t("orders").join(self.t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(self.t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         return o.select(
             F.col("o_orderkey").alias("acc"), F.col("o_orderpriority").alias("platform"), F.col("c_mktsegment").alias("organism"), F.col("n_name").alias("center"),
             F.col("o_custkey").alias("bioproject"), (F.col("o_totalprice") / 1000).alias("mbases"), F.year("o_orderdate").cast("long").alias("release_year"),

@@ -90,7 +90,7 @@ def attributes_map(b):
 @query("left_chain", "select o_orderkey, c_name, n_name, r_name as region_loc from orders left join customer on o_custkey = c_custkey left join nation on c_nationkey = n_nationkey left join region on n_regionkey = r_regionkey")
 def left_chain(b):
     """J08, J09, S02."""
-    d = b.t("orders").join(b.t("customer"), F.col("o_custkey") == F.col("c_custkey"), "left").join(F.broadcast(b.t("nation")), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(F.broadcast(b.t("region")), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    d = b.t("orders").join(b.t("customer"), F.col("o_custkey") == F.col("c_custkey"), "left").join(b.t("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(b.t("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
     return d.select("o_orderkey", "c_name", "n_name", F.col("r_name").alias("region_loc"))
 
 

@@ -112,13 +112,13 @@ def murmur3_fmh(b):
     return sk.frac_min_hash(sk.scan_kmers(_seqs(b), 11), 0.01)
 
 
-WRAP = f"{2**64}::uhugeint"
+LOW = f"{2**64 - 1}::uhugeint"
 #: DuckDB's uhugeint holds the products before they wrap around at 64 bits.
 MINHASH = (
     f"with {KM}, d as (select distinct sample_id, hash::uhugeint as h from kh), p(idx, a, c) as (values "
     + ", ".join(f"({i}, {int(a)}::uhugeint, {int(c)}::uhugeint)" for i, (a, c) in enumerate(zip(*hashing.permutations(16))))
-    + f"), s0 as (select sample_id, idx, ((h * a + c) % {WRAP})::ubigint as x from d, p), "
-    + ", ".join(f"s{i + 1} as (select sample_id, idx, (xor(x, x >> {shift})::uhugeint * {int(m)}::uhugeint % {WRAP})::ubigint as x from s{i})" for i, (shift, m) in enumerate(((30, hashing.S1), (27, hashing.S2))))
+    + f"), s0 as (select sample_id, idx, ((h * a + c) & {LOW})::ubigint as x from d, p), "
+    + ", ".join(f"s{i + 1} as (select sample_id, idx, (xor(x, x >> {shift})::uhugeint * {int(m)}::uhugeint & {LOW})::ubigint as x from s{i})" for i, (shift, m) in enumerate(((30, hashing.S1), (27, hashing.S2))))
     + ", m as (select sample_id, idx, min(xor(x, x >> 31)) as v from s2 group by 1, 2)"
 )
 

@@ -76,7 +76,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 #: Seconds between two collections that release() asks for, and the time of the last.
-RELEASE_EVERY = 15.0
+RELEASE_EVERY = 4.0
 _RELEASED = [0.0]
 
 
