@@ -132,8 +132,8 @@ class PieceIds(dict):
 
 
 class ChunkIds(dict):
-    """A chunk without white space -> its ids as bytes; what was not used lately is forgotten beyond `bound` chunks, and half as
-    many pieces (together about 90 MB at 300,000).
+    """A chunk without white space -> its ids as bytes; what was not used lately is forgotten beyond `bound` chunks, and two
+    thirds as many pieces (together about 200 MB at 600,000).
 
     The tokenizer's own cuts lie at all white space, so a text's ids are those of its chunks in order. With the known
     steps, chunks of plain characters are cut here into pieces, which many chunks share, and only merged by the
@@ -145,7 +145,7 @@ class ChunkIds(dict):
         steps = json.loads(self.encoder.to_str())
         self.plain = all(steps.get(k) == v for k, v in KNOWN_STEPS.items()) and steps["model"]["type"] == "BPE" and not steps["model"].get("dropout")
         self.special = re.compile(b"|".join(re.escape(t["content"].encode()[:2]) for t in steps["added_tokens"]) or b"(?!)")
-        self.pieces = PieceIds(self.encoder.model, bound // 4)
+        self.pieces = PieceIds(self.encoder.model, bound // 3)
 
     def ids_of(self, chunk: bytes) -> bytes:
         """The ids of one chunk."""
@@ -193,7 +193,7 @@ def key_ranges(rows: DataFrame, range_bytes: int) -> np.ndarray:
     return np.array(found, np.int64)
 
 
-def write_tokens(docs: DataFrame, path: str, out: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, segment: int = 1 << 21, cache_size: int = 300_000, range_bytes: int = 1 << 29) -> None:
+def write_tokens(docs: DataFrame, path: str, out: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, segment: int = 1 << 21, cache_size: int = 600_000, range_bytes: int = 1 << 29) -> None:
     """Writes the ids of each whole text, and end_id after it, to `out` in ascending key.
 
     A missing or empty text has only end_id. Rows without a key come first and read back without one. Texts are encoded
