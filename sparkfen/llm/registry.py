@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkfen.llm import decontaminate, language_id, licenses, mixing, near_dup, pii, quality, token_counts, token_store, url_filter
+from sparkfen.llm import conversations, decontaminate, language_id, lexical, licenses, mixing, near_dup, packing, pii, quality, token_counts, token_store, url_filter
 from sparkfen.session import spread, table
 
 
@@ -76,9 +76,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.digest(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in training sequences."""
+    return packing.digest(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every damaged conversation."""
+    return conversations.digest(table(spark, sf_dir, "conversations"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents for each benchmark item."""
+    return lexical.rank_documents(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries by name."""
-    made = (op1_quality_rules, op2_url_filter, op3_pii, op4_mixing, op5_language_id, op6_license_scan, op7_token_store, op8_near_dup, op9_decontamination, op10_token_counts)
+    made = (op1_quality_rules, op2_url_filter, op3_pii, op4_mixing, op5_language_id, op6_license_scan, op7_token_store, op8_near_dup, op9_decontamination, op10_token_counts, op11_packing, op12_conversation_repair, op13_lexical_search)
     return {f.__name__: f for f in made}
 
 
@@ -147,6 +162,18 @@ select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
 from d left join h using (doc_id) left join q using (doc_id)
 """
 
+OP13_SQL = r"""
+with d as (select row_number() over () as k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') as w from documents),
+g as (select count(*)::bigint as n_all, sum(len(w))::bigint as l_all from d where len(w) > 0),
+i as (select row_number() over () as q, item_id, text from (select distinct item_id, text from benchmark where text is not null)),
+t as (select distinct q, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) as term from i),
+p as (select k, doc_id, n, term, count(*)::bigint as tf from (select k, doc_id, len(w)::bigint as n, unnest(w) as term from d) where term in (select term from t) group by all),
+f as (select term, floor(1000 * ln((2 * n_all + 2)::double / (2 * df + 1)::double))::bigint as w from (select term, count(*)::bigint as df from p group by term), g),
+s as (select q, k, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_all) // l_all))))::bigint as score from t join p using (term) join f using (term), g group by all),
+r as (select q, doc_id, score, row_number() over (partition by q order by score desc, doc_id nulls first)::int as rank from s where score > 0)
+select item_id, rank, doc_id, score from r join i using (q) where rank <= 50
+"""
+
 
 def _op6_sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
@@ -161,4 +188,4 @@ def _op6_sql() -> str:
 
 def oracle_sql() -> dict[str, str]:
     """The SQL of those that have it."""
-    return {"op1_quality_rules": OP1_SQL, "op2_url_filter": OP2_SQL, "op6_license_scan": _op6_sql(), "op8_near_dup": OP8_SQL, "op9_decontamination": OP9_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op2_url_filter": OP2_SQL, "op6_license_scan": _op6_sql(), "op8_near_dup": OP8_SQL, "op9_decontamination": OP9_SQL, "op13_lexical_search": OP13_SQL}
