@@ -250,7 +250,7 @@ def test_experiment(spark):
     exact = lambda sets: sketches.by_pair(similarity.similar_classes(sets, similarity.classes(sets), 0.01))
     sizes, seeds = [(50, 25, 25), (80, 0, 20)], range(8)
     got = {r.n: r for r in sketches.experiment(spark, sizes, seeds, exact).collect()}
-    assert (got[50].mean, got[50].mse, got[80].mean, got[80].n_seeds) == (0.5, 0.0, 0.8, 8)
+    assert (got[50].mean, got[50].mse, got[80].mean, got[80].n_seeds) == (pytest.approx(0.5), pytest.approx(0.0), pytest.approx(0.8), 8)
 
     def minimal(sets):
         m = sketches.min_hash(sets, 64)
