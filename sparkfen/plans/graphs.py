@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sparkfen.operators import clusters, enrichment as e, measures as m, similarity as s
+from sparkfen.operators import clusters, enrichment as e, linkage, measures as m, similarity as s
 from sparkfen.operators.graph import connected_components, symmetric
 from sparkfen.plans.catalog import query
 from sparkfen.plans.timeline import rounded
@@ -95,9 +95,14 @@ def modularity(b):
 
 @query("louvain")
 def louvain(b):
-    """G05 on each component: edges between classes of equal sets, and of each class's members with its smallest."""
-    pairs = cut(_pairs(b))
-    return clusters.louvain(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("jaccard").alias("w")), connected_components(pairs, "a", "b"))
+    """G05 on each component: weighted edges between classes of equal sets, with loops for the pairs inside; a set has its class's
+    community, which is named by the smallest set."""
+    pairs, members = _sets(b)
+    edges = cut(clusters.weighted(pairs, members).select("src", "dst", (F.col("w") * F.col("n")).alias("w")))
+    linked = connected_components(pairs, "a", "b")
+    alone = edges.filter("src = dst").select(F.col("src").alias("node")).join(linked, "node", "left_anti").select("node", F.col("node").alias("component"))
+    found = clusters.louvain(edges, cut(linked.union(alone)))
+    return members.join(found.withColumnRenamed("node", "rep"), "rep").select(F.col("sample_id").alias("node"), "community")
 
 
 @query("upgma")
@@ -106,6 +111,12 @@ def upgma(b):
     return clusters.average_linkage(b.t("embeddings"), "label", [0.05, 0.2, 0.5, 0.9])
 
 
+@query("leaf_order")
+def leaf_order(b):
+    """The vectors of each label in the optimal order of their dendrogram's leaves."""
+    return linkage.leaf_orders(b.t("embeddings"), "label")
+
+
 @query("matrix_values", CLASSES + ", t as (select count(*) as n from cl), v as (select coalesce(sum(x.m * y.m), 0)::bigint as others from j join cs x on x.rep = a join cs y on y.rep = b where abs(jaccard - 1) >= 1e-10), o as (select coalesce(sum(m * (m - 1) // 2), 0)::bigint as ones from cs) select n * (n - 1) // 2 - ones - others as zeros, ones, others from v, t, o", "shingles")
 def matrix_values(b):
     """Pairs below the threshold count as zeros; counted from classes."""

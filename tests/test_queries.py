@@ -15,7 +15,7 @@ def test_against_sql(spark, name):
 
 
 #: Those without SQL, which tests/test_values.py holds against plain computations.
-VALUES = {"category_statistics", "fisher_enrichment", "kendall_distance_mic", "louvain", "murmur3_fmh", "tests_with_p", "upgma"}
+VALUES = {"category_statistics", "fisher_enrichment", "kendall_distance_mic", "leaf_order", "louvain", "murmur3_fmh", "tests_with_p", "upgma"}
 
 
 def test_every_query_has_a_counterpart():

@@ -126,9 +126,6 @@ def test_upgma(spark):
             mine = got[(got["label"] == label) & (got["cut"] == cut)]
             want = {frozenset(ids[list(p)].tolist()) for p in plain_linkage(1 - x @ x.T, cut)}
             assert {frozenset(p["node"].tolist()) for _, p in mine.groupby("cluster")} == want
-    with pytest.raises(ValueError, match="bound"):
-        clusters.average_linkage(Bound(spark, DIR).t("embeddings"), "label", [0.5], most=2)
-
 
 def test_louvain(spark):
     """Two cliques with one edge between them, and a far pair: three communities in any order of the edges; and the query's lie in components."""
@@ -138,8 +135,6 @@ def test_louvain(spark):
     members = spark.createDataFrame([(n, 20 if n > 15 else 0) for n in {*range(5), *range(10, 15), 20, 21}], "node long, component long")
     got = {r.node: r.community for r in clusters.louvain(df, members).collect()}
     assert got == {n: 20 if n > 15 else 10 if n > 5 else 0 for n in got} and len(got) == 12
-    with pytest.raises(ValueError, match="bound"):
-        clusters.louvain(df, members, most=5)
     component = {r.node: r.component for r in rows(spark, "components")}
     found = rows(spark, "louvain")
     assert {r.node for r in found} == set(component) and all(component[r.community] == component[r.node] for r in found)
