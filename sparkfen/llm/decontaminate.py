@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +33,12 @@ class Matches:
     """What one document holds: hit (a flag for each word), items (indices) and longest (words of the longest match)."""
 
     def __init__(self, n: int) -> None:
-        self.hit, self.items, self.longest = np.zeros(n, bool), set(), 0
+        self.hit, self.items, self.longest, self.seen = np.zeros(n, bool), set(), 0, set()
 
 
 class ItemAutomaton:
-    """texts: the items; equal items may repeat. Its memory is proportional to the items' words."""
+    """texts: the items; equal items may repeat. Time to build and memory are proportional to the items' words (but for a sort of the
+    states by length), time to match to the document's, also where items repeat one word many times."""
 
     def __init__(self, texts: list[bytes | None], window: int) -> None:
         self.window, self.vocab = window, {}
@@ -51,14 +53,25 @@ class ItemAutomaton:
         self.pairs = np.array(sorted(pairs), np.int64)
         self.found: dict[int, set[int]] = {}  # items by the state that holds their windows of full length
         self.short: dict[int, list[tuple[int, int]]] = {}  # (words, item) of shorter items, by their state
+        for k, ids in enumerate(items):
+            if 0 < len(ids) < window:
+                state = 0
+                for w in ids:
+                    state = self.next[state][w]
+                self.short.setdefault(state, []).append((len(ids), k))
+        #: For each state, the one among its suffixes that holds those of `window` words (-1: none), and the next with a short item (0: none).
+        self.whole, self.brief = array("q", [-1]) * len(self.link), array("q", [0]) * len(self.link)
+        for state in sorted(range(1, len(self.link)), key=self.length.__getitem__):
+            up = self.link[state]
+            if self.length[state] >= window:
+                self.whole[state] = state if self.length[up] < window else self.whole[up]
+            self.brief[state] = state if state in self.short else self.brief[up]
         for k, ids in enumerate(items):
             state = 0
             for i, w in enumerate(ids):
                 state = self.next[state][w]
                 if i + 1 >= window:
-                    self.found.setdefault(self._at(state, window), set()).add(k)
-            if 0 < len(ids) < window:
-                self.short.setdefault(self._at(state, len(ids)), []).append((len(ids), k))
+                    self.found.setdefault(self.whole[state], set()).add(k)
 
     def _grow(self, last: int, w: int) -> int:
         nxt, link, length = self.next, self.link, self.length
@@ -90,12 +103,6 @@ class ItemAutomaton:
         self.length.append(length)
         return len(self.next) - 1
 
-    def _at(self, state: int, n: int) -> int:
-        """The state among its suffixes that holds the suffix of n words."""
-        while self.link[state] >= 0 and self.length[self.link[state]] >= n:
-            state = self.link[state]
-        return state
-
     def match(self, words: list[bytes]) -> Matches:
         """Streams a document's words."""
         out = Matches(len(words))
@@ -121,7 +128,7 @@ class ItemAutomaton:
         return out
 
     def _stream(self, ids: np.ndarray, start: int, end: int, out: Matches) -> None:
-        nxt, link, length, window = self.next, self.link, self.length, self.window
+        nxt, link, length, window, whole, brief = self.next, self.link, self.length, self.window, self.whole, self.brief
         state = size = 0
         for i, w in enumerate(ids[start:end].tolist(), start):
             while state and w not in nxt[state]:
@@ -134,15 +141,19 @@ class ItemAutomaton:
             out.longest = max(out.longest, size)
             if size >= window:
                 out.hit[i + 1 - window : i + 1] = True
-                out.items |= self.found.get(self._at(state, window), set())
-            if self.short:
-                s = state
-                while s > 0:
-                    for n, item in self.short.get(s, ()):
-                        if n <= size:
-                            out.hit[i + 1 - n : i + 1] = True
-                            out.items.add(item)
-                    s = link[s]
+                at = whole[state]
+                if at not in out.seen:
+                    out.seen.add(at)
+                    out.items |= self.found.get(at, set())
+            s = brief[state]
+            while s:  # at most one state for each number of words below `window`
+                n = self.short[s][0][0]
+                if n <= size:
+                    out.hit[i + 1 - n : i + 1] = True
+                    if s not in out.seen:
+                        out.seen.add(s)
+                        out.items.update(item for _, item in self.short[s])
+                s = brief[link[s]]
 
 
 FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("longest_match", T.LongType())]
