@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from sparkfen.operators import membership as m
 from sparkfen.plans.catalog import query
+from sparkfen.session import scratch_path
+from sparkfen.sources import readers, sinks, sorted_files
 
 
 @query("dmi", "select accession, total_hashes, unmapped_hashes, mapped_hashes, round(dmi, 9) as dmi from dmi", "dmi")
@@ -47,6 +49,25 @@ def dmi_one_sample(b):
     return m.unmapped_index(one, b.ref)
 
 
+@query("dmi_by_lookup", "select accession, total_hashes, unmapped_hashes, mapped_hashes, round(dmi, 9) as dmi from dmi", "dmi")
+def dmi_by_lookup(b):
+    """All samples against the reference in a sorted binary file, which is searched and not shuffled."""
+    path = scratch_path(b.spark, "reference")
+    sinks.sorted_hashes(b.ref, path)
+    return m.unmapped_index(b.sig, sorted_files.present(b.sig, path, "min_hash")).withColumn("dmi", F.round("dmi", 9))
+
+
+@query("reference_merge", "select distinct hash from lines", "lines")
+def reference_merge(b):
+    """Sorted runs of the sets kept apart by return flag, merged into one without a sort."""
+    runs = [scratch_path(b.spark, f"run-{f}") for f in ("A", "N", "R")]
+    for f, path in zip(("A", "N", "R"), runs):
+        sinks.sorted_hashes(b.lines.filter(F.col("l_returnflag") == f), path)
+    out = scratch_path(b.spark, "merged")
+    sorted_files.merge_runs(b.spark, runs, out)
+    return readers.hash_file(b.spark, out)
+
+
 @query("reference_union", "select distinct hash from lines", "lines")
 def reference_union(b):
     """The union of sets kept apart by return flag."""
