@@ -12,6 +12,7 @@ import re
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,16 @@ def words_in(text: str | None) -> list[str]:
     return (WORDS if OTHERS.search(low) else SIMPLE).findall(low)
 
 
-def grams(word: str, n: int) -> list[str]:
+def grams(word: str, n: int) -> Iterator[str]:
     """The n-grams of a word between borders; of one letter, without borders."""
     padded = word if n == 1 else f"^{word}$"
-    return [padded[i : i + n] for i in range(len(padded) - n + 1)]
+    return (padded[i : i + n] for i in range(len(padded) - n + 1))
+
+
+#: Words that the share of a feature in all languages together counts for in each language.
+POOLED = 20.0
+#: Longer words are scored each time anew rather than kept.
+LONGEST = 64
 
 
 class Model:
@@ -50,7 +57,8 @@ class Model:
         self.langs, self.tables, self.logs = langs, {}, {}
         for order, (features, by) in counts.items():
             self.tables[order] = {f: i for i, f in enumerate(features)}
-            self.logs[order] = np.log((by + 0.5) / (by.sum(axis=0) + len(features) + 1)).astype(np.float32)
+            # A language with hardly any text has hardly more than the share of all languages, which favours none.
+            self.logs[order] = np.log((by + POOLED * by.sum(axis=1, keepdims=True) / by.sum()) / (by.sum(axis=0) + POOLED)).astype(np.float32)
 
     def score(self, word: str) -> np.ndarray:
         """The log score of a word in each language, relative to the best."""
@@ -59,19 +67,20 @@ class Model:
         if found is None:
             for n in ORDERS:
                 table = self.tables.get(n, {})
-                known = [i for g in grams(word, n) if (i := table.get(g)) is not None]
-                if known:
-                    found = self.logs[n][known].sum(axis=0, dtype=float)
+                for part in batched((i for g in grams(word, n) if (i := table.get(g)) is not None), 4096):
+                    found = self.logs[n][list(part)].sum(axis=0, dtype=float) + (0.0 if found is None else found)
+                if found is not None:
                     break
         return np.zeros(len(self.langs)) if found is None else found - found.max()
 
 
 class Scorer(dict):
-    """word -> row of a growing matrix of scores; emptied when it holds `bound` words."""
+    """word of LONGEST letters at most -> row of a growing matrix of scores; emptied when it holds `bound` words, or as many as make a
+    matrix of 60 MB where there are more languages than 12."""
 
     def __init__(self, model: Model, bound: int) -> None:
-        self.model, self.bound = model, bound
-        self.rows = np.zeros((bound + 1, len(model.langs)))
+        self.model, self.bound = model, max(4096, min(bound, 7_500_000 // max(1, len(model.langs))))
+        self.rows = np.zeros((self.bound + 1, len(model.langs)))
 
     def __missing__(self, word: str) -> int:
         k = len(self)
@@ -86,7 +95,12 @@ class Scorer(dict):
             return "und", 0.0
         total = np.zeros(len(self.model.langs))
         for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
+            part = []
+            for w in words[i : i + 4096]:
+                if len(w) <= LONGEST:
+                    part.append(w)
+                else:
+                    total += self.model.score(w)
             if len(self) + len(part) > self.bound:
                 self.clear()
             total += self.rows[np.fromiter(map(self.__getitem__, part), np.int64, len(part))].sum(axis=0)
@@ -94,20 +108,23 @@ class Scorer(dict):
         return self.model.langs[best], float(1 / np.exp((total - total[best]) / math.sqrt(len(words))).sum())
 
 
-def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_lang: int = 500) -> Model:
+def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_lang: int = 500, bytes_per_lang: int = 8_000_000, max_langs: int = 200) -> Model:
     """A model from about docs_per_lang documents of each language (by a hash of key and text; all where there are fewer).
 
-    docs_per_lang bounds what goes to the driver and, in the model, to each worker: all words and n-grams of these
-    documents. Rows without text or lang are left out; repeated rows are picked together or not at all. No usable rows
+    The sample is bounded in every way, as all its words and n-grams go to the driver and, in the model, to each worker:
+    about bytes_per_lang of text a language, of documents of an eighth of that at most, and the max_langs most frequent
+    languages (of equally frequent ones the first by code point). Rows without text or lang are left out; repeated rows are picked together or not at all. No usable rows
     give a model that knows no language. The table is read twice: the languages' counts, then the sample.
     """
     rows = df.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{key}`").alias("key")).filter("text is not null and lang is not null")
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = rows.filter(F.octet_length("text") <= bytes_per_lang // 8)
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    counts = {r.lang: max(r.n, 1 + docs_per_lang * r.b // bytes_per_lang) for r in found}
     if not counts:
         return Model([], {})
     langs = sorted(counts)
     share = F.element_at(F.create_map(*[x for name in langs for x in (F.lit(name), F.lit(int(min(1.0, docs_per_lang / counts[name]) * (1 << 30))))]), F.col("lang"))
-    picked = rows.filter(F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30)) < share).select("text", "lang")
+    picked = rows.filter(F.col("lang").isin(langs) & (F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30)) < share)).select("text", "lang")
     schema = T.StructType([T.StructField("ord", T.IntegerType()), T.StructField("feature", T.StringType()), T.StructField("k", T.IntegerType()), T.StructField("n", T.LongType())])
     place = {name: k for k, name in enumerate(langs)}
 
