@@ -43,10 +43,13 @@ REAL_SENTENCES = {
     "mit-grant-real": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
     "mit-asis-real": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "isc-asis": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    "isc-grant-and": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "bsd-advertising": "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
+    "gpl-2.0-only-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "isc-asis": "THE SOFTWARE IS PROVIDED \"AS IS\" AND {12} DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "bsd-names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-names": "Neither the name of {12} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "gpl-3.0-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
     "gpl-2.0-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
     "gpl-3.0-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
@@ -105,8 +108,11 @@ REAL_RULES = (
     LicenseRule("Apache-2.0", ("apache-2.0-file", "apache-2.0-asis-real")),
     LicenseRule("MIT", ("mit-grant-real", "mit-asis-real")),
     LicenseRule("ISC", ("isc-grant", "isc-asis")),
-    LicenseRule("BSD-3-Clause", ("bsd-redistribute", "bsd-source", "bsd-binary", "bsd-names")),
-    LicenseRule("BSD-2-Clause", ("bsd-redistribute", "bsd-source", "bsd-binary"), unless=("bsd-names",)),
+    LicenseRule("ISC", ("isc-grant-and", "isc-asis")),
+    LicenseRule("BSD-4-Clause", ("bsd-redistribute", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-names")),
+    LicenseRule("BSD-3-Clause", ("bsd-redistribute", "bsd-source", "bsd-binary", "bsd-names"), unless=("bsd-advertising",)),
+    LicenseRule("BSD-2-Clause", ("bsd-redistribute", "bsd-source", "bsd-binary"), unless=("bsd-names", "bsd-advertising")),
+    LicenseRule("GPL-2.0-only", ("gpl-2.0-only-free",)),
     LicenseRule("GPL-3.0", ("gpl-3.0-title",)),
     LicenseRule("GPL-3.0", ("gpl-3.0-free", "gpl-warranty-real")),
     LicenseRule("GPL-2.0", ("gpl-2.0-title",)),
@@ -125,7 +131,7 @@ REAL_RULES = (
     LicenseRule("Unlicense", ("unlicense",)),
     LicenseRule("CC0-1.0", ("cc0-1.0-title",)),
     *(LicenseRule(f"{k}-4.0", (f"{k.lower()}-4.0-{n}",)) for k in COMMONS for n in ("real", "the", "title")),
-    *(LicenseRule(t.removesuffix("-only").removesuffix("-or-later"), (f"tag-{t.lower()}",)) for t in TAGGED),
+    *(LicenseRule(t, (f"tag-{t.lower()}",)) for t in TAGGED),
 )
 
 
@@ -142,10 +148,19 @@ def _marked(text: Column) -> Column:
     return F.concat(F.lit("| "), F.trim(t), F.lit(" |"))
 
 
+#: In a known sentence {n} is a gap of one to n words, a name for instance; ends and line breaks may lie in it.
+GAP = re.compile(r"\{(\d+)\}")
+
+
 def pattern(sentence: str, line: str = " ~", end: str = " [|~]") -> str:
-    """A regular expression of a known sentence in marked text: line breaks may lie between its words, ends only where it has them."""
-    parts = [plain(p).split() for p in re.split(r"(?<=[.!?:;])\s", sentence)]
-    return f"(?:{end})* ".join(f"(?:{line})? ".join(p) for p in parts if p)
+    """A regular expression of a known sentence in marked text: line breaks may lie between its words, ends only where it has them
+    and in its gaps."""
+    rest, gaps = GAP.split(sentence)[::2], GAP.findall(sentence)
+    made = [f"(?:{end})* ".join(f"(?:{line})? ".join(plain(p).split()) for p in re.split(r"(?<=[.!?:;])\s", part) if plain(p)) for part in rest]
+    out = made[0]
+    for n, part in zip(gaps, made[1:]):
+        out += f"(?:(?: [|~])* [a-z0-9]+){{1,{n}}}(?: [|~])* {part}"
+    return out
 
 
 def anchors(sentences: dict[str, str]) -> tuple[str, ...]:
@@ -179,7 +194,9 @@ def scan(df: DataFrame, sentences: dict[str, str] = SENTENCES | REAL_SENTENCES,
     words = "(?i)" + "|".join(anchors(sentences))
     longest = sorted(sentences.values(), key=len, reverse=True)
     hits = F.regexp_extract_all(_marked(whole), F.lit("(?<=[|~] )(?:" + "|".join(map(pattern, longest)) + ")(?= [|~])"), F.lit(0))
-    ids = F.transform(hits, lambda x: F.element_at(names, F.regexp_replace(x, "[ |~]+", " ")))
+    gapped = [(k, f"^(?:{pattern(v)})$") for k, v in sentences.items() if GAP.search(v)]
+    of_gaps = lambda x: F.coalesce(*[F.when(x.rlike(p), F.lit(k)) for k, p in gapped], F.lit(None).cast("string"))
+    ids = F.transform(hits, lambda x: F.coalesce(F.element_at(names, F.regexp_replace(x, "[ |~]+", " ")), of_gaps(x)))
     found = F.when(whole.rlike(words), ids).otherwise(F.array().cast("array<string>"))
     joined = F.concat(F.lit("\n"), F.array_join("license_sentences", "\n"), F.lit("\n"))
     quoted = lambda s: "\\Q" + s + "\\E"

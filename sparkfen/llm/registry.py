@@ -125,11 +125,11 @@ select l.page_id, host, path, f.rule, coalesce(f.verdict, 'allow') as verdict fr
 
 #: Marks of ends and line breaks are doubled, as each of two sentences in a row needs one of its own.
 OP6_SQL = r"""
-with known(id, s) as (values __KNOWN__),
+with known(id, s, gapped) as (values __KNOWN__),
 t as (select doc_id, '| ' || trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(lower(coalesce(text, '')), '|~', '  '), '[.!?:;]([\x20\x09-\x0D])', ' | \1', 'g'), '\n(?:[^a-z0-9|\n]*\n)+', ' | ', 'g'), '\n', ' ~ ', 'g'), '[^a-z0-9|~]+', ' ', 'g')) || ' |' as t from documents),
 x as (select doc_id, regexp_extract_all(regexp_replace(t, '([|~])', '\1 \1', 'g'), '[|~] (__HITS__) [|~]', 1) as x from t),
 s as (select doc_id, unnest(x) as hit, unnest(range(1, len(x) + 1)) as pos from x),
-m as (select doc_id, pos, id from s join known on regexp_replace(hit, '[ |~]+', ' ', 'g') = s),
+m as (select doc_id, pos, id from s join known on regexp_replace(hit, '[ |~]+', ' ', 'g') = s or gapped <> '' and regexp_full_match(regexp_replace(hit, '[ |~]+', ' ', 'g'), gapped)),
 g as (select doc_id, count(*)::bigint as n, string_agg(id, ',' order by pos) as ids, list(id order by pos) as l from m group by doc_id),
 r(k, license, fits, fails) as (values __RULES__),
 h as (select doc_id, license, min(k) as k from g join r on regexp_matches(chr(10) || array_to_string(l, chr(10)) || chr(10), fits) and not regexp_matches(chr(10) || array_to_string(l, chr(10)) || chr(10), fails) group by doc_id, license),
@@ -178,7 +178,7 @@ select item_id, rank, doc_id, score from r join i using (q) where rank <= 50
 def _op6_sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     every = licenses.SENTENCES | licenses.REAL_SENTENCES
-    known = ", ".join(f"({quote(k)}, {quote(licenses.plain(v))})" for k, v in every.items())
+    known = ", ".join(f"({quote(k)}, {quote(licenses.plain(v))}, {quote(licenses.pattern(v) if licenses.GAP.search(v) else '')})" for k, v in every.items())
     hits = "|".join(licenses.pattern(v, " ~ ~", " [|~] [|~]") for v in sorted(every.values(), key=len, reverse=True))
     row = lambda ids: r"\n" + r"\n(?:[^\n]*\n)*".join(s.replace(".", r"\.") for s in ids) + r"\n"
     fails = lambda ids: "|".join(row((i,)) for i in ids) or r"\n\n\n"
