@@ -12,9 +12,15 @@ import re
 from array import array
 from collections.abc import Iterator
 
-from sparkfen.llm import token_counts, token_store
+from sparkfen.llm import token_counts
 from sparkfen.llm.token_counts import OTHER_SPACE, byte_chars, tokenizer
 
+#: The steps before the merges for which TextIds knows a shorter way.
+WORD_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None,
+}
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
 PLAIN = re.compile("[\t-\r -~À-įı-ſ]*")
 #: Plain text cut as by steps that lower-case it and remove white space.
@@ -60,7 +66,7 @@ class TextIds:
         self.encoder, self.merge = tokenizer(path), None
         steps = json.loads(self.encoder.to_str())
         known = lambda fixed: all(steps.get(k) == v for k, v in fixed.items()) and steps["model"]["type"] == "BPE" and not steps["model"].get("dropout")
-        self.words = known(token_store.KNOWN_STEPS)
+        self.words = known(WORD_STEPS)
         if (self.words or known(token_counts.KNOWN_STEPS)) and (ranks := ranks_of(steps["model"])):
             import tiktoken
 

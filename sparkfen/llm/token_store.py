@@ -14,23 +14,20 @@ byte each), and, but for the last level, the bitmap (little-endian bits) and the
 
 from __future__ import annotations
 
-import json
-import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from sparkfen.llm.common import arrow_type, held
-from sparkfen.llm.token_counts import PLAIN, byte_chars, tokenizer
+from sparkfen.llm.text_ids import TextIds
+from sparkfen.llm.token_counts import tokenizer
 from sparkfen.session import scratch_path
 
 BITS, BLOCK = 8, 512
@@ -104,72 +101,6 @@ class Codes:
         return value
 
 
-#: The steps before the merges for which ChunkIds knows a shorter way, and their pattern.
-KNOWN_STEPS = {
-    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
-    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
-    "post_processor": None,
-}
-CUT = regex.compile(KNOWN_STEPS["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-
-
-class PieceIds(dict):
-    """A lower-cased piece of plain characters -> its ids as bytes, from the tokenizer's merges alone."""
-
-    def __init__(self, model, half: int) -> None:
-        self.merge, self.chars, self.half, self.old = model.tokenize, byte_chars(), half, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
-        if ids is None:
-            ids = array("I", [t.id for t in self.merge(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.chars))]).tobytes()
-        if len(piece) <= 64:
-            if len(self) >= self.half:
-                self.old = dict(self)
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
-class ChunkIds(dict):
-    """A chunk without white space -> its ids as bytes; what was not used lately is forgotten beyond `bound` chunks, and two
-    thirds as many pieces (together about 200 MB at 600,000).
-
-    The tokenizer's own cuts lie at all white space, so a text's ids are those of its chunks in order. With the known
-    steps, chunks of plain characters are cut here into pieces, which many chunks share, and only merged by the
-    tokenizer's model; all others go through the whole tokenizer.
-    """
-
-    def __init__(self, path: str, bound: int) -> None:
-        self.encoder, self.half, self.old = tokenizer(path), bound // 2, {}
-        steps = json.loads(self.encoder.to_str())
-        self.plain = all(steps.get(k) == v for k, v in KNOWN_STEPS.items()) and steps["model"]["type"] == "BPE" and not steps["model"].get("dropout")
-        self.special = re.compile(b"|".join(re.escape(t["content"].encode()[:2]) for t in steps["added_tokens"]) or b"(?!)")
-        self.pieces = PieceIds(self.encoder.model, bound // 3)
-
-    def ids_of(self, chunk: bytes) -> bytes:
-        """The ids of one chunk."""
-        if self.plain:
-            if chunk.isalpha():  # ASCII letters only
-                return self.pieces[chunk.lower().decode()]
-            text = chunk.decode()
-            if PLAIN.fullmatch(text) and not self.special.search(chunk):
-                text = text.lower()
-                return self.pieces[text] if text.isalpha() else b"".join(map(self.pieces.__getitem__, CUT.findall(text)))
-        return array("I", self.encoder.encode(chunk.decode(), add_special_tokens=False).ids).tobytes()
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        ids = self.old.get(chunk)
-        if ids is None:
-            ids = self.ids_of(chunk)
-        if len(chunk) <= 64:
-            if len(self) >= self.half:
-                self.old = dict(self)
-                self.clear()
-            self[chunk] = ids
-        return ids
-
-
 LEAST = -(1 << 63)
 PLACED = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("h", T.LongType()), T.StructField("ids", T.BinaryType())])
 SEGMENT = T.StructType([
@@ -193,7 +124,7 @@ def key_ranges(rows: DataFrame, range_bytes: int) -> np.ndarray:
     return np.array(found, np.int64)
 
 
-def write_tokens(docs: DataFrame, path: str, out: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, segment: int = 1 << 21, cache_size: int = 600_000, range_bytes: int = 1 << 29) -> None:
+def write_tokens(docs: DataFrame, path: str, out: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, segment: int = 1 << 21, range_bytes: int = 1 << 29) -> None:
     """Writes the ids of each whole text, and end_id after it, to `out` in ascending key.
 
     A missing or empty text has only end_id. Rows without a key come first and read back without one. Texts are encoded
@@ -209,7 +140,7 @@ def write_tokens(docs: DataFrame, path: str, out: str, key: str = "doc_id", text
     width = "<u2" if tokenizer(path).get_vocab_size() < 1 << 16 and end_id < 1 << 16 else "<u4"
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, tail, ends = held("chunks", (path, cache_size), lambda: ChunkIds(path, cache_size)), np.array([end_id], "<u4").tobytes(), shared.value
+        encoder, tail, ends = held("text ids", path, lambda: TextIds(path)), np.array([end_id], "<u4").tobytes(), shared.value
         for batch in batches:
             keys = batch.column(0).fill_null(LEAST).to_numpy()
             low, high = np.searchsorted(ends, keys, "left"), np.searchsorted(ends, keys, "right")
@@ -217,9 +148,7 @@ def write_tokens(docs: DataFrame, path: str, out: str, key: str = "doc_id", text
             shard = np.minimum(low + (share * (high - low + 1)).astype(np.int64), high).astype(np.int32)
             made = []
             for data in batch.column(3).cast(pa.binary()):
-                data = data.as_py()
-                body = b"".join(map(ids.__getitem__, data.split())) + tail if data else tail
-                made.append(np.frombuffer(body, "<u4").astype(width).tobytes())
+                made.append(np.frombuffer(encoder.encode(data.as_py()) + tail, "<u4").astype(width).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=PLACED.names)
             del batch, made
         pa.default_memory_pool().release_unused()

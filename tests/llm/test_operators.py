@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 import unicodedata
 import zlib
 
@@ -325,7 +326,8 @@ def test_scores_against_the_plain_rule(spark):
             known = set().union(*counts.values())
             mine = [f for f in features(word, n) if f in known]
             if mine:
-                s = [sum(math.log((counts[l][f] + 0.5) / (sum(counts[l].values()) + len(known) + 1)) for f in mine) for l in ("de", "en")]
+                every = sum(sum(c.values()) for c in counts.values())
+                s = [sum(math.log((counts[l][f] + 20 * sum(c[f] for c in counts.values()) / every) / (sum(counts[l].values()) + 20)) for f in mine) for l in ("de", "en")]
                 return [x - max(s) for x in s]
         return [0.0, 0.0]
 
@@ -388,14 +390,9 @@ SMALL = {}
 @given(st.lists(st.sampled_from([" ", "  ", "\n", "a", "É", "x²", "'s", "<|endoftext|>", "12", "!", " ", "😀", "Don't", "　", "é", "İ", "\x85", "."]), max_size=10).map("".join))
 @settings(max_examples=300, deadline=None)
 def test_tokenizers_agree(text):
-    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
-        path, data = registry.tokenizer_path(name), text.encode()
-        want = token_counts.tokenizer(path).encode(text, add_special_tokens=False).ids
-        if name.startswith("byte"):
-            assert SMALL.setdefault(name, token_counts.PieceCounts(path, {}, 4) if name not in SMALL else None).count(None if data.isascii() else text, data) == len(want)
-        else:
-            chunks = SMALL.setdefault(name, token_store.ChunkIds(path, 4) if name not in SMALL else None)
-            assert np.frombuffer(b"".join(chunks[c] for c in data.split()), "<u4").tolist() == want
+    path, data = registry.tokenizer_path("byte_bpe_50k.json"), text.encode()
+    want = token_counts.tokenizer(path).encode(text, add_special_tokens=False).ids
+    assert SMALL.setdefault(path, token_counts.PieceCounts(path, {}, 4) if path not in SMALL else None).count(None if data.isascii() else text, data) == len(want)
 
 
 def test_token_counts(docs, odd, empty):
@@ -480,3 +477,40 @@ def test_automaton_against_windows(items, doc, window):
                 hit[i : i + n] = [True] * n
                 found.add(k)
     assert got.hit.tolist() == hit and got.items == found
+
+
+@pytest.mark.parametrize("short", [False, True])
+def test_items_of_one_word_again_and_again(short):
+    """Building and matching take time in proportion to the words, also with short items beside."""
+    many = b"la " * 200_000
+    began = time.process_time()
+    automaton = decontaminate.ItemAutomaton([many, b"other words here"] + [b"la la la"] * short, 10)
+    got = automaton.match(decontaminate.words_of(many + b"x " + b"la " * 9 + b"y la la"))
+    assert time.process_time() - began < 20
+    assert got.items == ({0, 2} if short else {0}) and int(got.hit.sum()) == 200_000 + (9 if short else 0) and got.longest == 200_000
+
+
+def test_a_language_of_one_document(spark):
+    """A language with hardly any text does not take the rarer words of a large one, nor are its own lost."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    rows = [(i, " ".join(rng.choices(words, [1 / (k + 1) for k in range(3000)], k=60)), "big") for i in range(500)] + [(999, "wyx zyw xxz wwy zzx yyw xyz zwx", "tiny")]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    scorer = language_id.Scorer(model, 100)
+    seen = set(" ".join(r[1] for r in rows).split())
+    rare = [w for w in words[1500:] if w in seen]
+    got = collections.Counter(scorer.predict(" ".join(rng.sample(rare, 6)))[0] for _ in range(300))
+    assert got["big"] > 0.95 * 300 and scorer.predict("zyw xxz wwy")[0] == "tiny"
+
+
+def test_long_words_and_many_languages(spark):
+    """Words without blanks are not kept; the sample takes no giant document and no more languages than asked for."""
+    rows = [(i, f"wort{i} und noch eins", f"l{i % 30:02}") for i in range(90)] + [(100, "riese " * 2000, "l00")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df, bytes_per_lang=8000, max_langs=7)
+    assert model.langs == [f"l{k:02}" for k in range(7)] and "riese" not in model.tables[0]
+    scorer = language_id.Scorer(model, 10_000)
+    text = " ".join("ab" * 5000 + chr(97 + k) for k in range(20))
+    assert scorer.predict(text)[0] in model.langs and not scorer
+    whole = language_id.Model(model.langs, {}).score("x" * 100)
+    assert whole.tolist() == [0.0] * 7
