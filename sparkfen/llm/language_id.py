@@ -12,7 +12,6 @@ import re
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +37,10 @@ def words_in(text: str | None) -> list[str]:
     return (WORDS if OTHERS.search(low) else SIMPLE).findall(low)
 
 
-def grams(word: str, n: int) -> Iterator[str]:
-    """The n-grams of a word between borders; of one letter, without borders."""
+def grams(word: str, n: int, start: int = 0, most: int = 1 << 60) -> list[str]:
+    """The n-grams of a word between borders, `most` of them from the start-th; of one letter, without borders."""
     padded = word if n == 1 else f"^{word}$"
-    return (padded[i : i + n] for i in range(len(padded) - n + 1))
+    return [padded[i : i + n] for i in range(start, min(len(padded) - n + 1, start + most))]
 
 
 #: Words that the share of a feature in all languages together counts for in each language.
@@ -67,8 +66,10 @@ class Model:
         if found is None:
             for n in ORDERS:
                 table = self.tables.get(n, {})
-                for part in batched((i for g in grams(word, n) if (i := table.get(g)) is not None), 4096):
-                    found = self.logs[n][list(part)].sum(axis=0, dtype=float) + (0.0 if found is None else found)
+                for start in range(0, len(word) + 2, 4096):
+                    known = [i for g in grams(word, n, start, 4096) if (i := table.get(g)) is not None]
+                    if known:
+                        found = self.logs[n][known].sum(axis=0, dtype=float) + (0.0 if found is None else found)
                 if found is not None:
                     break
         return np.zeros(len(self.langs)) if found is None else found - found.max()
@@ -95,12 +96,10 @@ class Scorer(dict):
             return "und", 0.0
         total = np.zeros(len(self.model.langs))
         for i in range(0, len(words), 4096):
-            part = []
-            for w in words[i : i + 4096]:
-                if len(w) <= LONGEST:
-                    part.append(w)
-                else:
-                    total += self.model.score(w)
+            part = words[i : i + 4096]
+            if max(map(len, part)) > LONGEST:
+                total += sum(self.model.score(w) for w in part if len(w) > LONGEST)
+                part = [w for w in part if len(w) <= LONGEST]
             if len(self) + len(part) > self.bound:
                 self.clear()
             total += self.rows[np.fromiter(map(self.__getitem__, part), np.int64, len(part))].sum(axis=0)
