@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkfen.operators.ranks import joined, percentiles_of, value_counts
+from sparkfen.session import cut
+
 
 def richness(profiles: DataFrame, cov: int) -> DataFrame:
     """(sample_id, alpha_diversity) at a coverage: the larger of the distinct organisms and taxa."""
@@ -39,15 +42,20 @@ def robust_means(df: DataFrame, by: Sequence[str], x: str, p: float = 0.1) -> Da
     k = floor(p * n) values go at each end; sd, sem and ci95 are null below two values.
     """
     rows = df.filter(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("x"))
-    order = W.partitionBy(*by).orderBy("x")
-    rows = rows.withColumns({"i": F.row_number().over(order), "n": F.count("*").over(W.partitionBy(*by))}).withColumn("k", F.floor(F.col("n") * p))
-    lo, hi = F.max(F.when(F.col("i") == F.col("k") + 1, F.col("x"))), F.max(F.when(F.col("i") == F.col("n") - F.col("k"), F.col("x")))
-    inner = (F.col("i") > F.col("k")) & (F.col("i") <= F.col("n") - F.col("k"))
-    n = F.max("n")
-    a = rows.groupBy(*by).agg(
-        n.alias("n"), F.avg("x").alias("mean"), F.median("x").alias("median"), F.exp(F.avg(F.when(F.col("x") > 0, F.log("x")))).alias("geometric"), F.avg(F.when(inner, F.col("x"))).alias("trimmed"),
-        ((F.sum(F.when(inner, F.col("x"))) + F.max("k") * (lo + hi)) / n).alias("winsorised"), F.stddev_samp("x").alias("sd"), (F.percentile("x", F.lit(0.75)) - F.percentile("x", F.lit(0.25))).alias("iqr"),
+    sums = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.exp(F.avg(F.when(F.col("x") > 0, F.log("x")))).alias("geometric"), F.stddev_samp("x").alias("sd"))
+    v = cut(value_counts(rows, by, "x"))
+    # Of the c equal values at places below + 1 to below + c, those after place k and up to place n - k are inside.
+    cells = joined(v, v.groupBy(*by).agg(F.sum("c").alias("n")), by).withColumn("k", F.floor(F.col("n") * p))
+    last = F.col("n") - F.col("k")
+    held = F.greatest(F.least(F.col("below") + F.col("c"), last) - F.greatest("below", "k"), F.lit(0))
+    holds = lambda place: (F.col("below") < place) & (place <= F.col("below") + F.col("c"))
+    inner = cells.groupBy(*by).agg(
+        F.sum(F.col("x") * held).alias("s"), F.sum(held).alias("m"), F.max("k").alias("k"), F.max("n").alias("n"),
+        F.max(F.when(holds(F.col("k") + 1), F.col("x"))).alias("lo"), F.max(F.when(holds(last), F.col("x"))).alias("hi"),
     )
+    means = inner.select(*by, F.when(F.col("m") > 0, F.col("s") / F.col("m")).alias("trimmed"), ((F.col("s") + F.col("k") * (F.col("lo") + F.col("hi"))) / F.col("n")).alias("winsorised"))
+    q = percentiles_of(v, by, "x", (0.25, 0.5, 0.75)).select(*by, F.col("q1").alias("median"), (F.col("q2") - F.col("q0")).alias("iqr"))
+    a = joined(joined(sums, means, by), q, by)
     sem = F.col("sd") / F.sqrt("n")
     return a.withColumns({"sem": sem, "ci95": 1.96 * sem})
 
@@ -95,11 +103,6 @@ def density_grid(df: DataFrame, x: str, y: str, wx: float, wy: float) -> DataFra
     return g.withColumn("log_n", F.log10("n"))
 
 
-def above(df: DataFrame, column: str, q: float) -> Column:
-    """A test against an exact percentile of the whole frame, which is one number fetched to the driver."""
-    return F.col(column) > df.agg(F.percentile(column, F.lit(q))).first()[0]
-
-
 def listed(by: Sequence[str], df: DataFrame, column: str, most: int = 5) -> DataFrame:
     """(by..., text): 'v(n), v2(n2)' of the most frequent values, then '(+k more)'.
 

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkfen.functions import special
-from sparkfen.operators.ranks import mid_ranks, percentiles, ranged
+from sparkfen.operators.ranks import joined, least_above, mid_ranks, parts_for, percentiles, ranged, value_counts
 from sparkfen.session import cut
 
 
@@ -42,17 +42,28 @@ def by_category(df: DataFrame, variables: Sequence[str], keep: Sequence[str]) ->
     return df.select(F.explode(cells).alias("c"), *keep).select("c.variable", "c.category", *keep).filter("category is not null")
 
 
-def correlations(df: DataFrame, by: Sequence[str], x: str = "x", y: str = "y", least: int = 30) -> DataFrame:
-    """By group of at least `least` complete pairs: n, means, Pearson r, Spearman rho, OLS slope, intercept and R squared."""
+def moments(df: DataFrame, by: Sequence[str], x: str = "x", y: str = "y", least: int = 30) -> DataFrame:
+    """By group of at least `least` complete pairs: n, means, Pearson r, OLS slope, intercept and R squared, in one grouped pass."""
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    rows = mid_ranks(mid_ranks(rows, by, "x", "rx"), by, "y", "ry")
     a = rows.groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"), F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"),
+        F.count("*").alias("n"), F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"), F.corr("x", "y").alias("pearson"),
         F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"),
     )
     return a.filter(F.col("n") >= least)
 
 
+def spearman(df: DataFrame, by: Sequence[str], x: str = "x", y: str = "y", least: int = 30) -> DataFrame:
+    """(by..., n, spearman) of groups of at least `least` complete pairs, from ranks with ties at their mean."""
+    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    ranked = mid_ranks(mid_ranks(rows, by, "x", "rx"), by, "y", "ry")
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("spearman")).filter(F.col("n") >= least)
+
+
+def correlations(df: DataFrame, by: Sequence[str], x: str = "x", y: str = "y", least: int = 30) -> DataFrame:
+    """The columns of moments(), and spearman."""
+    return joined(moments(df, by, x, y, least), spearman(df, by, x, y, least).drop("n"), by)
+
+
 def kendall(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """(by..., n, kendall_tau, p_kendall): tie-corrected tau-b over all complete pairs of each group, and its normal p.
 
@@ -61,7 +72,9 @@ def kendall(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """
     by = list(by)
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count("*").alias("c"))
-    cells = cut(ranged(ranged(cut(rows), "x", "xb"), "y", "yb"))
+    rows = cut(rows)
+    parts = parts_for(rows.count())
+    cells = cut(ranged(ranged(rows, "x", "xb", parts), "y", "yb", parts))
     kinds = ", ".join(f"{k} {t}" for k, t in cells.dtypes if k in by)
 
     def inside(g: pd.DataFrame) -> pd.DataFrame:
@@ -133,15 +146,16 @@ def battery(df: DataFrame, by: Sequence[str], x: str, y: str, key: Sequence[str]
 def corrected(df: DataFrame, p: str = "p", within: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
     """df with p_bonferroni, p_fdr (Benjamini-Hochberg) and rejected, over rows with a p value in each part of `within`.
 
-    df is a table of tests, one row a test.
+    df is a table of tests, one row a test, of any size: a value's last rank counts, so ties share one corrected p, and the running
+    minimum from above is taken in ranges of p.
     """
-    rows = df.filter(F.col(p).isNotNull())
-    m = F.count("*").over(W.partitionBy(*within))
-    up = W.partitionBy(*within).orderBy(p)
-    rows = rows.withColumns({"__m": m, "__i": F.row_number().over(up)}).withColumn("__q", F.col(p) * F.col("__m") / F.col("__i"))
-    down = W.partitionBy(*within).orderBy(F.desc("__i")).rowsBetween(W.unboundedPreceding, 0)
-    fdr = F.least(F.min("__q").over(down), F.lit(1.0))
-    return rows.withColumns({"p_bonferroni": F.least(F.col(p) * F.col("__m"), F.lit(1.0)), "p_fdr": fdr}).withColumn("rejected", F.col("p_fdr") <= alpha).drop("__m", "__i", "__q")
+    tests = df.filter(F.col(p).isNotNull())
+    v = value_counts(tests, within, p)
+    v = joined(v, tests.groupBy(*within).agg(F.count("*").alias("__m")), within)
+    v = least_above(v.withColumn("__q", F.col(p) * F.col("__m") / (F.col("below") + F.col("c"))), within, p, "__q", "__fdr")
+    out = joined(tests, v.select(*within, p, "__m", "__fdr"), [*within, p])
+    one = F.lit(1.0)
+    return out.withColumns({"p_bonferroni": F.least(F.col(p) * F.col("__m"), one), "p_fdr": F.least("__fdr", one)}).withColumn("rejected", F.col("p_fdr") <= alpha).drop("__m", "__fdr")
 
 
 def residuals(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -179,12 +193,8 @@ def contingency(df: DataFrame, a: str, b: str, top: int = 100) -> DataFrame:
 def mann_whitney(df: DataFrame, group: Column, x: str) -> DataFrame:
     """One row: n1, n2, u, z, p: two-sided, tie-corrected, with continuity. Ranks are made from counts by value, not by row."""
     rows = df.filter(F.col(x).isNotNull()).select(group.cast("int").alias("g"), F.col(x).cast("double").alias("x"))
-    values = rows.groupBy("x").agg(F.count_if(F.col("g") == 1).alias("c1"), F.count("*").alias("c"))
-    spans = values.withColumn("part", F.floor(F.col("x")))
-    inside = F.sum("c").over(W.partitionBy("part").orderBy("x")) - F.col("c")
-    parts = spans.groupBy("part").agg(F.sum("c").alias("pc"))
-    before = parts.select("part", (F.sum("pc").over(W.orderBy("part")) - F.col("pc")).alias("base"))
-    ranked = spans.withColumn("inside", inside).join(before, "part").withColumn("mid", F.col("base") + F.col("inside") + (F.col("c") + 1) / 2)
+    values = value_counts(rows, [], "x", [F.count_if(F.col("g") == 1).alias("c1")])
+    ranked = values.withColumn("mid", F.col("below") + (F.col("c") + 1) / 2)
     s = ranked.agg(F.sum("c1").alias("n1"), (F.sum("c") - F.sum("c1")).alias("n2"), F.sum(F.col("c1") * F.col("mid")).alias("r1"), F.sum(F.col("c").cast("double") * F.col("c") * F.col("c") - F.col("c")).alias("t"))
     n1, n2, n = F.col("n1").cast("double"), F.col("n2").cast("double"), (F.col("n1") + F.col("n2")).cast("double")
     u = F.col("r1") - n1 * (n1 + 1) / 2

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkfen.operators.membership import ratio
+from sparkfen.operators.ranks import joined, percentiles
 
 
 def hash_life(sig: DataFrame, years: DataFrame) -> DataFrame:
@@ -32,12 +33,14 @@ def cumulative_by_year(life: DataFrame) -> DataFrame:
 
 def yearly_novelty(stats: DataFrame) -> DataFrame:
     """By year: n_samples, averages and exact percentiles of new_hashes and fraction_new, and both pooled ratios."""
-    p = lambda c, q: F.percentile(c, F.lit(q))
-    return stats.groupBy("release_year").agg(
-        F.count("*").alias("n_samples"), F.avg("total_hashes").alias("avg_total"), F.avg("new_hashes").alias("avg_new"), p("new_hashes", 0.25).alias("p25_new"), p("new_hashes", 0.5).alias("p50_new"),
-        p("new_hashes", 0.75).alias("p75_new"), p("fraction_new", 0.25).alias("p25_fraction"), p("fraction_new", 0.5).alias("p50_fraction"), p("fraction_new", 0.75).alias("p75_fraction"),
-        p("fraction_new", 0.95).alias("p95_fraction"), F.avg("fraction_new").alias("mean_of_ratios"), ratio(F.sum("new_hashes"), F.sum("total_hashes")).alias("ratio_of_sums"),
+    by = ["release_year"]
+    sums = stats.groupBy(*by).agg(
+        F.count("*").alias("n_samples"), F.avg("total_hashes").alias("avg_total"), F.avg("new_hashes").alias("avg_new"),
+        F.avg("fraction_new").alias("mean_of_ratios"), ratio(F.sum("new_hashes"), F.sum("total_hashes")).alias("ratio_of_sums"),
     )
+    new = percentiles(stats, by, "new_hashes", (0.25, 0.5, 0.75)).drop("n").withColumnsRenamed({"q0": "p25_new", "q1": "p50_new", "q2": "p75_new"})
+    fraction = percentiles(stats, by, "fraction_new", (0.25, 0.5, 0.75, 0.95)).drop("n").withColumnsRenamed({"q0": "p25_fraction", "q1": "p50_fraction", "q2": "p75_fraction", "q3": "p95_fraction"})
+    return joined(joined(sums, new, by, "left"), fraction, by, "left")
 
 
 def life_counts(life: DataFrame) -> DataFrame:

@@ -53,7 +53,9 @@ def robust_yearly_summary(b):
 @query("corpus_totals", "select count(*) as n, count(distinct bioproject) as n_projects, round(sum(mbases), 3) as total_mb, min(mbases) as least_mb, max(mbases) as most_mb, round(avg(mbases), 6) as mean_mb, round(median(mbases), 6) as median_mb from meta", "meta")
 def corpus_totals(b):
     """D20, A01, A05."""
-    return b.meta.agg(F.count("*").alias("n"), F.countDistinct("bioproject").alias("n_projects"), F.round(F.sum("mbases"), 3).alias("total_mb"), F.min("mbases").alias("least_mb"), F.max("mbases").alias("most_mb"), F.round(F.avg("mbases"), 6).alias("mean_mb"), F.round(F.median("mbases"), 6).alias("median_mb"))
+    median = ranks.percentiles(b.meta, [], "mbases", (0.5,)).select(F.round("q0", 6).alias("median_mb"))
+    sums = b.meta.agg(F.count("*").alias("n"), F.countDistinct("bioproject").alias("n_projects"), F.round(F.sum("mbases"), 3).alias("total_mb"), F.min("mbases").alias("least_mb"), F.max("mbases").alias("most_mb"), F.round(F.avg("mbases"), 6).alias("mean_mb"))
+    return sums.crossJoin(F.broadcast(median))
 
 
 @query("top_values", "select center, count(*) as n from meta group by 1 order by n desc, center limit 10", "meta")
@@ -160,7 +162,9 @@ def cohort_partition(b):
 @query("provenance", "with g as (select bioproject, center, count(*) as n, median(mbases) as median_mb from meta group by 1, 2) select center, count(*) as n_projects, sum(n)::bigint as n, round(max(n)::double / sum(n), 9) as top_share, max(n)::double / sum(n) >= 0.5 as warned, round(max(median_mb), 6) as top_median from g group by 1", "meta")
 def provenance(b):
     """D26, A18, A33."""
-    g = b.meta.groupBy("bioproject", "center").agg(F.count("*").alias("n"), F.median("mbases").alias("median_mb"))
+    by = ["bioproject", "center"]
+    medians = ranks.percentiles(b.meta, by, "mbases", (0.5,)).select(*by, F.col("q0").alias("median_mb"))
+    g = ranks.joined(b.meta.groupBy(*by).agg(F.count("*").alias("n")), medians, by, "left")
     share = ratio(F.max("n"), F.sum("n"))
     return g.groupBy("center").agg(F.count("*").alias("n_projects"), F.sum("n").alias("n"), F.round(share, 9).alias("top_share"), (share >= 0.5).alias("warned"), F.round(F.max("median_mb"), 6).alias("top_median"))
 
@@ -175,21 +179,16 @@ def decomposition_shares(b):
 @query("median_element", "with t as (select center from meta group by 1 order by count(*) desc, center limit 5), r as (select center, acc, row_number() over (partition by center order by mbases, acc) as i, count(*) over (partition by center) as n from meta where center in (from t)) select center, acc from r where i = n // 2 + 1", "meta")
 def median_element(b):
     """The element at position n // 2 of each of the top groups."""
-    from pyspark.sql import Window as W
-
     t = m.top_counts(b.meta, "center", 5).select("center")
-    r = b.meta.join(t, "center", "left_semi").withColumns({"i": F.row_number().over(W.partitionBy("center").orderBy("mbases", "acc")), "n": F.count("*").over(W.partitionBy("center"))})
+    rows = b.meta.select("center", "acc", "mbases").join(t, "center", "left_semi")
+    r = ranks.joined(ranks.ordinal(rows, ["center"], "mbases", "i", then=["acc"]), rows.groupBy("center").agg(F.count("*").alias("n")), ["center"])
     return r.filter(F.col("i") == F.floor(F.col("n") / 2) + 1).select("center", "acc")
 
 
 @query("nearest_rank_quartiles", "with r as (select platform, mbases, row_number() over (partition by platform order by mbases) - 1 as i, count(*) over (partition by platform) as n from meta) select platform, max(mbases) filter (i = n // 4) as q1, max(mbases) filter (i = (3 * n) // 4) as q3 from r group by 1", "meta")
 def nearest_rank_quartiles(b):
     """A31."""
-    from pyspark.sql import Window as W
-
-    r = b.meta.withColumns({"i": F.row_number().over(W.partitionBy("platform").orderBy("mbases")) - 1, "n": F.count("*").over(W.partitionBy("platform"))})
-    at = lambda k: F.max(F.when(F.col("i") == F.floor(k * F.col("n") / 4), F.col("mbases")))
-    return r.groupBy("platform").agg(at(1).alias("q1"), at(3).alias("q3"))
+    return ranks.at_positions(b.meta, ["platform"], "mbases", {"q1": lambda n: F.floor(n / 4), "q3": lambda n: F.floor(3 * n / 4)}).drop("n")
 
 
 @query("extreme_categories", "with c as (select center, avg(mbases) as a from meta group by 1) select arg_max(center, a) as best, arg_min(center, a) as worst from c", "meta")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from sparkfen.operators import membership as m
+from sparkfen.operators import ranks
 from sparkfen.plans.catalog import query
 from sparkfen.session import scratch_path
 from sparkfen.sources import readers, sinks, sorted_files
@@ -115,5 +116,6 @@ def dmi_distribution(b):
 def dmi_ranking(b):
     """D12, A18, A29, F12, L03."""
     d = m.unmapped_index(b.sig, b.ref).join(b.meta, F.col("acc") == F.col("accession"))
-    a = d.groupBy("organism").agg(F.count("*").alias("n"), F.round(F.avg("dmi"), 9).alias("mean_dmi"), F.round(F.median("dmi"), 9).alias("median_dmi"), F.round(m.ratio(F.sum("unmapped_hashes"), F.sum("total_hashes")), 9).alias("pooled"))
-    return a.filter("n >= 10").orderBy(F.desc("mean_dmi"), "organism").limit(10)
+    a = d.groupBy("organism").agg(F.count("*").alias("n"), F.round(F.avg("dmi"), 9).alias("mean_dmi"), F.round(m.ratio(F.sum("unmapped_hashes"), F.sum("total_hashes")), 9).alias("pooled"))
+    medians = ranks.percentiles(d, ["organism"], "dmi", (0.5,)).select("organism", F.round("q0", 9).alias("median_dmi"))
+    return ranks.joined(a.filter("n >= 10"), medians, ["organism"]).orderBy(F.desc("mean_dmi"), "organism").limit(10)

@@ -18,26 +18,22 @@ def _categories(b):
     return s.by_category(b.xy, ["platform", "organism"], ["x", "y"])
 
 
-def _all(b):
-    return s.correlations(_categories(b), ["variable", "category"])
-
-
 @query("pearson_by_category", CORR.format("round(corr(x, y), 6) as pearson"), "xy")
 def pearson_by_category(b):
     """T01, T08, F15."""
-    return rounded(_all(b).select("variable", "category", "n", "pearson"), 6)
+    return rounded(s.moments(_categories(b), ["variable", "category"]).select("variable", "category", "n", "pearson"), 6)
 
 
 @query("spearman_by_category", CORR.format("round(corr(rx, ry), 6) as spearman"), "xy")
 def spearman_by_category(b):
     """T02, W03."""
-    return rounded(_all(b).select("variable", "category", "n", "spearman"), 6)
+    return rounded(s.spearman(_categories(b), ["variable", "category"]), 6)
 
 
 @query("ols_by_category", CORR.format("round(avg(x), 6) as mean_x, round(avg(y), 4) as mean_y, round(regr_slope(y, x), 4) as slope, round(regr_intercept(y, x), 2) as intercept, round(regr_r2(y, x), 6) as r2"), "xy")
 def ols_by_category(b):
     """T06, T08."""
-    d = _all(b)
+    d = s.moments(_categories(b), ["variable", "category"])
     r = lambda x, k: F.round(x, k).alias(x)
     return d.select("variable", "category", "n", r("mean_x", 6), r("mean_y", 4), r("slope", 4), r("intercept", 2), r("r2", 6))
 
