@@ -26,7 +26,8 @@ def _pairs(b):
 
 
 def _members(b):
-    return connected_components(_pairs(b), "a", "b")
+    sets = cut(b.shingles)
+    return s.linked_components(sets, cut(s.classes(sets)), 0.5)
 
 
 @query("pairwise_jaccard", CLASSES + " select a, b, \"both\", round(jaccard, 9) as jaccard, round(cosine, 9) as cosine from e0", "shingles")
@@ -78,7 +79,7 @@ select a, b, round(v, 9) as v, n from rp union all select component, node, 1.0::
 def expanded_similarity(b):
     """P20: the similarities from 0.1 of the representatives of all components stand for those of their members."""
     sets = cut(b.shingles)
-    k = cut(connected_components(s.similar_pairs(sets, 0.5), "a", "b"))
+    k = cut(s.linked_components(sets, cut(s.classes(sets)), 0.5))
     heads = sets.join(k.select(F.col("component").alias("sample_id")).distinct(), "sample_id", "left_semi")
     pairs = s.similar_classes(heads, s.classes(heads), 0.1).select("a", "b", F.col("jaccard").alias("v"))
     return rounded(clusters.expanded(pairs, k))
