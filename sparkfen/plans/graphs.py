@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sparkfen.operators import clusters, enrichment as e, linkage, measures as m, similarity as s
+from sparkfen.operators import clusters, drilldown, enrichment as e, linkage, measures as m, similarity as s
 from sparkfen.operators.graph import connected_components, symmetric
 from sparkfen.plans.catalog import query
 from sparkfen.plans.timeline import rounded
@@ -197,3 +197,25 @@ def component_summary(b):
     """G11, J16."""
     big = b.groups.groupBy("component_id").count().filter("count >= 2").select("component_id")
     return b.groups.join(big, "component_id", "left_semi").groupBy("lang").agg(F.countDistinct("component_id").alias("n_components"), F.count("*").alias("n"), F.countDistinct("source").alias("n_sources"), F.count("quality").alias("n_labelled"))
+
+
+FIELDS = "v as (select component_id, unnest(['source', 'lang', 'quality']) as field, unnest([source, lang, quality::varchar]) as value from groups), s as (select component_id, count(*) as size from groups group by 1), c as (select component_id, field, value, count(*) as n from v where value is not null group by all), t as (select *, row_number() over (partition by component_id, field order by n desc, value)::int as place, sum(n) over (partition by component_id, field)::bigint as n_filled, count(*) over (partition by component_id, field) as n_values from c)"
+
+
+@query("component_drilldown", "with " + FIELDS + " select component_id, field, size, n_filled, round(n_filled / size, 9) as coverage, n_values, place, value, n, round(n / n_filled, 9) as share from t join s using (component_id) where place <= 10", "groups")
+def component_drilldown(b):
+    """The commonest values of each field in every component."""
+    return rounded(drilldown.distributions(b.groups, "component_id", ["source", "lang", "quality"]))
+
+
+@query("component_comparison", "with " + FIELDS + """, l as (select component_id as one, size as size_one from s order by size desc, component_id limit 1), f as (select s.component_id, f.field from s, l, (select unnest(['source', 'lang', 'quality']) as field) f where component_id <> one),
+k as (select component_id, field, value from t, l where place <= 5 and component_id <> one union select f.component_id, f.field, t.value from f join t using (field) join l on t.component_id = one where place <= 5),
+o as (select field, value, n as n_one from c join l on component_id = one), m as (select c.component_id, c.field, sum(least(n / size, coalesce(n_one, 0) / size_one)) as common from c join s using (component_id) cross join l left join o on o.field = c.field and o.value = c.value where c.component_id <> one group by all)
+select k.component_id, k.field, k.value, coalesce(c.n, 0) as n, round(coalesce(c.n, 0) / size, 9) as share, coalesce(o.n_one, 0) as n_one, round(coalesce(o.n_one, 0) / size_one, 9) as share_one, round(coalesce(common, 0), 9) as common
+from k join s using (component_id) cross join l left join c on c.component_id = k.component_id and c.field = k.field and c.value = k.value left join o on o.field = k.field and o.value = k.value left join m on m.component_id = k.component_id and m.field = k.field""", "groups")
+def component_comparison(b):
+    """Every component against the largest one."""
+    groups = b.groups
+    size = groups.groupBy("component_id").agg(F.count("*").alias("n"))
+    largest = size.agg(F.max_by("component_id", F.struct("n", -F.col("component_id"))).alias("c")).first()[0]
+    return rounded(drilldown.compared(groups, "component_id", ["source", "lang", "quality"], largest))
