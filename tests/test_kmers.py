@@ -54,3 +54,14 @@ def test_no_row_for_a_kmer(spark, seqs):
         with redirect_stdout(out):
             catalog.queries()[name](spark, "/root/testdata/sf0.001").explain()
         assert "MapInArrow" in out.getvalue() and out.getvalue().count("Generate explode") <= 2 and "ArrowEvalPython" not in out.getvalue()
+
+
+@pytest.mark.parametrize("k", [4, 11, 31])
+def test_hits_of_targets(spark, seqs, k, monkeypatch):
+    monkeypatch.setattr(kmers, "BLOCK", 2)
+    monkeypatch.setattr(kmers, "HITS", 50)
+    rows = sketches.scan_kmers(seqs, k, hasher=surrogate(F.col("kmer"))).localCheckpoint()
+    sets = rows.select("sample_id", "hash").distinct()
+    picked = lambda df: df.filter("sample_id in (1, 2, 5, 6)").withColumnRenamed("sample_id", "target_id")
+    same(kmers.localise(seqs, picked(seqs), k, hashing.md5_rows), sketches.localise(rows, picked(rows)))
+    same(kmers.prevalence_tiers(seqs, picked(seqs), k, hashing.md5_rows), sketches.prevalence_tiers(sets, picked(sets)))
