@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from sparkfen.session import cut
 
-#: Clusters in a block; two blocks meet in a task of the search for neighbours.
-BLOCK = 4096
+#: Clusters in a block; two blocks meet in a task of the search for neighbours, so many rows at once.
+BLOCK, ROWS = 4096, 512
 #: Distances are compared to this many digits, so that both ends of a pair see the same one.
 DIGITS = 12
 
@@ -28,10 +28,12 @@ def _nearest(stale: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"g": [], "cid": [], "nn": [], "d": []})
     others = others.sort_values("cid")
     a, b = np.stack(stale["s"].to_numpy()) / stale["n"].to_numpy()[:, None], np.stack(others["s"].to_numpy()) / others["n"].to_numpy()[:, None]
-    d = np.round(1 - a @ b.T, DIGITS)
-    d[stale["cid"].to_numpy()[:, None] == others["cid"].to_numpy()[None, :]] = np.inf
-    at = d.argmin(1)
-    out = pd.DataFrame({"g": stale["g"].to_numpy(), "cid": stale["cid"].to_numpy(), "nn": others["cid"].to_numpy()[at], "d": d[np.arange(len(at)), at]})
+    cid, other, at, least = stale["cid"].to_numpy(), others["cid"].to_numpy(), np.zeros(len(a), int), np.zeros(len(a))
+    for i in range(0, len(a), ROWS):
+        d = np.round(1 - a[i : i + ROWS] @ b.T, DIGITS)
+        d[cid[i : i + ROWS, None] == other[None, :]] = np.inf
+        at[i : i + ROWS], least[i : i + ROWS] = d.argmin(1), d.min(1)
+    out = pd.DataFrame({"g": stale["g"].to_numpy(), "cid": cid, "nn": other[at], "d": least})
     return out[np.isfinite(out["d"])]
 
 
@@ -87,7 +89,7 @@ def merge_rounds(state: DataFrame, most: int, block: int = BLOCK) -> tuple[DataF
 def large_dendrograms(rows: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
     """(g, a, b, height) of all merges of each group of (g, node, v), whatever its size: rounds while it has more than `most` clusters, then
     one task. A merge puts the cluster named b into that named a; names are smallest members."""
-    from sparkfen.operators.clusters import linkage
+    from sparkfen.operators.clusters import cosine_distances, linkage
 
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     unit = F.when(length > 0, F.transform("v", lambda x: x / length)).otherwise(F.transform("v", lambda x: F.lit(0.0)))
@@ -97,7 +99,7 @@ def large_dendrograms(rows: DataFrame, most: int, block: int = BLOCK) -> DataFra
         group = group.sort_values("cid")
         names, n = group["cid"].to_numpy(), group["n"].to_numpy(float)
         v = np.stack(group["s"].to_numpy()) / n[:, None]
-        steps = linkage(1 - v @ v.T, n)
+        steps = linkage(cosine_distances(v), n)
         return pd.DataFrame({"g": group["g"].iloc[0], "a": names[[s[0] for s in steps]], "b": names[[s[1] for s in steps]], "height": [s[2] for s in steps]})
 
     return merges.union(left.groupBy("g").applyInPandas(finish, "g string, a long, b long, height double"))

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +100,19 @@ def test_leaf_order_query(spark):
         assert sorted(order) == list(range(len(ids))) and length(order) <= length(clusters.leaf_order(clusters.linkage(d), len(ids))) + 1e-9
     with pytest.raises(ValueError, match="bound"):
         linkage.leaf_orders(Bound(spark, DIR).t("embeddings"), "label", most=2)
+
+
+def test_memory_of_linkage_in_a_task():
+    """Two matrices of the most vectors that one task takes, and a search for neighbours by rows."""
+    import inspect
+    import tracemalloc
+
+    n = inspect.signature(clusters.average_linkage).parameters["most"].default
+    assert 4 * 2 * 8 * n * n < 2_000_000_000  # in four workers of an executor
+    v = np.random.default_rng(3).normal(size=(900, 16))
+    stale = pd.DataFrame({"g": "x", "cid": range(900), "n": 1, "s": list(v)})
+    for run, most in ((lambda: clusters.linkage(clusters.cosine_distances(v)), 2.3), (lambda: linkage._nearest(pd.concat([stale] * 3), stale), 3)):
+        tracemalloc.start()
+        run()
+        assert tracemalloc.get_traced_memory()[1] < most * 8 * 900 * 900
+        tracemalloc.stop()
