@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkfen.operators.leaves import optimal_order
 from sparkfen.session import cut
 
 #: Clusters in a block; two blocks meet in a task of the search for neighbours, so many rows at once.
@@ -88,12 +89,17 @@ def merge_rounds(state: DataFrame, most: int, block: int = BLOCK) -> tuple[DataF
 
 def large_dendrograms(rows: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
     """(g, a, b, height) of all merges of each group of (g, node, v), whatever its size: rounds while it has more than `most` clusters, then
-    one task. A merge puts the cluster named b into that named a; names are smallest members."""
+    one task. A merge puts the cluster named b into that named a; names are smallest members. With a column n a row stands for n
+    equal vectors."""
     from sparkfen.operators.clusters import cosine_distances, linkage
 
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     unit = F.when(length > 0, F.transform("v", lambda x: x / length)).otherwise(F.transform("v", lambda x: F.lit(0.0)))
-    merges, left = merge_rounds(rows.select("g", F.col("node").alias("cid"), F.lit(1).cast("long").alias("n"), unit.alias("s")), most, block)
+    if "n" in rows.columns:
+        start = rows.select("g", F.col("node").alias("cid"), "n", F.transform(unit, lambda x: x * F.col("n")).alias("s"))
+    else:
+        start = rows.select("g", F.col("node").alias("cid"), F.lit(1).cast("long").alias("n"), unit.alias("s"))
+    merges, left = merge_rounds(start, most, block)
 
     def finish(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("cid")
@@ -118,84 +124,45 @@ def clusters_at(merges: DataFrame, nodes: DataFrame, cuts: Sequence[float]) -> D
             return now.select("g", "node", "cut", F.col("to").alias("cluster"))
 
 
-def optimal_order(steps: Sequence[tuple[int, int, float]], d: np.ndarray) -> list[int]:
-    """The leaves of a dendrogram, of all orders that flips of its nodes allow the one with the least sum of distances between neighbours.
-
-    By dynamic programming over the tree: for each part, the least path over all pairs of outermost leaves. Takes time by the
-    cube and memory by the square of the leaves. The smaller outermost leaf comes first.
-    """
-    n = len(d)
-    if n < 2:
-        return list(range(n))
-    made: dict[int, tuple] = {}  # part -> its two parts and the inner leaves of each pair of outer ones
-    leaves, cost, at = {i: np.array([i]) for i in range(n)}, {i: np.zeros((1, 1)) for i in range(n)}, list(range(n))
-    root = np.arange(n)
-    for number, (x, y, _) in enumerate(steps, n):
-        a, b = int(root[x]), int(root[y])
-        la, lb = leaves.pop(a), leaves.pop(b)
-        through, right = _least_plus(cost[a], d[np.ix_(la, lb)])
-        whole, left = _least_plus(through, cost.pop(b))
-        cost.pop(a)
-        made[number] = (a, b, la, lb, right, left)
-        k = len(la)
-        both = np.full((k + len(lb),) * 2, np.inf)
-        both[:k, k:], both[k:, :k] = whole, whole.T
-        leaves[number], cost[number] = np.r_[la, lb], both
-        root[leaves[number]] = number
-        at.append(number)
-    top = at[-1]
-    i, j = divmod(int(np.argmin(cost[top])), n)
-    first, last = sorted((int(leaves[top][i]), int(leaves[top][j])))
-    out, todo = [], [(top, first, last)]
-    while todo:
-        part, first, last = todo.pop()
-        if part < n:
-            out.append(part)
-            continue
-        a, b, la, lb, right, left = made[part]
-        ia, ib = np.flatnonzero(la == first), np.flatnonzero(lb == last)
-        if len(ia) and len(ib):
-            m = int(left[ia[0], ib[0]])
-            k = int(right[ia[0], m])
-            todo += [(b, int(lb[m]), last), (a, first, int(la[k]))]
-        else:  # the same path from its other end
-            ia, ib = int(np.flatnonzero(la == last)[0]), int(np.flatnonzero(lb == first)[0])
-            m = int(left[ia, ib])
-            k = int(right[ia, m])
-            todo += [(a, int(la[k]), last), (b, first, int(lb[m]))]
-    return out
-
-
-def _least_plus(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(least p[i, k] + q[k, j], the k of it)."""
-    value, at = np.empty((len(p), q.shape[1])), np.empty((len(p), q.shape[1]), np.int32)
-    for i, row in enumerate(p):
-        ok = np.flatnonzero(np.isfinite(row))
-        sums = row[ok, None] + q[ok]
-        best = sums.argmin(0)
-        at[i], value[i] = ok[best], sums[best, np.arange(q.shape[1])]
-    return value, at
-
-
-def leaf_orders(vectors: DataFrame, by: str, key: str = "vec_id", vector: str = "embedding", most: int = 3000) -> DataFrame:
+def leaf_orders(vectors: DataFrame, by: str, key: str = "vec_id", vector: str = "embedding", most: int = 100_000, square: int = 4_000) -> DataFrame:
     """(by, node, position): the leaves of each group's average-linkage dendrogram by cosine distance, in the optimal order.
 
-    The order is found in one task, by the cube of the leaves; more than `most` vectors in a group are an error, found by counting.
+    Equal vectors are one leaf, whose members stand side by side. The dendrogram of more than `square` leaves is made over all tasks.
+    The order is found in one task from its merges and the vectors, without a matrix of all pairs; more than `most` vectors in a
+    group are an error, found by counting.
     """
-    from sparkfen.operators.clusters import linkage
+    from sparkfen.operators.clusters import cosine_distances, linkage
 
     rows = vectors.select(F.col(by), F.col(key).cast("long").alias("node"), F.col(vector).cast("array<double>").alias("v")).filter("node is not null and v is not null")
     large = rows.groupBy(by).agg(F.count("*").alias("n")).filter(F.col("n") > most).first()
     if large:
         raise ValueError(f"a group of {large.n} vectors; the bound is {most}")
+    classes = cut(rows.groupBy(by, "v").agg(F.sort_array(F.collect_list("node")).alias("nodes")).select(by, "v", "nodes", F.col("nodes")[0].alias("node"), F.size("nodes").cast("long").alias("n")))
+    schema = f"{by} {dict(rows.dtypes)[by]}, node long, position long"
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("node")
+    def unit(group: pd.DataFrame) -> np.ndarray:
         v = np.stack(group["v"].to_numpy())
         length = np.sqrt((v * v).sum(1, keepdims=True))
-        v = np.divide(v, length, out=np.zeros_like(v), where=length > 0)
-        d = 1 - v @ v.T
-        order = optimal_order(linkage(d), d)
-        return pd.DataFrame({by: group[by].iloc[0], "node": group["node"].to_numpy()[order], "position": range(len(order))})
+        return np.divide(v, length, out=np.zeros_like(v), where=length > 0)
+
+    def placed(group: pd.DataFrame, steps: Sequence[tuple[int, int, float]], v: np.ndarray) -> pd.DataFrame:
+        nodes = group["nodes"].to_numpy()[optimal_order(steps, lambda a, b: cosine_distances(v[a], v[b]))]
+        return pd.DataFrame({by: group[by].iloc[0], "node": np.concatenate(nodes), "position": range(int(group["n"].sum()))})
 
-    return rows.groupBy(by).applyInPandas(run, f"{by} {dict(rows.dtypes)[by]}, node long, position long")
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("node")
+        v = unit(group)
+        return placed(group, linkage(cosine_distances(v), group["n"].to_numpy()), v)
+
+    def run_merged(group: pd.DataFrame, merges: pd.DataFrame) -> pd.DataFrame:
+        group, merges = group.sort_values("node"), merges.sort_values(["height", "a", "b"])
+        a, b = (np.searchsorted(group["node"], merges[c]) for c in "ab")
+        return placed(group, list(zip(a, b, merges["height"])), unit(group))
+
+    apart = cut(classes.groupBy(by).agg(F.count("*").alias("c")).filter(F.col("c") > square).select(F.col(by).alias("__by")))
+    if apart.isEmpty():
+        return classes.groupBy(by).applyInPandas(run, schema)
+    same = F.col(by).eqNullSafe(F.col("__by"))
+    whole = cut(classes.join(apart, same, "left_semi").withColumn("g", F.to_json(F.struct(by))))
+    merged = whole.groupBy("g").cogroup(large_dendrograms(whole, square).groupBy("g")).applyInPandas(run_merged, schema)
+    return classes.join(apart, same, "left_anti").groupBy(by).applyInPandas(run, schema).union(merged)

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sparkfen.operators import clusters, linkage
+from sparkfen.operators import clusters, leaves, linkage
 from sparkfen.operators.graph import connected_components
 from sparkfen.plans import catalog
 from sparkfen.plans.bindings import Bound
@@ -116,3 +116,51 @@ def test_memory_of_linkage_in_a_task():
         run()
         assert tracemalloc.get_traced_memory()[1] < most * 8 * 900 * 900
         tracemalloc.stop()
+
+
+def test_leaf_orders_of_large_groups(spark):
+    """Groups of more vectors than a square matrix is made for, many of them copies: every vector once, copies side by side, the least sum."""
+    rng = np.random.default_rng(8)
+    made = [(i, rng.normal(size=8).tolist(), i % 2) for i in range(240)]
+    made += [(1000 + i, made[i % 7][1], made[i % 7][2]) for i in range(90)] + [(2000 + i, rng.normal(size=8).tolist(), None) for i in range(3)]
+    df = spark.createDataFrame(made, "vec_id long, embedding array<float>, label int").repartition(5)
+    got = linkage.leaf_orders(df, "label", square=90).toPandas()
+    assert len(got) == len(made) and sorted(got["node"]) == sorted(m[0] for m in made)
+    vectors = {i: np.array(v, np.float32).astype(float) for i, v, _ in made}
+    for label in (0, 1, None):
+        mine = got[got["label"].isna() if label is None else got["label"] == label].sort_values("position")
+        assert mine["position"].tolist() == list(range(len(mine)))
+        x = np.stack([vectors[i] for i in sorted(mine["node"])])
+        x /= np.sqrt((x * x).sum(1, keepdims=True))
+        d, ids = 1 - x @ x.T, sorted(mine["node"])
+        length = lambda o: sum(d[a, b] for a, b in itertools.pairwise(o))  # noqa: E731, B023
+        assert length([ids.index(i) for i in mine["node"]]) == pytest.approx(length(linkage.optimal_order(clusters.linkage(d), d)), abs=1e-9)
+
+
+@pytest.mark.parametrize("call, distance", [(0, 0), (300, 1), (20_000, 4), (1e9, 4)])
+def test_optimal_order_either_way(monkeypatch, call, distance):
+    """Costs kept for pairs of leaves or asked again by part: the same sums as brute force."""
+    monkeypatch.setattr(leaves, "CALL", call)
+    monkeypatch.setattr(leaves, "DISTANCE", distance)
+    rng = np.random.default_rng(2)
+    for n in (2, 3, 5, 8, 8, 8):
+        x = rng.normal(size=(n, 2))
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+        for steps in (clusters.linkage(d), [(0, i, 0.0) for i in range(1, n)]):
+            got, ways = linkage.optimal_order(steps, d), tree_orders(steps, n)
+            length = lambda o: sum(d[a, b] for a, b in itertools.pairwise(o))  # noqa: E731, B023
+            assert got in ways and length(got) == pytest.approx(min(map(length, ways)))
+
+
+def test_memory_of_leaf_orders():
+    """Far less than a square matrix, where the tree is not one-sided."""
+    import tracemalloc
+
+    v = np.random.default_rng(5).normal(size=(3000, 16))
+    v /= np.sqrt((v * v).sum(1, keepdims=True))
+    steps = clusters.linkage(clusters.cosine_distances(v))
+    tracemalloc.start()
+    order = linkage.optimal_order(steps, lambda a, b: 1 - v[a] @ v[b].T)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(order) == list(range(3000)) and peak < 8 * 3000 * 3000
