@@ -79,3 +79,26 @@ def test_larger_groups_are_sampled_by_key(spark):
     df = spark.range(4000).select(F.lit("g").alias("k"), F.col("id").cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("y"), "id")
     one, two = (statistics.grouped(d, ["k"], "x", "y", key=["id"], most=1000).first() for d in (df, df.repartition(3)))
     assert one == two and one.n == 4000 and 800 < one.n_used < 1200 and one.kendall_tau == pytest.approx(special.kendall_tau_b(np.arange(4000), np.arange(4000) % 5))
+
+
+def test_battery_reads_its_rows_a_few_times(spark):
+    """Each pass over the input, and the tasks of Python, run once; corrections read what was written."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for g in batches:
+            made.add(len(g))
+            yield g
+
+    rows = spark.createDataFrame([("a" if i % 3 else "b", float(i % 11), float(i * 7919 % 13)) for i in range(300)], "k string, x double, y double")
+    got = statistics.battery(rows.mapInPandas(counted, rows.schema), ["k"], "x", "y").collect()
+    assert len(got) == 2 and made.value <= 6 * 300
+
+
+def test_cells_of_two_ranges_are_no_groups(spark):
+    """Pairs that share a range are counted by range of x and by range of y: three kinds of Python groups."""
+    rows = spark.createDataFrame([("a", float(i % 17), float(i * 7919 % 101)) for i in range(500)], "k string, x double, y double")
+    tau = statistics.kendall(rows, ["k"], "x", "y")
+    assert tau._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas") <= 3
+    x, y = np.arange(500) % 17, np.arange(500) * 7919 % 101
+    assert tau.first().kendall_tau == pytest.approx(special.kendall_tau_b(x, y))
