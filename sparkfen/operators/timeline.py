@@ -21,6 +21,22 @@ def hash_life(sig: DataFrame, years: DataFrame) -> DataFrame:
 def sample_novelty(sig: DataFrame, years: DataFrame, life: DataFrame) -> DataFrame:
     """(sample_id, release_year, total_hashes, new_hashes, fraction_new): new if first seen in the sample's own year."""
     dated = sig.join(years.select(F.col("acc").alias("sample_id"), "release_year"), "sample_id").join(life.select("min_hash", "birth_year"), "min_hash")
+    return _novelty(dated)
+
+
+def own_novelty(lines: DataFrame, years: DataFrame, rows: int, rows_a_part: int = 500_000) -> DataFrame:
+    """sample_novelty() with the life that the hashes have in these samples.
+
+    lines: (sample_id, min_hash), repeated rows count once. Its `rows` are dealt into parts of about `rows_a_part`, by sample and then by
+    hash, so that what a task holds does not grow with the input; numbers of partitions that are given are not reduced.
+    """
+    parts = max(lines.sparkSession.sparkContext.defaultParallelism, -(-rows // rows_a_part))
+    sig = lines.select("sample_id", "min_hash").filter("min_hash is not null").repartition(parts, "sample_id").distinct()
+    dated = sig.join(years.select(F.col("acc").alias("sample_id"), "release_year").repartition(parts, "sample_id"), "sample_id")
+    return _novelty(dated.repartition(parts, "min_hash").withColumn("birth_year", F.min("release_year").over(W.partitionBy("min_hash"))))
+
+
+def _novelty(dated: DataFrame) -> DataFrame:
     new = F.count_if(F.col("birth_year") == F.col("release_year"))
     return dated.groupBy("sample_id", "release_year").agg(F.count("*").alias("total_hashes"), new.alias("new_hashes"), ratio(new, F.count("*")).alias("fraction_new"))
 
