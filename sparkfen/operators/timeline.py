@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkfen.operators.membership import ratio
 from sparkfen.operators.ranks import joined, percentiles
+from sparkfen.session import cut
 
 
 def hash_life(sig: DataFrame, years: DataFrame) -> DataFrame:
@@ -49,7 +50,7 @@ def cumulative_by_year(life: DataFrame) -> DataFrame:
 
 def yearly_novelty(stats: DataFrame) -> DataFrame:
     """By year: n_samples, averages and exact percentiles of new_hashes and fraction_new, and both pooled ratios."""
-    by = ["release_year"]
+    by, stats = ["release_year"], cut(stats)
     sums = stats.groupBy(*by).agg(
         F.count("*").alias("n_samples"), F.avg("total_hashes").alias("avg_total"), F.avg("new_hashes").alias("avg_new"),
         F.avg("fraction_new").alias("mean_of_ratios"), ratio(F.sum("new_hashes"), F.sum("total_hashes")).alias("ratio_of_sums"),

@@ -1,4 +1,4 @@
-"""Novelty of samples in parts whose number follows the rows."""
+"""Novelty of samples in parts whose number follows the rows, and its yearly summary from one reading."""
 
 from sparkfen.operators import timeline
 
@@ -20,3 +20,16 @@ def test_parts_follow_the_rows(spark):
         assert sorted(map(repr, got.collect())) == want and len(want) == 41
     plan = timeline.own_novelty(lines, years, 1_000_000_000)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(", 2000") >= 3
+
+
+def test_stats_are_read_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for g in batches:
+            made.add(len(g))
+            yield g
+
+    lines, years = inputs(spark)
+    stats = timeline.own_novelty(lines, years, 604)
+    assert timeline.yearly_novelty(stats.mapInPandas(counted, stats.schema)).count() == 8 and made.value == 41
